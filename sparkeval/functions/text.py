@@ -66,3 +66,13 @@ def ngram_hashes(tokens, n: int) -> Column:
 
 def squeeze_ws(c) -> Column:
     return F.regexp_replace(col(c), WS_RUN, " ")
+
+
+def let(value, fn) -> Column:
+    """Bind ``value`` once and build ``fn(value)`` on the binding.
+
+    Composed Column expressions repeat their inputs textually; inside CASE branches and
+    lambdas Spark's subexpression elimination cannot share them, so a heavy input (a
+    regex over a whole document) would run once per reference.  A one-element
+    ``transform`` evaluates it exactly once per row."""
+    return F.element_at(F.transform(F.array(col(value)), fn), 1)

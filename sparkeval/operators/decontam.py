@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (WS, janitor_normalize, ngram_hashes, whitespace_pieces,
+from ..functions.text import (WS, col, janitor_normalize, ngram_hashes, whitespace_pieces,
                               word_ngrams, words)
 from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize
 
@@ -123,31 +123,42 @@ def _char_offset(tws: Column, j: Column) -> Column:
         F.length(F.call_function("substring_index", tws, F.lit(" "), j)) + 1)
 
 
-def window_spans(text: Column, positions: Column, n: int) -> Column:
-    """DEC03 for a few windows: array<struct<start,end>> (inclusive end) of the n-gram
-    windows starting at the given 0-based word positions of ``text``."""
-    tws = F.regexp_replace(text, WS, " ")
-    pieces = F.split(tws, " ")
-    widx = F.filter(F.transform(pieces, lambda x, i: F.when(x != "", i).otherwise(F.lit(-1))),
+def word_piece_index(pieces) -> Column:
+    """Index (into the whitespace pieces) of every non-empty piece, i.e. of every word."""
+    return F.filter(F.transform(col(pieces), lambda x, i: F.when(x != "", i).otherwise(F.lit(-1))),
                     lambda j: j >= 0)
 
+
+def window_spans(tws, pieces, widx, positions, n: int) -> Column:
+    """DEC03 for a few windows: array<struct<start,end>> (inclusive end) of the n-gram
+    windows starting at the given 0-based word positions.  ``tws`` is the text with every
+    whitespace character replaced by a space, ``pieces`` its split on ' ', ``widx`` the
+    output of ``word_piece_index`` — pass them as columns so each is computed once."""
+    tws, pieces, widx = col(tws), col(pieces), col(widx)
+
     def span(p):
         j0 = F.get(widx, p)
         j1 = F.get(widx, p + (n - 1))
         return F.struct(_char_offset(tws, j0).alias("start"),
                         (_char_offset(tws, j1) + F.length(F.get(pieces, j1)) - 1).alias("end"))
 
-    return F.transform(positions, span)
+    return F.transform(col(positions), span)
+
+
+def removal_windows(text, spans, window: int = WINDOW_TO_REMOVE) -> Column:
+    """Each match span widened by ``window`` characters and clipped to the text."""
+    L = F.length(col(text))
+    return F.transform(col(spans), lambda s: F.struct(
+        F.greatest(F.lit(0), s["start"] - window).alias("lo"),
+        F.least(L, s["end"] + window).alias("hi")))
 
 
-def cut_chunks(text: Column, spans: Column, n_matches: Column,
-               window: int = WINDOW_TO_REMOVE, cutoff: int = TOO_DIRTY_CUTOFF,
+def cut_chunks(text, win, n_matches, cutoff: int = TOO_DIRTY_CUTOFF,
                min_slice: int = MINIMUM_SLICE_LENGTH) -> Column:
     """DEC08: the reference's fold, written without state: each kept slice only needs the
-    previous window's end, so it is a lag over the (sorted) match array."""
+    previous window's end, so it is a lag over the (sorted) window array ``win``."""
+    text, win, n_matches = col(text), col(win), col(n_matches)
     L = F.length(text)
-    win = F.transform(spans, lambda s: F.struct(F.greatest(F.lit(0), s["start"] - window).alias("lo"),
-                                                F.least(L, s["end"] + window).alias("hi")))
     k = F.size(win)
     mids = F.when(k > 0, F.transform(
         F.sequence(F.lit(0), k - 1),
@@ -175,13 +186,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
     side, _ = checked_broadcast(per_doc, max_broadcast_bytes, already_materialized=True)
     j = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
              .join(side, "doc_id", "left"))
-    m = F.coalesce(F.col("n_matches"), F.lit(0))
-    spans = F.when(m > 0, window_spans(F.col("text"), F.col("positions"), n)
-                   ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    return (j.select("doc_id", "text", m.alias("n_matches"), spans.alias("spans"))
-             .select("doc_id", "text", "n_matches",
-                     cut_chunks(F.col("text"), F.col("spans"), F.col("n_matches"),
-                                window, cutoff, min_slice).alias("chunks")))
+    dirty = F.col("n_matches") > 0
+    # Offsets are only needed for documents with matches; staged projections keep each
+    # array computed once per row (the optimizer will not inline a twice-used array).
+    j = j.select("doc_id", "text", F.coalesce(F.col("n_matches"), F.lit(0)).alias("n_matches"),
+                 "positions", F.when(dirty, F.regexp_replace("text", WS, " ")).alias("tws"))
+    j = j.select("doc_id", "text", "n_matches", "positions", "tws",
+                 F.split("tws", " ").alias("pieces"))
+    j = j.select("doc_id", "text", "n_matches", "positions", "tws", "pieces",
+                 word_piece_index("pieces").alias("widx"))
+    j = j.select("doc_id", "text", "n_matches",
+                 F.when(dirty, window_spans("tws", "pieces", "widx", "positions", n))
+                  .otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    j = j.select("doc_id", "text", "n_matches", removal_windows("text", "spans", window).alias("win"))
+    return j.select("doc_id", "text", "n_matches",
+                    cut_chunks("text", "win", "n_matches", cutoff, min_slice).alias("chunks"))
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
