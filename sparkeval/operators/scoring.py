@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import parse_last_number, py_strip
-from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, col
+from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, col, let
 
 # ----------------------------------------------------------------- row scorers
 
@@ -65,8 +65,7 @@ def norm_tokens(c) -> Column:
 
 def score_exact_match(pred, refs) -> Column:
     """SCR08: normalised prediction equals any normalised reference."""
-    p = normalize_text(pred)
-    return F.exists(col(refs), lambda r: normalize_text(r) == p)
+    return let(normalize_text(pred), lambda p: F.exists(col(refs), lambda r: normalize_text(r) == p))
 
 
 def _f1(common, n_pred, n_ref) -> Column:
@@ -88,7 +87,10 @@ def token_f1(pred, ref, variant: str = "set") -> Column:
     * ``multiset`` — bag overlap; no common token scores 0.
     * ``mixed``    — bag overlap; when either side is empty, 1 iff both token lists are equal.
     """
-    a, b = norm_tokens(pred), norm_tokens(ref)
+    return let(norm_tokens(pred), lambda a: let(norm_tokens(ref), lambda b: _token_f1(a, b, variant)))
+
+
+def _token_f1(a: Column, b: Column, variant: str) -> Column:
     if variant == "set":
         da, db = F.array_distinct(a), F.array_distinct(b)
         common = F.size(F.array_intersect(da, db)).cast("double")
@@ -97,7 +99,10 @@ def token_f1(pred, ref, variant: str = "set") -> Column:
         rec = common / nb
         return (F.when(nb == 0, F.when(na == 0, 1.0).otherwise(0.0))
                  .when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec)))
-    common = _multiset_common(a, b).cast("double")
+    return let(_multiset_common(a, b).cast("double"), lambda common: _bag_f1(a, b, common, variant))
+
+
+def _bag_f1(a: Column, b: Column, common: Column, variant: str) -> Column:
     na, nb = F.size(a).cast("double"), F.size(b).cast("double")
     if variant == "multiset":
         return _f1(common, na, nb)
@@ -107,8 +112,9 @@ def token_f1(pred, ref, variant: str = "set") -> Column:
 
 
 def score_token_f1(pred, refs, variant: str = "set") -> Column:
-    """Max token F1 over a reference array."""
-    return F.array_max(F.transform(col(refs), lambda r: token_f1(pred, r, variant)))
+    """Max token F1 over a reference array (prediction tokens computed once)."""
+    return let(norm_tokens(pred), lambda a: F.array_max(F.transform(
+        col(refs), lambda r: let(norm_tokens(r), lambda b: _token_f1(a, b, variant)))))
 
 
 def score_sts(gold, pred) -> Column:
