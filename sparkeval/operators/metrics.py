@@ -51,34 +51,67 @@ def pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 # ------------------------------------------------------------------ AGG03
 
-def positional_median(df: DataFrame, keys, value: str, order: str, buckets: int = 256,
-                      max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """AGG03: the reference's "median" = the element at position n//2 in input order
-    (no sorting by value).  ``order`` gives the input order (unique inside a group).
-
-    Scale form (no group is gathered into one task): approximate order quantiles cut
-    each group into ~``buckets`` ranges; exact per-bucket counts (partial aggregation)
-    locate the bucket holding rank n//2; only that bucket's rows are ranked."""
+def select_ranks(df: DataFrame, keys, order: str, value: str, ranks, buckets: int = 256,
+                 max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Exact order statistics per group without gathering a group into one task.
+
+    ``ranks(n)`` returns a list of 0-based rank Columns (functions of the group size
+    ``n``).  Approximate quantiles of ``order`` cut each group into ~``buckets`` ranges;
+    exact bucket counts (partial aggregation) locate the bucket of every wanted rank;
+    only the rows of those buckets are ranked.  Output: (keys, k, value) with ``k`` the
+    index into the rank list."""
     ks = _keys(keys)
     o = col(order)
     fr = [i / buckets for i in range(1, buckets)]
-    stats = (df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.percentile_approx(o, fr, 10 * buckets).alias("_cuts")))
+    stats = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"),
+                                F.percentile_approx(o, fr, 10 * buckets).alias("_cuts"))
     stats_side, _ = checked_broadcast(stats, max_broadcast_bytes)
-    tagged = (df.join(stats_side, ks)
-                .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < o))))
+    tagged = df.join(stats_side, ks).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < o)))
     counts = tagged.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     w = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    want = F.array(*[F.struct(F.lit(i).alias("k"), rk.cast("long").alias("r"))
+                     for i, rk in enumerate(ranks(F.col("_n")))])
     target = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-                    .filter((F.floor(F.col("_n") / 2) >= F.col("_before"))
-                            & (F.floor(F.col("_n") / 2) < F.col("_before") + F.col("_c")))
-                    .select(*ks, "_b", (F.floor(F.col("_n") / 2) - F.col("_before")).alias("_r")))
+                    .select(*ks, "_b", "_before", "_c", F.explode(want).alias("_w"))
+                    .filter((F.col("_w.r") >= F.col("_before")) & (F.col("_w.r") < F.col("_before") + F.col("_c")))
+                    .select(*ks, "_b", F.col("_w.k").alias("k"), (F.col("_w.r") - F.col("_before")).alias("_r")))
     target_side, _ = checked_broadcast(target, max_broadcast_bytes)
     rows = tagged.join(target_side, ks + ["_b"])
-    rk = W.partitionBy(*ks, "_b").orderBy(o)
+    rk = W.partitionBy(*ks, "_b", "k").orderBy(o)
     return (rows.withColumn("_rn", F.row_number().over(rk) - 1)
                 .filter(F.col("_rn") == F.col("_r"))
-                .select(*ks, col(value).alias("median")))
+                .select(*ks, "k", col(value).alias("value")))
+
+
+def positional_median(df: DataFrame, keys, value: str, order: str, buckets: int = 256,
+                      max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """AGG03: the reference's "median" = the element at position n//2 in input order
+    (no sorting by value).  ``order`` gives the input order (unique inside a group)."""
+    ks = _keys(keys)
+    out = select_ranks(df, ks, order, value, lambda n: [F.floor(n / 2)], buckets, max_broadcast_bytes)
+    return out.select(*ks, F.col("value").alias("median"))
+
+
+def exact_percentile(df: DataFrame, keys, value: str, p: float, buckets: int = 256,
+                     max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Exact percentile with linear interpolation between the two neighbouring ranks
+    (same definition as Spark's ``percentile`` / DuckDB's ``quantile_cont``), computed
+    with ``select_ranks`` so that a huge group is never held by one task."""
+    ks = _keys(keys)
+    v = col(value)
+    base = df.filter(v.isNotNull()).select(*ks, v.alias("_v"))
+
+    def ranks(n):
+        pos = (n - 1) * p
+        return [F.floor(pos), F.least(F.floor(pos) + 1, n - 1)]
+    sel = select_ranks(base, ks, "_v", "_v", ranks, buckets, max_broadcast_bytes)
+    n = base.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    lo = F.max(F.when(F.col("k") == 0, F.col("value")))
+    hi = F.max(F.when(F.col("k") == 1, F.col("value")))
+    pos = (F.first("_n") - 1) * p
+    w = pos - F.floor(pos)
+    return (sel.join(n, ks).groupBy(*ks)
+               .agg((lo * (1 - w) + hi * w).alias("percentile")))
 
 
 # ------------------------------------------------------------------ AGG04-AGG07
