@@ -1,4 +1,4 @@
 """Query catalogue: importing this package registers every named query."""
 
-from . import decontam_q, fewshot_q, filters_q, metrics_q, mkqa_q, requests_q, runs_q, text_q  # noqa: F401
+from . import decontam_q, fewshot_q, filters_q, metrics_q, mkqa_q, requests_q, runs_q, stats_q, text_q  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
