@@ -45,8 +45,11 @@ def perplexity_metrics(df: DataFrame, keys, loglik: str, words: str, nbytes: str
 
 
 def pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """AGG10: Pearson correlation per group (built-in ``corr``)."""
-    return df.groupBy(*_keys(keys)).agg(F.corr(col(x).cast("double"), col(y).cast("double")).alias("pearson"))
+    """AGG10: Pearson correlation per group (built-in ``corr``); null when either side is
+    constant (undefined correlation)."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return df.groupBy(*_keys(keys)).agg(r.alias("pearson"))
 
 
 # ------------------------------------------------------------------ AGG03
@@ -58,7 +61,7 @@ def select_ranks(df: DataFrame, keys, order: str, value: str, ranks, buckets: in
     ``ranks(n)`` returns a list of 0-based rank Columns (functions of the group size
     ``n``).  Approximate quantiles of ``order`` cut each group into ~``buckets`` ranges;
     exact bucket counts (partial aggregation) locate the bucket of every wanted rank;
-    only the rows of those buckets are ranked.  Output: (keys, k, value) with ``k`` the
+    only the rows of those buckets are ranked.  Output: (keys, _rk, _value) with ``_rk`` the
     index into the rank list."""
     ks = _keys(keys)
     o = col(order)
@@ -69,18 +72,18 @@ def select_ranks(df: DataFrame, keys, order: str, value: str, ranks, buckets: in
     tagged = df.join(stats_side, ks).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < o)))
     counts = tagged.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     w = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    want = F.array(*[F.struct(F.lit(i).alias("k"), rk.cast("long").alias("r"))
+    want = F.array(*[F.struct(F.lit(i).alias("_rk"), rk.cast("long").alias("r"))
                      for i, rk in enumerate(ranks(F.col("_n")))])
     target = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
                     .select(*ks, "_b", "_before", "_c", F.explode(want).alias("_w"))
                     .filter((F.col("_w.r") >= F.col("_before")) & (F.col("_w.r") < F.col("_before") + F.col("_c")))
-                    .select(*ks, "_b", F.col("_w.k").alias("k"), (F.col("_w.r") - F.col("_before")).alias("_r")))
+                    .select(*ks, "_b", F.col("_w._rk").alias("_rk"), (F.col("_w.r") - F.col("_before")).alias("_r")))
     target_side, _ = checked_broadcast(target, max_broadcast_bytes)
     rows = tagged.join(target_side, ks + ["_b"])
-    rk = W.partitionBy(*ks, "_b", "k").orderBy(o)
+    rk = W.partitionBy(*ks, "_b", "_rk").orderBy(o)
     return (rows.withColumn("_rn", F.row_number().over(rk) - 1)
                 .filter(F.col("_rn") == F.col("_r"))
-                .select(*ks, "k", col(value).alias("value")))
+                .select(*ks, "_rk", col(value).alias("_value")))
 
 
 def positional_median(df: DataFrame, keys, value: str, order: str, buckets: int = 256,
@@ -89,7 +92,7 @@ def positional_median(df: DataFrame, keys, value: str, order: str, buckets: int
     (no sorting by value).  ``order`` gives the input order (unique inside a group)."""
     ks = _keys(keys)
     out = select_ranks(df, ks, order, value, lambda n: [F.floor(n / 2)], buckets, max_broadcast_bytes)
-    return out.select(*ks, F.col("value").alias("median"))
+    return out.select(*ks, F.col("_value").alias("median"))
 
 
 def exact_percentile(df: DataFrame, keys, value: str, p: float, buckets: int = 256,
@@ -106,8 +109,8 @@ def exact_percentile(df: DataFrame, keys, value: str, p: float, buckets: int = 2
         return [F.floor(pos), F.least(F.floor(pos) + 1, n - 1)]
     sel = select_ranks(base, ks, "_v", "_v", ranks, buckets, max_broadcast_bytes)
     n = base.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    lo = F.max(F.when(F.col("k") == 0, F.col("value")))
-    hi = F.max(F.when(F.col("k") == 1, F.col("value")))
+    lo = F.max(F.when(F.col("_rk") == 0, F.col("_value")))
+    hi = F.max(F.when(F.col("_rk") == 1, F.col("_value")))
     pos = (F.first("_n") - 1) * p
     w = pos - F.floor(pos)
     return (sel.join(n, ks).groupBy(*ks)
@@ -123,10 +126,10 @@ def confusion_counts(df: DataFrame, keys, gold: str, pred: str) -> DataFrame:
 
 
 def _per_label(cells: DataFrame, ks: list[str]) -> DataFrame:
-    g = cells.groupBy(*ks, F.col("gold").alias("label")).agg(
+    g = cells.groupBy(*ks, F.col("gold").alias("_lab")).agg(
         F.sum("cnt").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("cnt")).otherwise(0)).alias("tp"))
-    p = cells.groupBy(*ks, F.col("pred").alias("label")).agg(F.sum("cnt").alias("predicted"))
-    return g.join(p, ks + ["label"], "left").fillna(0, ["predicted"])
+    p = cells.groupBy(*ks, F.col("pred").alias("_lab")).agg(F.sum("cnt").alias("predicted"))
+    return g.join(p, ks + ["_lab"], "left").fillna(0, ["predicted"])
 
 
 def f1_macro(df: DataFrame, keys, gold: str, pred: str, scale: float = 1.0) -> DataFrame:
@@ -160,9 +163,9 @@ def matthews_corr(df: DataFrame, keys, gold: str, pred: str) -> DataFrame:
     """AGG07: multiclass Matthews correlation from confusion counts; 0 when undefined."""
     ks = _keys(keys)
     cells = confusion_counts(df, ks, gold, pred)
-    t = cells.groupBy(*ks, F.col("gold").alias("k")).agg(F.sum("cnt").alias("t"))
-    p = cells.groupBy(*ks, F.col("pred").alias("k")).agg(F.sum("cnt").alias("p"))
-    tp = (t.join(p, ks + ["k"], "full").fillna(0, ["t", "p"])
+    t = cells.groupBy(*ks, F.col("gold").alias("_lab")).agg(F.sum("cnt").alias("t"))
+    p = cells.groupBy(*ks, F.col("pred").alias("_lab")).agg(F.sum("cnt").alias("p"))
+    tp = (t.join(p, ks + ["_lab"], "full").fillna(0, ["t", "p"])
            .groupBy(*ks).agg(F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"),
                              F.sum(F.col("t") ** 2).alias("tt")))
     tot = cells.groupBy(*ks).agg(F.sum("cnt").cast("double").alias("s"),

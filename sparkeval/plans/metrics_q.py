@@ -154,7 +154,7 @@ def q_perplexity(spark, sf_dir):
 
 # ----------------------------------------------------------------- SCR11 / AGG10
 @query("pearson", f"""WITH fx AS ({FX_CLS})
-SELECT task, {rd('corr(CAST(pred3 AS DOUBLE), CAST(gold3 AS DOUBLE))')} AS pearson,
+SELECT task, {rd('CASE WHEN stddev_pop(pred3) > 0 AND stddev_pop(gold3) > 0 THEN corr(CAST(pred3 AS DOUBLE), CAST(gold3 AS DOUBLE)) END')} AS pearson,
        {rd('avg((gold3 - pred3) ^ 2)')} AS mse FROM fx GROUP BY task""")
 def q_pearson(spark, sf_dir):
     fx = sql(spark, sf_dir, FX_CLS).withColumn("se", S.score_sts("gold3", "pred3"))
