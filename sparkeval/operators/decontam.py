@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (WS, col, janitor_normalize, ngram_hashes, whitespace_pieces,
                               word_ngrams, words)
-from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize
+from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize, spread
 
 # The reference's defaults (n-gram size, window removed on each side,
 # matches after which a document is dropped, minimum kept slice length).
@@ -81,7 +81,8 @@ def frequent_ngrams(docs: DataFrame, n: int = NGRAM_N, min_docs: int = 10,
     Phase 1 shuffles only 8-byte hashes (per-document distinct, partial counts
     map-side) and keeps hashes seen in > min_docs documents — a superset of the answer.
     Phase 2 re-counts exactly by n-gram text for those hashes only."""
-    t = docs.select(F.col(id_col).alias("doc_id"), normalized_tokens(text_col).alias("ntoks"))
+    t = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select(
+        "doc_id", normalized_tokens("_text").alias("ntoks"))
     cand = (t.select(F.explode(F.array_distinct(ngram_hashes("ntoks", n))).alias("h"))
              .groupBy("h").agg(F.count(F.lit(1)).alias("c"))
              .filter(F.col("c") > min_docs).select("h"))
@@ -97,13 +98,18 @@ def find_matches(docs: DataFrame, dirt: DataFrame, n: int = NGRAM_N, id_col: str
                  text_col: str = "text", max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """DEC07 / JN07: every window (doc_id, pos) of the raw text whose normalised form is a
     registered contaminant.  ``pos`` is the 0-based index of the window's first word."""
-    d = (docs.select(F.col(id_col).alias("doc_id"), raw_tokens_normalized(text_col).alias("ntoks"))
+    d = (spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+             .select("doc_id", raw_tokens_normalized("_text").alias("ntoks"))
              .select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
              .alias("d"))
     side, _ = checked_broadcast(dirt.select("h", "ngram"), max_broadcast_bytes)
     side = side.alias("c")
-    cond = ((F.col("d.h") == F.col("c.h"))
-            & (F.array_join(F.slice(F.col("d.ntoks"), F.col("d.pos") + 1, n), " ") == F.col("c.ngram")))
+    # The text check is wrapped so the optimizer keeps it as a residual condition: it
+    # runs only for rows whose 8-byte hash found a partner, not as a second join key
+    # (which would build the n-gram text for every position of every document).
+    text_eq = F.coalesce(F.array_join(F.slice(F.col("d.ntoks"), F.col("d.pos") + 1, n), " ") == F.col("c.ngram"),
+                         F.lit(False))
+    cond = (F.col("d.h") == F.col("c.h")) & text_eq
     hits = d.join(side, cond, "left_semi")
     return hits.select("doc_id", "pos", "h",
                        F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ").alias("ngram"))
@@ -184,7 +190,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
     per_doc = materialize(summarize_matches(
         find_matches(docs, dirt, n, id_col, text_col, max_broadcast_bytes), cutoff + 1))
     side, _ = checked_broadcast(per_doc, max_broadcast_bytes, already_materialized=True)
-    j = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    j = (spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
              .join(side, "doc_id", "left"))
     dirty = F.col("n_matches") > 0
     # Offsets are only needed for documents with matches; staged projections keep each

@@ -83,6 +83,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Guarantee enough tasks for per-row heavy work: a scan with fewer partitions than
+    the cluster's parallelism (e.g. one large Parquet row group) is round-robin
+    repartitioned; a big input (thousands of splits) is left untouched — no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def estimate_size(df: DataFrame) -> tuple[int, int]:
     """(rows, approximate bytes) of a DataFrame, measured with one aggregate."""
     width = []
@@ -115,8 +125,14 @@ def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
     return side, False
 
 
+# Tables whose rows carry the per-row heavy work (texts, fact rows).
+LARGE_TABLES = {"documents", "pages", "conversations", "lineitem", "orders", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan a driver table; large tables get at least one task per core (``spread``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in LARGE_TABLES else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
