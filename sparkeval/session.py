@@ -76,10 +76,16 @@ def local_checkpoint_fallback() -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: reliable checkpoint when a checkpoint folder exists, else persist."""
+    """Cut lineage: reliable checkpoint when a checkpoint folder exists, else persist.
+
+    The plan is persisted while the checkpoint is written — otherwise Spark computes it
+    twice (once for the eager count, once for the checkpoint files)."""
     spark = df.sparkSession
     if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
