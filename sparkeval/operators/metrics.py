@@ -301,3 +301,13 @@ def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task",
               .when(k == "sum", F.sum(v)))
     stderr = F.when(k == "mean", F.coalesce(F.stddev_samp(v), F.lit(0.0)) / F.sqrt(F.count(v)))
     return j.groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), F.count(v).alias("n"))
+
+
+def assert_disjoint(a: DataFrame, b: DataFrame, keys, raise_on_overlap: bool = False) -> DataFrame:
+    """SET06: keys present in both inputs (e.g. train vs test split ids).  Returns the
+    overlap (empty when disjoint); optionally raises when it is not."""
+    ks = _keys(keys)
+    overlap = a.select(*ks).intersect(b.select(*ks))
+    if raise_on_overlap and not overlap.isEmpty():
+        raise AssertionError(f"inputs share keys {ks}")
+    return overlap
