@@ -21,6 +21,8 @@ OPTION_WORDS = r"(?:alternativa|op[cç][aã]o|opcao|option)"
 FINAL_WORDS = r"(?:final_answer|resposta\s+final|final\s+answer)"
 NUMBER = r"[-+]?\d+(?:[.,]\d+)?"
 TAIL_CHARS = 400
+# Name of the arithmetic (word-problem) dataset in the runner tables; configurable.
+ARITH_DATASET = "arith_gsm8k"
 # ---------------------------------------------------------------------------
 
 W = r"[\p{L}\p{N}_]"          # Python's \w
@@ -108,7 +110,7 @@ def extract_model_answer(dataset, raw) -> Column:
         return (F.when(py_strip(r) == "", F.lit(""))
                  .when(ds.startswith("enem"), extract_letter(r))
                  .when(ds.startswith("bbq"), extract_index(r))
-                 .when(ds == "poetav2_gsm8k", extract_number(r))
+                 .when(ds == ARITH_DATASET, extract_number(r))
                  .otherwise(extract_last_line(r)))
     return let(raw, pick)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.extract import ARITH_DATASET
 from ..functions.text import col
 from ..session import BROADCAST_MAX_BYTES, checked_broadcast
 
@@ -217,8 +218,8 @@ def dataset_metrics(scored: DataFrame, keys=("model",), dataset: str = "dataset"
                    F.struct(F.concat(F.lit("accuracy_"), ds).alias("metric"), F.col("acc").alias("value")),
                    F.struct(F.lit("accuracy_bbq_ambig").alias("metric"), F.col("acc_ambig").alias("value")),
                    F.struct(F.lit("accuracy_bbq_disambig").alias("metric"), F.col("acc_disambig").alias("value"))))
-                .when(ds == "poetav2_gsm8k", F.array(
-                   F.struct(F.lit("exact_match_poetav2_gsm8k").alias("metric"), F.col("exact").alias("value"))))
+                .when(ds == ARITH_DATASET, F.array(
+                   F.struct(F.lit(f"exact_match_{ARITH_DATASET}").alias("metric"), F.col("exact").alias("value"))))
                 .otherwise(F.array(F.struct(F.lit("valid_rate").alias("metric"), F.col("valid_rate").alias("value")))))
     return agg.select(*ks, dataset, F.explode(entries).alias("e")).select(*ks, dataset, "e.metric", "e.value")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import parse_last_number, py_strip
+from ..functions.extract import ARITH_DATASET, parse_last_number, py_strip
 from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, col, let
 
 # ----------------------------------------------------------------- row scorers
@@ -23,10 +23,10 @@ def score_runner_sample(dataset, label, pred) -> Column:
              & (F.abs(e_num - p_num) <= F.lit(1e-9) * F.greatest(F.abs(e_num), F.abs(p_num))))
     correct = (F.when(ds.startswith("enem"), (p == F.upper(py_strip(lab))).cast("double"))
                 .when(ds.startswith("bbq"), (p == py_strip(lab)).cast("double"))
-                .when(ds == "poetav2_gsm8k", F.coalesce(close, F.lit(False)).cast("double")))
+                .when(ds == ARITH_DATASET, F.coalesce(close, F.lit(False)).cast("double")))
     valid = (F.when(ds.startswith("enem"), p.isin("A", "B", "C", "D", "E").cast("double"))
               .when(ds.startswith("bbq"), p.isin("0", "1", "2").cast("double"))
-              .when(ds == "poetav2_gsm8k", p_num.isNotNull().cast("double"))
+              .when(ds == ARITH_DATASET, p_num.isNotNull().cast("double"))
               .otherwise((py_strip(p) != "").cast("double")))
     return F.struct(correct.alias("correct"), valid.alias("valid"))
 

@@ -309,7 +309,7 @@ def q_num_examples(spark, sf_dir):
 # ----------------------------------------------------------------- AGG15-AGG18 (runner metrics)
 FX_RUNNER = f"""SELECT doc_id, raw, gold,
   CASE doc_id % 8 WHEN 0 THEN 'enem_2022' WHEN 1 THEN 'enem_2023' WHEN 2 THEN 'bbq_gender_identity'
-       WHEN 3 THEN 'bbq_physical_appearance' WHEN 4 THEN 'bbq_race_ethnicity' WHEN 5 THEN 'poetav2_gsm8k'
+       WHEN 3 THEN 'bbq_physical_appearance' WHEN 4 THEN 'bbq_race_ethnicity' WHEN 5 THEN 'arith_gsm8k'
        WHEN 6 THEN 'enem_2022' ELSE 'other' END AS dataset,
   concat('m', CAST(doc_id % 3 AS STRING)) AS model,
   CASE WHEN doc_id % 2 = 0 THEN 'ambig' ELSE 'disambig' END AS context_condition
@@ -322,29 +322,29 @@ def _runner_scored(spark, sf_dir):
     fx = fx.withColumn("pred", X.extract_model_answer("dataset", "clean"))
     ds = F.col("dataset")
     label = (F.when(ds.startswith("bbq"), (F.col("doc_id") % 3).cast("string"))
-              .when(ds == "poetav2_gsm8k", F.concat(F.lit("= "), F.col("doc_id").cast("string"), F.lit(",5")))
+              .when(ds == "arith_gsm8k", F.concat(F.lit("= "), F.col("doc_id").cast("string"), F.lit(",5")))
               .otherwise(F.col("gold")))
     s = S.score_runner_sample("dataset", label, "pred")
     cc = F.lower(X.py_strip("context_condition"))
     return fx.select("model", "dataset", s["correct"].alias("correct"), s["valid"].alias("valid"),
                      (cc == "ambig").cast("double").alias("is_ambig"), (cc == "disambig").cast("double").alias("is_disambig"),
-                     F.when(ds == "poetav2_gsm8k", s["correct"]).alias("exact"))
+                     F.when(ds == "arith_gsm8k", s["correct"]).alias("exact"))
 
 
 _RUNNER_SQL = f"""WITH fx AS ({FX_RUNNER}), {d_sanitize_ctes('fx', STOPS)},
 p AS (SELECT *, {d_model_answer('dataset', 'clean')} AS pred,
              CASE WHEN starts_with(dataset, 'bbq') THEN CAST(doc_id % 3 AS STRING)
-                  WHEN dataset = 'poetav2_gsm8k' THEN concat('= ', CAST(doc_id AS STRING), ',5') ELSE gold END AS label FROM s7),
+                  WHEN dataset = 'arith_gsm8k' THEN concat('= ', CAST(doc_id AS STRING), ',5') ELSE gold END AS label FROM s7),
 n AS (SELECT *, TRY_CAST(replace(regexp_extract_all(label, {sql_str('(' + X.NUMBER + ')')}, 1)[-1], ',', '.') AS DOUBLE) AS e_num,
                 TRY_CAST(replace(regexp_extract_all(pred, {sql_str('(' + X.NUMBER + ')')}, 1)[-1], ',', '.') AS DOUBLE) AS p_num FROM p),
 sc AS (SELECT model, dataset,
   CAST(CASE WHEN starts_with(dataset, 'enem') THEN (pred = upper({d_strip('label')}))::INT
             WHEN starts_with(dataset, 'bbq') THEN (pred = {d_strip('label')})::INT
-            WHEN dataset = 'poetav2_gsm8k' THEN coalesce((e_num IS NOT NULL AND p_num IS NOT NULL
+            WHEN dataset = 'arith_gsm8k' THEN coalesce((e_num IS NOT NULL AND p_num IS NOT NULL
                  AND abs(e_num - p_num) <= 1e-9 * greatest(abs(e_num), abs(p_num))), false)::INT END AS DOUBLE) AS correct,
   CAST(CASE WHEN starts_with(dataset, 'enem') THEN (pred IN ('A','B','C','D','E'))::INT
             WHEN starts_with(dataset, 'bbq') THEN (pred IN ('0','1','2'))::INT
-            WHEN dataset = 'poetav2_gsm8k' THEN (p_num IS NOT NULL)::INT
+            WHEN dataset = 'arith_gsm8k' THEN (p_num IS NOT NULL)::INT
             ELSE ({d_strip('pred')} <> '')::INT END AS DOUBLE) AS valid,
   CAST(lower(context_condition) = 'ambig' AS DOUBLE) AS is_ambig, CAST(lower(context_condition) = 'disambig' AS DOUBLE) AS is_disambig
   FROM n),
@@ -357,7 +357,7 @@ rows AS (
   UNION ALL SELECT model, concat('accuracy_', dataset), acc FROM ag WHERE starts_with(dataset, 'bbq_')
   UNION ALL SELECT model, 'accuracy_bbq_ambig', acc_ambig FROM ag WHERE starts_with(dataset, 'bbq_')
   UNION ALL SELECT model, 'accuracy_bbq_disambig', acc_disambig FROM ag WHERE starts_with(dataset, 'bbq_')
-  UNION ALL SELECT model, 'exact_match_poetav2_gsm8k', acc FROM ag WHERE dataset = 'poetav2_gsm8k'
+  UNION ALL SELECT model, 'exact_match_arith_gsm8k', acc FROM ag WHERE dataset = 'arith_gsm8k'
   UNION ALL SELECT model, 'valid_rate', valid_rate FROM ag WHERE dataset = 'other'),
 merged AS (SELECT model, metric, avg(value) AS value FROM rows GROUP BY ALL),
 years AS (SELECT DISTINCT model, unnest(['accuracy_enem_2022', 'accuracy_enem_2023', 'accuracy_enem_2024']) AS metric FROM merged),

@@ -18,7 +18,7 @@ FX_RAW = """SELECT doc_id, CASE doc_id % 8
    WHEN 5 THEN concat('FINAL_ANSWER: ', CAST(doc_id % 3 AS STRING))
    WHEN 6 THEN concat('Total = ', CAST(doc_id AS STRING), ',5')
    ELSE text END AS raw, letter AS gold,
-   CASE doc_id % 4 WHEN 0 THEN 'enem_2023' WHEN 1 THEN 'bbq_age' WHEN 2 THEN 'poetav2_gsm8k'
+   CASE doc_id % 4 WHEN 0 THEN 'enem_2023' WHEN 1 THEN 'bbq_age' WHEN 2 THEN 'arith_gsm8k'
         ELSE 'other' END AS dataset
 FROM (SELECT doc_id, text, substr('ABCDE', CAST(1 + doc_id % 5 AS INT), 1) AS letter FROM documents) t"""
 
@@ -94,7 +94,7 @@ def d_last_line(e: str) -> str:
 
 def d_model_answer(ds: str, e: str) -> str:
     return (f"(CASE WHEN {d_strip(e)} = '' THEN '' WHEN starts_with({ds}, 'enem') THEN {d_letter(e)} "
-            f"WHEN starts_with({ds}, 'bbq') THEN {d_index(e)} WHEN {ds} = 'poetav2_gsm8k' THEN {d_number(e)} "
+            f"WHEN starts_with({ds}, 'bbq') THEN {d_index(e)} WHEN {ds} = 'arith_gsm8k' THEN {d_number(e)} "
             f"ELSE {d_last_line(e)} END)")
 
 
@@ -122,7 +122,7 @@ def q_extract_answers(spark, sf_dir):
 _SCORE_SQL = f"""WITH fx AS ({FX_RAW}), {d_sanitize_ctes('fx', STOPS)},
 p AS (SELECT doc_id, dataset, raw, gold, clean, {d_model_answer('dataset', 'clean')} AS pred FROM s7),
 g AS (SELECT *, CASE WHEN dataset = 'bbq_age' THEN CAST(doc_id % 3 AS STRING)
-                     WHEN dataset = 'poetav2_gsm8k' THEN concat('A conta dá ', CAST(doc_id AS STRING), ',5')
+                     WHEN dataset = 'arith_gsm8k' THEN concat('A conta dá ', CAST(doc_id AS STRING), ',5')
                      ELSE gold END AS label FROM p),
 n AS (SELECT *, TRY_CAST(replace(regexp_extract_all(label, {sql_str('(' + X.NUMBER + ')')}, 1)[-1], ',', '.') AS DOUBLE) AS e_num,
                 TRY_CAST(replace(regexp_extract_all(pred, {sql_str('(' + X.NUMBER + ')')}, 1)[-1], ',', '.') AS DOUBLE) AS p_num
@@ -130,11 +130,11 @@ n AS (SELECT *, TRY_CAST(replace(regexp_extract_all(label, {sql_str('(' + X.NUMB
 SELECT doc_id,
   CAST(CASE WHEN starts_with(dataset, 'enem') THEN (pred = upper({d_strip('label')}))::INT
             WHEN starts_with(dataset, 'bbq') THEN (pred = {d_strip('label')})::INT
-            WHEN dataset = 'poetav2_gsm8k' THEN coalesce((e_num IS NOT NULL AND p_num IS NOT NULL
+            WHEN dataset = 'arith_gsm8k' THEN coalesce((e_num IS NOT NULL AND p_num IS NOT NULL
                  AND abs(e_num - p_num) <= 1e-9 * greatest(abs(e_num), abs(p_num))), false)::INT END AS DOUBLE) AS correct,
   CAST(CASE WHEN starts_with(dataset, 'enem') THEN (pred IN ('A','B','C','D','E'))::INT
             WHEN starts_with(dataset, 'bbq') THEN (pred IN ('0','1','2'))::INT
-            WHEN dataset = 'poetav2_gsm8k' THEN (p_num IS NOT NULL)::INT
+            WHEN dataset = 'arith_gsm8k' THEN (p_num IS NOT NULL)::INT
             ELSE ({d_strip('pred')} <> '')::INT END AS DOUBLE) AS valid,
   contains(upper(right(raw, 100)), gold) AS contains_gold
 FROM n"""
@@ -147,7 +147,7 @@ def q_score_samples(spark, sf_dir):
     fx = fx.select("doc_id", "dataset", "raw", "gold", C.sanitize_output("raw", STOPS).alias("clean"))
     fx = fx.withColumn("pred", X.extract_model_answer("dataset", "clean"))
     label = (F.when(F.col("dataset") == "bbq_age", (F.col("doc_id") % 3).cast("string"))
-              .when(F.col("dataset") == "poetav2_gsm8k", F.concat(F.lit("A conta dá "), F.col("doc_id").cast("string"), F.lit(",5")))
+              .when(F.col("dataset") == "arith_gsm8k", F.concat(F.lit("A conta dá "), F.col("doc_id").cast("string"), F.lit(",5")))
               .otherwise(F.col("gold")))
     s = score_runner_sample("dataset", label, "pred")
     return fx.select("doc_id", s["correct"].alias("correct"), s["valid"].alias("valid"),
