@@ -89,6 +89,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a large intermediate that one operator reads several times (memory, spilling
+    to local disk).  Lost blocks are recomputed from lineage after an executor loss, so
+    nothing is written to shared storage for data that lives for one job."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Guarantee enough tasks for per-row heavy work: a scan with fewer partitions than
     the cluster's parallelism (e.g. one large Parquet row group) is round-robin
