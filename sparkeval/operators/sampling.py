@@ -74,7 +74,7 @@ def dense_index(df: DataFrame, keys, order: list[Column], out: str = "idx",
     is spread over many range partitions."""
     ks = _keys(keys)
     tmp = [F.col(k) for k in ks] + order
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     s = (df.repartitionByRange(n, *tmp).sortWithinPartitions(*tmp)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
@@ -197,7 +197,7 @@ def distributed_cumsum(df: DataFrame, keys, order: list[Column], value: Column,
     running sums are added to the totals of the earlier partitions of the same group."""
     ks = _keys(keys)
     tmp = [F.col(k) for k in ks] + order
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     s = (df.withColumn("_v", value).repartitionByRange(n, *tmp)
            .withColumn("_pid", F.spark_partition_id()))
     s = materialize(s)

@@ -56,7 +56,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Return the session's checkpoint folder; set one only where it is unset and a
     fallback is given (tests / local bench)."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (e.g. remote clients)
+        return spark.conf.get("spark.checkpoint.dir", None)
     cur = sc.getCheckpointDir()
     if cur:
         return cur
@@ -100,10 +103,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Guarantee enough tasks for per-row heavy work: a scan with fewer partitions than
     the cluster's parallelism (e.g. one large Parquet row group) is round-robin
     repartitioned; a big input (thousands of splits) is left untouched — no shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan: leave partitioning to the engine
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def estimate_size(df: DataFrame) -> tuple[int, int]:
