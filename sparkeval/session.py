@@ -133,13 +133,18 @@ def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
                       already_materialized: bool = False) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if its measured size is under ``max_bytes``.
 
-    Returns (side, broadcast?) — the side is materialised so that the size check and
-    the join read the same data once.  Above the limit the caller's join stays a
-    shuffle join (sort-merge / shuffled-hash, AQE skew split)."""
-    side = df if already_materialized else materialize(df)
+    Returns (side, broadcast?).  The side is kept (persisted) while it is measured, so
+    the measurement and the join read it once; a side that fits is broadcast from that
+    copy, a larger one is written as a reliable checkpoint and the caller's join stays
+    a shuffle join (sort-merge / shuffled-hash, AQE skew split)."""
+    side = df if already_materialized else reuse(df)
     _, nbytes = estimate_size(side)
     if nbytes <= max_bytes:
         return F.broadcast(side), True
+    if not already_materialized:
+        big = materialize(side)
+        side.unpersist()
+        return big, False
     return side, False
 
 
