@@ -11,9 +11,9 @@ from .registry import load, query, sql, sql_str
 # fx_raw: raw model outputs, one template per branch (same SQL text in both engines).
 FX_RAW = """SELECT doc_id, CASE doc_id % 8
    WHEN 0 THEN concat('FINAL_ANSWER: ', letter)
-   WHEN 1 THEN concat('<think>', substr(text, 1, 60), '</think> Resposta final: ', letter)
-   WHEN 2 THEN concat('A alternativa ', letter, ') porque ', substr(text, 1, 40))
-   WHEN 3 THEN concat('opção 3 ', substr(text, 1, 40))
+   WHEN 1 THEN concat('<think>', text, '</think> Resposta final: ', letter)
+   WHEN 2 THEN concat('A alternativa ', letter, ') porque ', text)
+   WHEN 3 THEN concat('opção 3 ', text)
    WHEN 4 THEN concat('<|im_start|>assistant', letter, '.<|im_end|>')
    WHEN 5 THEN concat('FINAL_ANSWER: ', CAST(doc_id % 3 AS STRING))
    WHEN 6 THEN concat('Total = ', CAST(doc_id AS STRING), ',5')
