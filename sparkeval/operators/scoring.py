@@ -75,7 +75,8 @@ def _f1(common, n_pred, n_ref) -> Column:
 
 
 def _multiset_common(a: Column, b: Column) -> Column:
-    return F.aggregate(F.array_distinct(a), F.lit(0),
+    """Size of the bag intersection: only tokens present on both sides can contribute."""
+    return F.aggregate(F.array_intersect(a, b), F.lit(0),
                        lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)),
                                                     F.size(F.filter(b, lambda x: x == t))))
 
