@@ -100,3 +100,30 @@ def test_frequent_ngrams_exact_against_bruteforce(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["ngram"]: r["n_docs"] for r in D.frequent_ngrams(d, n=3, min_docs=10).collect()}
     assert got == {"common words here": 15, "words here common": 15, "here common words": 15}
+
+
+def test_cut_rule_property_random_documents(spark):
+    """Random documents built from a small vocabulary (so windows repeat), punctuation
+    tokens and whitespace runs: the Spark job equals the specification on every one."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    vocab = WORDS[:8] + ["--", "X.", "Alpha,", " ".join(WORDS[:8] * 2), " ".join(WORDS[:8] * 2).upper()]
+    bench_text = " ".join(WORDS[:8] * 3)
+    sep = st.sampled_from([" ", "  ", "\n", " \n "])
+    doc = st.lists(st.tuples(st.sampled_from(vocab), sep), min_size=0, max_size=160).map(
+        lambda xs: "".join(w + s for w, s in xs))
+
+    b = spark.createDataFrame([(0, bench_text)], "item_id long, text string")
+    dirt = D.register_contaminants(b).collect()      # warm and reuse the contaminant set
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(doc, min_size=1, max_size=8))
+    def check(texts):
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_matches"], list(r["chunks"])) for r in D.decontaminate(d, b).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == _brute(t, [bench_text]), (i, t)
+
+    assert dirt
+    check()
