@@ -124,4 +124,4 @@ def chat_messages(turns: DataFrame, **kw) -> DataFrame:
     sys_item = F.when(F.col("system") != "", F.array(F.struct(F.lit("system").alias("role"),
                                                                F.col("system").alias("content"))))
     allm = F.concat(F.coalesce(sys_item, F.array().cast("array<struct<role:string,content:string>>")), items)
-    return c.select(conv, F.to_json(allm, {"ignoreNullFields": "false"}).alias("messages_json"), F.size(allm).alias("n_messages"))
+    return c.select(conv, F.to_json(allm, {"ignoreNullFields": "false"}).alias("messages_json"), F.size(allm).cast("bigint").alias("n_messages"))

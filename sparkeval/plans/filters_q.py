@@ -42,7 +42,7 @@ def q_filter_markup(spark, sf_dir):
 def q_fit_lengths(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     keep, cleaned = P.fit_train("text", 1544)
-    return d.select("doc_id", keep.alias("keep_train"), F.length(cleaned).alias("train_len"),
+    return d.select("doc_id", keep.alias("keep_train"), F.length(cleaned).cast("bigint").alias("train_len"),
                     P.fit_test("text", 2095).alias("test_text"))
 
 
@@ -78,7 +78,7 @@ def q_exam_filters(spark, sf_dir):
                      P.filter_by_attrs(P.exam_attr_filter(None), ["IU", "ML"]).alias("keep_flags"),
                      P.filter_exam_items("id", "answer", "has_images", [2022, 2023]).alias("keep_item"),
                      P.exam_area("q_no", AREAS).alias("area"),
-                     P.gold_index("answer").alias("gold_idx"),
+                     P.gold_index("answer").cast("bigint").alias("gold_idx"),
                      P.filter_valid_choices(F.array("lang", "source", F.lit("x1"))).alias("valid_labels"))
 
 

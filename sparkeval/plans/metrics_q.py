@@ -21,7 +21,7 @@ FX_CLS = """SELECT d.source AS task, d.lang AS prompt_mode, concat('m', CAST(d.d
        (l.quality + l.toxic + CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END) % 3 AS pred3
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
-FX_MC = """SELECT item_id, rn - 1 AS choice_idx, loglik, choice_len, item_id % 3 AS gold FROM (
+FX_MC = """SELECT item_id, CAST(rn - 1 AS BIGINT) AS choice_idx, loglik, choice_len, item_id % 3 AS gold FROM (
   SELECT l_orderkey AS item_id, -l_extendedprice / 1000 AS loglik,
          CAST(l_quantity AS INT) AS choice_len,
          row_number() OVER (PARTITION BY l_orderkey

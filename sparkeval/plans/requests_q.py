@@ -77,7 +77,7 @@ it AS (SELECT conv_id, i, CASE WHEN i % 2 = 0 THEN {{'role': 'user', 'content':
 li AS (SELECT conv_id, list(item ORDER BY i) FILTER (WHERE item IS NOT NULL) AS items FROM it GROUP BY conv_id),
 a AS (SELECT s.conv_id, CASE WHEN s.system <> '' THEN [{{'role': 'system', 'content': s.system}}] ELSE [] END
                           || coalesce(li.items, []) AS allm FROM s LEFT JOIN li USING (conv_id))
-SELECT conv_id, to_json(allm) AS messages_json, len(allm) AS n_messages FROM a""")
+SELECT conv_id, CAST(to_json(allm) AS VARCHAR) AS messages_json, CAST(len(allm) AS BIGINT) AS n_messages FROM a""")
 def q_chat_messages(spark, sf_dir):
     return CH.chat_messages(load(spark, sf_dir, "conversations"))
 
@@ -141,7 +141,7 @@ p AS (SELECT *, row_number() OVER (ORDER BY {_ORDER_SQL}) - 1 AS pos FROM r),
 f AS (SELECT *, CASE WHEN lag(role) OVER (ORDER BY pos) IS NULL OR lag(role) OVER (ORDER BY pos) <> role THEN 1 ELSE 0 END AS nw FROM p),
 g AS (SELECT *, sum(nw) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
 h AS (SELECT *, min(pos) OVER (PARTITION BY island) AS st FROM g)
-SELECT conv_id, turn, pos, island, CAST(floor((pos - st) / 8) AS BIGINT) AS chunk_in_island FROM h""")
+SELECT conv_id, turn, pos, CAST(island AS BIGINT) AS island, CAST(floor((pos - st) / 8) AS BIGINT) AS chunk_in_island FROM h""")
 def q_batch_requests(spark, sf_dir):
     r = load(spark, sf_dir, "conversations").withColumn("task", F.lit("chat"))
     order = [F.length("text"), F.col("text"), F.col("conv_id"), F.col("turn")]
@@ -205,5 +205,5 @@ def q_assemble_responses(spark, sf_dir):
     items = o.select(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("prompt_mode"),
                      F.col("o_orderkey").alias("doc_id"))
     a = assemble_responses(items, r)
-    return a.select("task", "prompt_mode", "doc_id", F.size("responses").alias("n_resp"),
+    return a.select("task", "prompt_mode", "doc_id", F.size("responses").cast("bigint").alias("n_resp"),
                     F.element_at("responses", 1).alias("first_resp"), F.element_at("responses", -1).alias("last_resp"))

@@ -30,7 +30,7 @@ FX_RUNS = """SELECT p_brand AS model, p_type AS quant, CAST(avg(p_retailprice) /
        CAST(max(p_size) / 4.0 AS DOUBLE) AS size_gb
 FROM part GROUP BY p_brand, p_type"""
 
-FX_STEPS = """SELECT year(o_orderdate) AS step, o_orderstatus AS prompt_mode, o_orderpriority AS dataset,
+FX_STEPS = """SELECT CAST(year(o_orderdate) AS BIGINT) AS step, o_orderstatus AS prompt_mode, o_orderpriority AS dataset,
        CAST(avg(o_totalprice) / 500000 AS DOUBLE) AS raw, count(*) AS num_examples
 FROM orders GROUP BY year(o_orderdate), o_orderstatus, o_orderpriority"""
 # Inline mapping of the five order priorities onto reference task keys.
@@ -58,10 +58,11 @@ a AS (SELECT run_id, count(*) AS n_records, sum(CASE WHEN outcome = 'success' TH
         count_if(outcome = 'error') AS error_count, count_if(outcome = 'oom') AS oom_count FROM o GROUP BY run_id),
 b AS (SELECT a.*, CASE WHEN coalesce(n_expected, n_records) > 0 THEN n_success / coalesce(n_expected, n_records) ELSE 0.0 END AS rate
       FROM a LEFT JOIN ex USING (run_id))
-SELECT run_id, n_records, n_success, {rd('inference_avg_time_s')} AS inference_avg_time_s,
+SELECT run_id, n_records, CAST(n_success AS BIGINT) AS n_success, {rd('inference_avg_time_s')} AS inference_avg_time_s,
        {rd('inference_total_time_s')} AS inference_total_time_s, {rd('inference_p95_time_s')} AS inference_p95_time_s,
        {rd('ram_peak_gb')} AS ram_peak_gb, {rd('thermal_avg_c')} AS thermal_avg_c,
-       timeout_count, loop_count, error_count, oom_count, {rd('rate')} AS inference_success_rate,
+       CAST(timeout_count AS BIGINT) AS timeout_count, CAST(loop_count AS BIGINT) AS loop_count,
+       CAST(error_count AS BIGINT) AS error_count, CAST(oom_count AS BIGINT) AS oom_count, {rd('rate')} AS inference_success_rate,
        CASE WHEN rate = 0 THEN 'failed' WHEN rate < 1 THEN 'partial' ELSE 'completed' END AS status FROM b"""
 
 
@@ -116,8 +117,8 @@ def q_pareto_frontier(spark, sf_dir):
 @query("failure_breakdown", f"""WITH fx AS ({FX_RECORDS}),
 o AS (SELECT *, CASE WHEN rc IN (137, -9, 139) THEN 'oom' WHEN timed_out THEN 'timeout' WHEN loop_abort THEN 'loop'
                      WHEN rc <> 0 THEN 'error' ELSE 'success' END AS outcome FROM fx)
-SELECT dataset, model, count(*) AS n, count_if(outcome <> 'success') AS n_failed,
-       count_if(outcome = 'timeout') AS n_timeout, count_if(outcome = 'oom') AS n_oom
+SELECT dataset, model, count(*) AS n, CAST(count_if(outcome <> 'success') AS BIGINT) AS n_failed,
+       CAST(count_if(outcome = 'timeout') AS BIGINT) AS n_timeout, CAST(count_if(outcome = 'oom') AS BIGINT) AS n_oom
 FROM o GROUP BY CUBE (dataset, model)""")
 def q_failure_breakdown(spark, sf_dir):
     fx = sql(spark, sf_dir, FX_RECORDS).withColumn("outcome", C.label_outcome("rc", "timed_out", "loop_abort"))

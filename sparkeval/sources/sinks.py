@@ -32,7 +32,7 @@ def results_table(results: DataFrame, keys=("task", "prompt_mode"), metric: str
     value = F.format_string("%.4f", F.col("value"))
     se = F.when(F.col("stderr").isNotNull(), F.format_string("%.4f", F.col("stderr"))).otherwise(F.lit(""))
     pm = F.when(F.col("stderr").isNotNull(), F.lit("±")).otherwise(F.lit(""))
-    rows = results.select(F.row_number().over(w).alias("line_no"), *blank, F.col(metric), value.alias("v"),
+    rows = results.select(F.row_number().over(w).cast("bigint").alias("line_no"), *blank, F.col(metric), value.alias("v"),
                           pm.alias("pm"), se.alias("se"))
     return rows.select("line_no", F.concat_ws("|", F.lit(""), *ks, metric, "v", "pm", "se", F.lit("")).alias("line"))
 
