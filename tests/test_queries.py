@@ -9,6 +9,8 @@ from sparkeval.session import TABLES
 from tools.oracle_check import _digest
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT"}
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 
@@ -38,6 +40,10 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
         return
+    rel = con.sql(ORACLES[name])
+    want_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got_types = {f.name: SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert got_types == want_types
     res = con.execute(ORACLES[name])
     cols = [c[0] for c in res.description]
     assert sorted(df.columns) == sorted(cols)
