@@ -257,17 +257,17 @@ def sliced_metrics(df: DataFrame, value: str, slices: list[str], keys=()) -> Dat
     """AGG19 / AGG30: each sample counts toward the overall figure and toward every slice
     it belongs to — one GROUPING SETS aggregate (mean and correct-count sum)."""
     ks = _keys(keys)
-    sets = [ks] + [ks + [s] for s in slices]
-    gs = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    view = f"_slices_{id(df)}"
-    df.createOrReplaceTempView(view)
-    cols = ", ".join(ks + slices)
-    slice_name = "CASE " + " ".join(f"WHEN grouping({s}) = 0 THEN '{s}'" for s in slices) + " ELSE 'overall' END"
-    slice_val = "coalesce(" + ", ".join(f"CAST({s} AS STRING)" for s in slices) + ", 'all')"
-    key_sel = "".join(f"{k}, " for k in ks)
-    return df.sparkSession.sql(
-        f"SELECT {key_sel}{slice_name} AS slice, {slice_val} AS slice_value, avg({value}) AS mean, "
-        f"sum({value}) AS total, count(*) AS n FROM {view} GROUP BY {cols} GROUPING SETS ({gs})")
+    sets = [[F.col(k) for k in ks]] + [[F.col(k) for k in ks] + [F.col(s)] for s in slices]
+    g = df.groupingSets(sets, *[F.col(c) for c in ks + slices]).agg(
+        F.avg(col(value)).alias("mean"), F.sum(col(value)).alias("total"), F.count(F.lit(1)).alias("n"),
+        *[F.grouping(s).alias(f"_g_{s}") for s in slices])
+    name = None
+    for s in slices:
+        name = (F.when(F.col(f"_g_{s}") == 0, F.lit(s)) if name is None
+                else name.when(F.col(f"_g_{s}") == 0, F.lit(s)))
+    name = name.otherwise(F.lit("overall"))
+    value_col = F.coalesce(*[F.col(s).cast("string") for s in slices], F.lit("all"))
+    return g.select(*ks, name.alias("slice"), value_col.alias("slice_value"), "mean", "total", "n")
 
 
 # ------------------------------------------------------------------ AGG28 / AGG01
