@@ -16,27 +16,27 @@ def _norm(s):
 
 
 def _brute(doc, bench_texts, n=13, window=200, cutoff=10, min_slice=200):
-    dirt = set()
+    """Specification, written independently of the Spark job: contaminant windows from
+    the normalised benchmark text; matching windows of the raw text (normalised per
+    token); more than ``cutoff`` matches drop the document; otherwise the text between
+    consecutive widened windows is kept when longer than ``min_slice``, and the tail
+    after the last widened window (one past its inclusive end) likewise."""
+    grams = set()
     for b in bench_texts:
         toks = _norm(b).split()
-        dirt.update(" ".join(toks[i:i + n]) for i in range(len(toks) - n + 1))
-    words = [(m.group(0), m.start(), m.end() - 1) for m in re.finditer(r"\S+", doc)]
-    hits = []
-    for i in range(len(words) - n + 1):
-        w = words[i:i + n]
-        if _norm(" ".join(x[0] for x in w)) in dirt:
-            hits.append((w[0][1], w[-1][2]))
-    chunks, splice, end = [], 0, -1
-    for i, (s, e) in enumerate(hits):
-        if i >= cutoff:
-            return len(hits), []
-        s, end = max(0, s - window), min(len(doc), e + window)
-        if s - splice > min_slice:
-            chunks.append(doc[splice:s])
-        splice = end
-    if end < len(doc) - min_slice:
-        chunks.append(doc[end + 1:])
-    return len(hits), chunks
+        grams |= {" ".join(toks[i:i + n]) for i in range(len(toks) - n + 1)}
+    spans = [(m.start(), m.end() - 1, _norm(m.group(0))) for m in re.finditer(r"\S+", doc)]
+    hits = [(spans[i][0], spans[i + n - 1][1]) for i in range(len(spans) - n + 1)
+            if " ".join(t for _, _, t in spans[i:i + n]) in grams]
+    if len(hits) > cutoff:
+        return len(hits), []
+    widened = [(max(0, a - window), min(len(doc), z + window)) for a, z in hits]
+    previous_ends = [0] + [z for _, z in widened[:-1]]
+    kept = [doc[p:lo] for p, (lo, _) in zip(previous_ends, widened) if lo - p > min_slice]
+    last_end = widened[-1][1] if widened else -1
+    if len(doc) - min_slice > last_end:
+        kept.append(doc[last_end + 1:])
+    return len(hits), kept
 
 
 WORDS = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau "
