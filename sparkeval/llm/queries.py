@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .common import read
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_counts import token_prefixes
+from .url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +38,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fit_chars")
 
 
+@query("op4_line_dedup", oracle=r"""
+WITH lines AS (
+  SELECT doc_id, i, lines[i + 1] AS line FROM (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+windows AS (
+  SELECT doc_id, i AS s, lead(i, 2) OVER w AS e, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS k
+  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows WHERE e IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM ranked WHERE r > 1),
+marked AS (SELECT l.*, c.i IS NOT NULL AS gone, regexp_matches(line, '[^\x20\x09-\x0D]') AS word FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.i = c.i)
+SELECT doc_id, count(*) FILTER (WHERE word) AS n_lines, count(*) FILTER (WHERE word AND gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a word, how many of them repeat an earlier three-line window, and the digest
+    of the text that stays, per document."""
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, whole-text verdict and line-first verdict of every document."""
@@ -53,3 +76,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
     return bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+# Fixed rules of the contract: (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL.  Training labels: rows of ``labels`` whose id is a page's,
+    block where the quality is 0."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("block"))
+    return url_filter(read(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
