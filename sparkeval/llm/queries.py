@@ -13,6 +13,7 @@ from .common import read
 from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .substring_dedup import substring_dedup
 from .token_counts import token_prefixes
 from .url_filter import url_filter
 
@@ -38,6 +39,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fit_chars")
 
 
+@query("op2_substring_dedup", oracle=r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, ws[i:i + 12] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (k) WHERE first < doc_id),
+gone_by AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n_words, len(coalesce(g, [])) AS n_removed,
+                CASE WHEN g IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END AS ks
+         FROM w LEFT JOIN gone_by USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 13-word window of an earlier document covers."""
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 @query("op4_line_dedup", oracle=r"""
 WITH lines AS (
   SELECT doc_id, i, lines[i + 1] AS line FROM (
