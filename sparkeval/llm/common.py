@@ -7,7 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 # A word is a run of characters that are neither a space nor U+0009..U+000D.
@@ -74,3 +77,35 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list], di
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids of all words, offsets by text, dictionary) of an array of texts."""
+    parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), GAP)
+    flat = parts.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    owner = np.asarray(pc.list_parent_indices(parts))[np.asarray(real)]
+    coded = flat.filter(real).dictionary_encode()
+    offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary
+
+
+def word_hashes(dictionary: pa.Array, seed: int) -> np.ndarray:
+    h = xxhash.xxh3_64_intdigest
+    return np.fromiter((h(w, seed) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+
+
+def rolling_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` word hashes (as many entries as h, the last n-1 unused)."""
+    out = np.zeros(len(h), dtype=np.uint64)
+    for j in range(n):
+        out[:len(h) - j] = out[:len(h) - j] * _M1 + h[j:]
+    return mix(out)

@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,6 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Pipeline form: rejected rows go, the rest lose their failing lines.  Every column is
     kept (whatever its name); ``chars_col``, where present, follows the new text."""
-    import pandas as pd
 
     @F.pandas_udf("kept boolean, clean_text string")
     def verdict(texts: pd.Series) -> pd.DataFrame:

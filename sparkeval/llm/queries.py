@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .common import read
+from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
@@ -54,6 +56,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget, with the best place."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op4_line_dedup", oracle=r"""
 WITH lines AS (
   SELECT doc_id, i, lines[i + 1] AS line FROM (
@@ -88,6 +96,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"), repo=F.col("doc_id"), owner=F.col("source"))
 
 
+@query("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op9_bpe_codec")
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""

@@ -30,43 +30,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
-
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M2
-    return x ^ (x >> np.uint64(29))
-
-
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(ids of all words, offsets by text, dictionary) of an array of texts."""
-    parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), GAP)
-    flat = parts.flatten()
-    real = pc.greater(pc.binary_length(flat), 0)
-    owner = np.asarray(pc.list_parent_indices(parts))[np.asarray(real)]
-    coded = flat.filter(real).dictionary_encode()
-    offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary
-
-
-def _hashes(dictionary: pa.Array, seed: int) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
-
-
-def _rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` word hashes (as many entries as h, the last n-1 unused)."""
-    out = np.zeros(len(h), dtype=np.uint64)
-    for j in range(n):
-        out[:len(h) - j] = out[:len(h) - j] * _M1 + h[j:]
-    return _mix(out)
-
+from .common import rolling_hash, mix, word_codes, word_hashes
 
 def _rolling_min(x: np.ndarray, n: int) -> np.ndarray:
     out, have = x.copy(), 1
@@ -92,12 +59,12 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def pack_share(share: int, ids: np.ndarray, texts: pa.Array, k: int, m: int, n_buckets: int) -> pa.RecordBatch:
     """The distinct super-k-mers of a share: one row a bucket."""
-    coded, offsets, dictionary = _words(texts)
+    coded, offsets, dictionary = word_codes(texts)
     out = {"bucket": [], "share": [], "packed": [], "least": [], "most": []}
     if len(coded):
-        h = _hashes(dictionary, 0)[coded]
+        h = word_hashes(dictionary, 0)[coded]
         good = _window_places(offsets, len(coded), k)
-        low = _rolling_min(_rolling(h, m), k - m + 1)
+        low = _rolling_min(rolling_hash(h, m), k - m + 1)
         doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
         first = good.copy()
         first[1:] &= ~(good[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
@@ -111,7 +78,7 @@ def pack_share(share: int, ids: np.ndarray, texts: pa.Array, k: int, m: int, n_b
         np.minimum.at(least, which, ids[doc[at]])
         np.maximum.at(most, which, ids[doc[at]])
         bucket = np.zeros(n, dtype=np.int64)
-        bucket[which] = (_mix(low[at]) % np.uint64(n_buckets)).astype(np.int64)
+        bucket[which] = (mix(low[at]) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         sorted_strings = code.dictionary.take(pa.array(order))
@@ -142,10 +109,10 @@ def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
         least.append(np.frombuffer(lo, dtype=np.int64))
         most.append(np.frombuffer(hi, dtype=np.int64))
     share, least, most = (np.concatenate(x) for x in (shares, least, most))
-    coded, offsets, dictionary = _words(pa.array(strings, pa.large_string()))
+    coded, offsets, dictionary = word_codes(pa.array(strings, pa.large_string()))
     at = np.flatnonzero(_window_places(offsets, len(coded), k))
     string = np.repeat(np.arange(len(strings)), np.diff(offsets))[at]
-    h1 = _rolling(_hashes(dictionary, 0)[coded], k)[at]
+    h1 = rolling_hash(word_hashes(dictionary, 0)[coded], k)[at]
     order = np.argsort(h1, kind="stable")
     run = np.cumsum(np.diff(h1[order], prepend=~h1[order[:1]]) != 0) - 1          # equal hashes are one run
     group = np.empty(len(at), dtype=np.int64)
@@ -165,7 +132,7 @@ def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
     np.maximum.at(hi, exact, most[string[many]])
     tell = lo[exact] < most[string[many]]                                         # the share holds it in a later document
     many, exact = many[tell], exact[tell]
-    h2 = _rolling(_hashes(dictionary, 1)[coded], k)[at[many]]
+    h2 = rolling_hash(word_hashes(dictionary, 1)[coded], k)[at[many]]
     out_share, h1, lo = share[string[many]], h1[many], lo[exact]
     out = {"share": [], "hash1": [], "hash2": [], "least": []}
     order = np.lexsort((h2, h1, out_share))
@@ -188,7 +155,7 @@ def _answer_schema() -> pa.Schema:
 
 def removed_words(ids: np.ndarray, has_id: np.ndarray, texts: pa.Array, answers: pa.Table, k: int):
     """(offsets by text, removed mask of all words, the words) of one share."""
-    coded, offsets, dictionary = _words(texts)
+    coded, offsets, dictionary = word_codes(texts)
     gone = np.zeros(len(coded), dtype=bool)
     if len(coded) and answers.num_rows:
         k1 = np.frombuffer(b"".join(answers.column("hash1").to_pylist()), dtype=np.uint64)
@@ -197,13 +164,13 @@ def removed_words(ids: np.ndarray, has_id: np.ndarray, texts: pa.Array, answers:
         order = np.lexsort((k2, k1))
         k1, k2, least = k1[order], k2[order], least[order]
         at = np.flatnonzero(_window_places(offsets, len(coded), k))
-        h1 = _rolling(_hashes(dictionary, 0)[coded], k)[at]
+        h1 = rolling_hash(word_hashes(dictionary, 0)[coded], k)[at]
         place = np.searchsorted(k1, h1)
         near = np.minimum(place, len(k1) - 1)
         hit = k1[near] == h1
         at, place, h1 = at[hit], place[hit], h1[hit]
         if len(at):
-            h2 = _rolling(_hashes(dictionary, 1)[coded], k)[at]
+            h2 = rolling_hash(word_hashes(dictionary, 1)[coded], k)[at]
             doc = np.repeat(np.arange(len(ids)), np.diff(offsets))[at]
             while len(at):                                                        # equal first hashes lie side by side
                 ok = (place < len(k1))
