@@ -1,0 +1,415 @@
+"""The ten training-data operators against brute-force versions, on small fixtures with nulls,
+empty and long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from sparkeval.llm import bpe_codec, decontaminate, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, token_files, url_filter
+from sparkeval.llm.common import WORD_RE, new_shared_path
+
+SCHEMA = "doc_id bigint, text string, source string, id string, key string, share string, rep string, row string, hash string, window string, covered string, n_chars bigint"
+PIECE, JSON, MULTI = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def frame(spark, rows):
+    """(doc_id, text[, source]) rows with extra columns whose names operators also use."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "s", "a", "b", "c", "d", "e", "f", "g", "h", 1) for r in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def prose(rng, n, words=400):
+    return [f"w{rng.randrange(words)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Whole texts of the small table and odd strings."""
+    import duckdb
+    real = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()]
+    rng = random.Random(5)
+    alphabet = "ab cd  the in\n\té▁中文🦄\x00 aaa 1234,.'s\u00a0Ⅷ²"
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 50))) for _ in range(150)]
+    return real + odd + ["", " ", "a" * 3000, " " * 300, "ab" * 700, "中" * 600, "<s> </s> <|endoftext|> x"]
+
+
+# -- 1 ------------------------------------------------------------------------
+
+def test_token_counts_equal_the_library_at_every_prefix(spark, texts):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(-1, None), (None, "null id"), (0, texts[0])]
+    got = token_counts.token_prefixes(frame(spark, rows), PIECE, budget=100).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert (by_id[-1].n_tokens, by_id[-1].n_bytes, by_id[-1].fit_chars) == (0, 0, 0)
+    for i, t in enumerate(texts):
+        r = by_id[i]
+        assert r.n_tokens == len(sp.encode(t)) and r.n_bytes == len(t.encode())
+        counts = token_counts.prefix_counts(r.prefix_deltas)
+        step = 1 if len(t) < 60 else max(1, len(t) // 7)
+        for p in range(0, len(t) + 1, step):
+            assert counts[p] == len(sp.encode(t[:p])), (i, p)
+        if len(t) < 400:
+            assert r.fit_chars == max(p for p in range(len(t) + 1) if len(sp.encode(t[:p])) <= 100)
+
+
+# -- 2 ------------------------------------------------------------------------
+
+def brute_substrings(rows, k):
+    first = {}
+    for i, t in rows:
+        w = WORD_RE.findall(t or "")
+        for j in range(len(w) - k + 1):
+            if i is not None:
+                first[tuple(w[j:j + k])] = min(i, first.get(tuple(w[j:j + k]), i))
+    out = []
+    for i, t in rows:
+        w = WORD_RE.findall(t or "")
+        gone = {j + d for j in range(len(w) - k + 1) for d in range(k) if i is not None and first[tuple(w[j:j + k])] < i}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("share_bytes", [1 << 20, 700])
+def test_substring_dedup_equals_brute_force(spark, share_bytes):
+    rng = random.Random(7)
+    passage = prose(rng, 40)
+    rows = [(None, " ".join(passage)), (3, None), (4, ""), (5, "short text"), (6, " ".join(passage)), (6, " ".join(passage)), (7, "x " * 60)]
+    for i in range(10, 60):
+        a = prose(rng, rng.randrange(5, 60), 30 if i % 2 else 400)
+        rows.append((i, "\t ".join(a + passage[:rng.randrange(10, 40)] + prose(rng, 8)) if i % 3 else " ".join(a)))
+    rows += [(100, " ".join(passage + prose(rng, 3000) + passage))]
+    got = substring_dedup.substring_dedup(frame(spark, rows), share_bytes=share_bytes, with_text=True).collect()
+    assert sorted([tuple(r)[:4] for r in got], key=str) == brute_substrings(rows, 13)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
+    assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    """Windows are counted by their words: with a hash of two values the result is the same."""
+    import pyarrow as pa
+    real = substring_dedup.rolling_hash
+    monkeypatch.setattr(substring_dedup, "rolling_hash", lambda h, n: real(h, n) if n < 13 else real(h, n) % np.uint64(2))
+    texts = pa.array([" ".join(f"a{j}" for j in range(20)), " ".join(f"b{j}" for j in range(20)), " ".join(f"a{j}" for j in range(15))])
+    packed = substring_dedup.pack_share(0, np.array([1, 2, 3]), texts, 13, 6, 1)
+    answer = substring_dedup.count_bucket(pa.Table.from_batches([packed]), 13)
+    assert answer.num_rows == 1                             # the first text's windows in the third, not the second's
+    assert len(answer.column("least")[0].as_py()) >= 8
+
+
+# -- 3 ------------------------------------------------------------------------
+
+def substring_distance(p, t):
+    prev = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        cur = [i]
+        for j, d in enumerate(t, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
+        prev = cur
+    return min(prev)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_decontamination_equals_brute_force(spark, block_bytes):
+    rng = random.Random(11)
+    letters = "abcdefghij "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, text(rng.randrange(40, 70))) for i in range(8)] + [(20, None), (21, ""), (22, "short"), (0, None)]
+    rows = [(1, None), (2, ""), (None, "x " + items[0][1].upper() + " y")]
+    for i in range(10, 60):
+        body = list(items[rng.randrange(8)][1])
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(body))
+            if rng.random() < 0.5:
+                body[at] = rng.choice(letters)
+            else:
+                body.insert(at, rng.choice("xyz"))
+        rows.append((i, text(rng.randrange(0, 80)) + " ?! " + "".join(body) + text(rng.randrange(0, 80))))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(frame(spark, rows), bench, block_bytes=block_bytes).collect()}
+    want = {}
+    clean = dict(zip(range(len(items)), decontaminate.normalise([t for _, t in items])))
+    for (i, _), t in zip(rows, decontaminate.normalise([t for _, t in rows])):
+        for n, (item, _) in enumerate(items):
+            p = clean[n]
+            if len(p) >= decontaminate.MIN_CHARS and (d := substring_distance(p, t)) <= int(decontaminate.ERROR_RATE * len(p)):
+                want[i, item] = d
+    assert got == want and len(want) > 15
+    kept = decontaminate.drop_leaks(frame(spark, rows), bench, block_bytes=block_bytes)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, _ in rows if i not in {d for d, _ in want})
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    docs = frame(spark, [(1, "a b c")])
+    assert decontaminate.find_leaks(docs, none).count() == 0
+    assert decontaminate.drop_leaks(docs, none).count() == 1
+    assert decontaminate.find_leaks(frame(spark, []), spark.createDataFrame([(1, "x" * 50)], "item_id bigint, text string")).count() == 0
+
+
+# -- 4 ------------------------------------------------------------------------
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(2)
+    line = lambda: "line " + rng.choice("abcde")
+    rows = [(1, None), (2, ""), (3, "one\ntwo"), (4, "a\nb\nc"), (5, "a\n\nb\n \nc\nd"), (6, "x\n" * 40), (6, "x\n" * 40), (None, "a\nb\nc")]
+    rows += [(i, "\n".join(line() if rng.random() < 0.95 else "" for _ in range(rng.randrange(0, 12)))) for i in range(10, 60)]
+    rows.append((100, "\n".join(f"line {j}" for j in range(3000)) + "\na\nb\nc"))
+
+    def windows(t):
+        lines = (t or "").split("\n")
+        at = [i for i, x in enumerate(lines) if WORD_RE.search(x)]
+        return [(at[j], at[j + 2], tuple(lines[a] for a in at[j:j + 3])) for j in range(len(at) - 2)]
+
+    first = {}
+    order = lambda i: (i is None, i or 0)
+    for i, t in rows:
+        for s, _, w in windows(t):
+            first[w] = min(first.get(w, ((True, 9), 0)), (order(i), s))
+    want = []
+    for i, t in rows:
+        gone = {x for s, e, w in windows(t) if first[w] != (order(i), s) for x in range(s, e + 1)}
+        lines = (t or "").split("\n")
+        worded = [j for j, x in enumerate(lines) if WORD_RE.search(x)]
+        want.append((i, None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone), len(worded), sum(j in gone for j in worded)))
+    docs = frame(spark, rows)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns + ["line_dedup"]
+    assert sorted([(r.doc_id, r.text, r.line_dedup.n_lines, r.line_dedup.n_removed) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+# -- 5 ------------------------------------------------------------------------
+
+def test_quality_measures_equal_brute_force(spark, texts):
+    rows = list(enumerate(texts)) + [(-1, None), (None, "x")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), with_text=True).collect()}
+    for i, t in rows:
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        grams = Counter(zip(w, w[1:], w[2:]))
+        covered = {j + d for j in range(len(w) - 2) if grams[tuple(w[j:j + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.kept and r.base_failed)
+
+
+def test_line_first_verdict(spark):
+    rng = random.Random(1)
+    good = "\n".join(" ".join(prose(rng, 12)) + "." for _ in range(8))
+    menu = "\n".join(" | ".join(prose(rng, 20)) for _ in range(8))
+    noise = "\n".join(" ".join(x + "###" for x in prose(rng, 20)) for _ in range(5))
+    rows = [(1, good), (2, good + "\nAll rights reserved."), (3, menu), (4, noise), (5, good + "\n" + menu), (6, good)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), with_text=True).collect()}
+    assert [got[i].kept for i in range(1, 7)] == [True, True, False, False, False, True]
+    assert got[2].clean_text == good and got[2].n_boilerplate == 1 and got[3].n_navigation == 8 and got[4].n_punctuation == 5
+    kept = quality_rules.clean_documents(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert {(r.doc_id, r.text, r.n_chars) for r in kept.collect()} == {(i, good, len(good)) for i in (1, 2, 6)}
+    assert quality_rules.repeated_words(["a", "b", "c", "a", "b", "c", "d"]) == 6
+
+
+# -- 6 ------------------------------------------------------------------------
+
+def test_secret_scan_base_and_ownership(spark):
+    token = "9fK2mQ7xZt4RbW8sLc3V"
+    shared = "Zx81Qw72Er63Ty54Ui45"
+    rows = [(1, "é password = 'hunter22' and key", "a"), (2, "token:abc TOKEN=abcdef AKIA" + "Q" * 16 + " AKIA12", "a"),
+            (3, "0123456789abcdef01234567 ſecret=abcdefgh", "a"), (4, None, "a"), (5, "", None), (6, f"id {token} end", "o1")]
+    rows += [(10 + i, f"see {shared}", f"o{i}") for i in range(5)] + [(6, f"id {token} end", "o1")]
+    got = {r.doc_id: r for r in secret_scan.secret_scan(frame(spark, rows), max_owners=2).collect()}
+    assert got[1].spans == "assign:2:22" and got[1].n_live == 1
+    assert got[2].spans == "assign:10:22,access:23:43" and (got[2].n_assign, got[2].n_access, got[2].n_hex) == (1, 1, 0)
+    assert got[3].spans == "hex:0:24"
+    assert got[4].spans == got[5].spans == "" and got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[6].spans == "owned:3:23" and got[6].base_sha256 == got[4].base_sha256   # one owner: added
+    assert all(got[10 + i].spans == "" for i in range(5))                               # five owners: an example
+    assert got[2].base_sha256 == hashlib.sha256(b"assign:10:22,access:23:43").hexdigest()
+    assert secret_scan.secret_scan(frame(spark, rows)).count() == len(rows)
+    assert secret_scan.secret_scan(frame(spark, [])).count() == 0
+
+
+# -- 7 ------------------------------------------------------------------------
+
+def brute_distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+def test_banded_distance_equals_the_plain_table():
+    rng = random.Random(3)
+    for _ in range(1500):
+        a = [rng.choice("abc") for _ in range(rng.randrange(0, 14))]
+        b = [x for x in a if rng.random() > 0.2] + [rng.choice("abcd")] * rng.randrange(0, 3)
+        d = brute_distance(a, b)
+        for band in range(0, 15, 2):
+            assert near_dedup.banded_distance(a, b, band) == (d if d <= band else band + 1)
+
+
+def test_near_duplicate_classes(spark):
+    rng = random.Random(9)
+    base, other, passage = prose(rng, 120, 5000), prose(rng, 80, 5000), prose(rng, 50, 5000)
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (2, " ".join(base)), (3, None), (4, ""), (5, ""), (6, "a b"), (7, "a  b"), (None, " ".join(other))]
+    for i in range(20, 80):                                 # a large group of near copies
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(passage + prose(rng, 60, 5000))) for i in range(12)]    # share a passage, are not alike
+    rows += [(200, " ".join(other)), (201, " ".join(other[:40] + ["new"] + other[40:])), (202, " ".join(other * 40)), (203, " ".join(other * 40 + ["z"]))]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    group = {r.doc_id: r.class_id for r in got}
+    assert all(group[i] == 1 for i in [1, 2, *range(20, 80)])
+    assert group[3] == 3 and group[4] == 4 and group[5] == 5 and group[7] == 6
+    assert group[200] == group[201] == group[None] == 200 and group[202] == group[203] == 202
+    assert all(group[100 + i] == 100 + i for i in range(12))
+    kept = near_dedup.one_of_each(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([1, 3, 4, 5, 6, 0, 200, 202, *range(100, 112)])
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Every pair of different texts with similarity 0.8 or more ends in one class, no other."""
+    rng = random.Random(4)
+    rows, n = [], 0
+    for _ in range(14):
+        w = prose(rng, rng.randrange(40, 90), 3000)
+        for _ in range(rng.randrange(1, 5)):
+            v = list(w)
+            for _ in range(rng.randrange(0, 6)):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(99)}"
+            rows.append((n, " ".join(v)))
+            n += 1
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i in range(n):
+        for j in range(i):
+            a, b = rows[i][1].split(), rows[j][1].split()
+            if 1 - brute_distance(a, b) / max(len(a), len(b)) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in range(n)}
+
+
+# -- 8 ------------------------------------------------------------------------
+
+def test_token_files_round_trip(spark, texts):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(JSON)
+    rows = [(i * 3 - 50, x) for i, x in enumerate(texts)] + [(None, "first"), (10_000, None), (10_001, "tie"), (10_001, "tie")]
+    rng = random.Random(1)
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    docs = frame(spark, shuffled)
+    out = new_shared_path(spark, "tokens")
+    manifest = token_files.write_token_files(docs, JSON, out, seq_len=128, batch_rows=4, file_bytes=100_000)
+    got = sorted([tuple(r) for r in token_files.read_documents(manifest).collect()], key=lambda r: r[1])
+    start, want, flat = 0, [], []
+    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+        flat += ids
+    assert got == want
+    files = sorted(manifest.collect())
+    assert len(files) > 1
+    for r in files:
+        f = token_files.TokenFile(r.path)
+        assert len(f) == r.n_sequences
+        back = []
+        for k in range(len(f)):
+            ids, mask = f.sequence(k)
+            assert len(ids) == len(mask) == 128
+            assert f.buffer.address <= ids.__array_interface__["data"][0] < f.buffer.address + f.buffer.size   # no copy
+            back += ids[np.array(mask.to_pylist())].tolist()
+        assert back == flat[r.start:r.start + r.n_tokens]
+    assert token_files.encode_and_read(frame(spark, []), JSON).count() == 0
+
+
+# -- 9 ------------------------------------------------------------------------
+
+def test_bpe_codec_equals_tiktoken(spark, texts):
+    import tiktoken
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_codec.load_ranks(MULTI), special_tokens={})
+    rng = random.Random(8)
+    long = ["".join(rng.choice("abcdetions") for _ in range(n)) for n in (65, 130, 5000)]
+    rows = list(enumerate(texts + long)) + [(-1, None), (None, "x"), (0, texts[0])]
+    got = bpe_codec.bpe_encode(frame(spark, rows), MULTI, P.PATTERN)
+    ids = {r.doc_id: list(r.ids) for r in got.collect()}
+    for i, t in rows:
+        assert ids[i] == own.encode_ordinary(t or ""), (t or "")[:60]
+    back = {r.doc_id: bytes(r.bytes) for r in bpe_codec.bpe_decode(got, MULTI, P.PATTERN).collect()}
+    assert all(back[i] == (t or "").encode() for i, t in rows)
+    for r in bpe_codec.bpe_round_trip(frame(spark, rows), MULTI, P.PATTERN).collect():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest() and r.n_tokens == len(ids[r.doc_id])
+        assert r.decoded_sha256 == hashlib.sha256(back[r.doc_id]).hexdigest()
+    assert bpe_codec.bpe_encode(frame(spark, []), MULTI, P.PATTERN).count() == 0
+
+
+# -- 10 -----------------------------------------------------------------------
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def brute_rule(url):
+    at = (url or "").find("://")
+    if at < 0:
+        return "", "", None, None
+    rest = url[at + 3:]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/x?u=1#f", "https://www.example.com/en/", "https://x.www.example.com/en/q", "http://example.com", "http://notexample.com/en/",
+            "http://a.net/es/1", "http://a.net/es", "ftp://net/fr/?q", "http://b.org/fr/", "://x.com/", "http://x.com#a://b.net/es/", "http://É.com/ü?x=://", "http://h?x/y", "a\nb://c.com/\nd"]
+    rows = list(enumerate(urls)) + [(None, "http://a.net/es/1"), (3, urls[3])]
+    pages = spark.createDataFrame([(i, u, "clash", "clash", "clash") for i, u in rows], "page_id bigint, url string, host string, rule string, tokens string")
+    labels = spark.createDataFrame([], "id bigint, block boolean")
+    got = url_filter.url_filter(pages, labels, RULES).collect()
+    want = [(i, *brute_rule(u)) for i, u in rows]
+    assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got], key=str) == sorted([(i, h, p, r, v or "allow") for i, h, p, r, v in want], key=str)
+
+
+def test_mined_url_rules(spark):
+    """casino + bonus together go with block; neither alone does."""
+    urls, block = [], []
+    for i in range(120):
+        urls.append(f"http://s{i}.org/" + ["casino/bonus", "casino/news", "shop/bonus", "about/team"][i % 4])
+        block.append(i % 4 == 0)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(500, "http://new.org/x/bonus/casino?a=1"), (501, "http://new.org/casino")], "page_id bigint, url string")
+    labels = spark.createDataFrame(list(enumerate(block)), "id bigint, block boolean")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, labels, [], min_support=0.05).collect()}
+    assert all(got[i] == ("block" if b else "allow") for i, b in enumerate(block))
+    assert got[500] == "block" and got[501] == "allow"
+    host, path, query = url_filter.url_parts(F.col("url"))
+    tokens = pages.select(F.col("page_id").alias("id"), url_filter.url_tokens(host, path, query).alias("tokens"))
+    rules = url_filter.mine_rules(tokens, labels, min_support=0.05).collect()
+    assert [sorted(r.tokens) for r in rules] == [["p:bonus", "p:casino"]]                # redundant rules are pruned
