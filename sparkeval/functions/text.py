@@ -76,5 +76,20 @@ def ngram_hashes(tokens, n: int) -> Column:
     return let(tokens, build)
 
 
+def bag(tokens) -> Column:
+    """Tokens of an array labelled with their occurrence number ('t', then U+0001 and 1, 2,
+    ...): the set form of a bag.  Sorting brings equal tokens together; each run is then
+    numbered, so the work is n log n and set functions give bag results."""
+    def number(s):
+        n = F.size(s)
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
+        def runs(st):
+            return F.flatten(F.transform(st, lambda i, k: F.transform(
+                F.sequence(F.lit(1), F.coalesce(F.get(st, k + 1), n) - i), lambda j: F.concat(F.get(s, i), F.lit("\u0001"), j.cast("string")))))
+        return let(starts, runs)
+    return let(F.array_sort(tokens), number)
+
+
 def squeeze_ws(c) -> Column:
     return F.regexp_replace(col(c), WS_RUN, " ")

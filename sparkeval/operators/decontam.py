@@ -9,7 +9,8 @@ Plan shape for a large corpus (see README "Scale notes"):
    contaminant set with a *broadcast* left-semi join whose size was checked
    (``checked_broadcast``); the n-gram text is only built for hash hits, where it is
    compared exactly (join condition), so hash collisions cannot create matches.
-   Above the size limit the same join runs as a shuffle join on the 8-byte hash.
+   Above the size limit a shuffle join moves (doc_id, pos, hash) only, and the texts of
+   the hits are built and compared after they meet their document again.
 3. Matches are grouped per document (map-side partial aggregation; only matching
    documents shuffle) keeping the count and the first ``cutoff + 1`` positions — all
    the cut rule can ever read.
@@ -21,6 +22,7 @@ Plan shape for a large corpus (see README "Scale notes"):
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import (WS, col, janitor_normalize, ngram_hashes, whitespace_pieces,
@@ -86,23 +88,38 @@ def frequent_ngrams(docs: DataFrame, n: int = NGRAM_N, min_docs: int = 10,
     cand = (t.select(F.explode(F.array_distinct(ngram_hashes("ntoks", n))).alias("h"))
              .groupBy("h").agg(F.count(F.lit(1)).alias("c"))
              .filter(F.col("c") > min_docs).select("h"))
-    cand_side, _ = checked_broadcast(cand, max_broadcast_bytes)
-    pos = t.select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
-    return (pos.join(cand_side, "h", "left_semi")
-               .select("doc_id", F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ").alias("ngram"))
-               .groupBy("ngram").agg(F.countDistinct("doc_id").alias("n_docs"))
+    cand_side, small = checked_broadcast(cand, max_broadcast_bytes)
+    if small:
+        pos = t.select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
+        hits = pos.join(cand_side, "h", "left_semi").select("doc_id", F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ").alias("ngram"))
+    else:
+        pos = t.select("doc_id", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
+        hits = _ngram_texts(t, pos.join(cand_side, "h", "left_semi"), n).select("doc_id", "ngram")
+    return (hits.groupBy("ngram").agg(F.countDistinct("doc_id").alias("n_docs"))
                .filter(F.col("n_docs") > min_docs))
 
 
+def _ngram_texts(tokens: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """(doc_id, pos, h, ngram) of hits (doc_id, pos, h): the hit places of a document come to
+    its token array once, so no token array is shuffled per place."""
+    places = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("_p"))      # of one document
+    j = tokens.join(places, "doc_id").select("doc_id", "ntoks", F.explode("_p").alias("_x"))
+    return j.select("doc_id", "_x.pos", "_x.h", F.array_join(F.slice("ntoks", F.col("_x.pos") + 1, n), " ").alias("ngram"))
+
+
 def find_matches(docs: DataFrame, dirt: DataFrame, n: int = NGRAM_N, id_col: str = "doc_id",
                  text_col: str = "text", max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """DEC07 / JN07: every window (doc_id, pos) of the raw text whose normalised form is a
     registered contaminant.  ``pos`` is the 0-based index of the window's first word."""
-    d = (spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
-             .select("doc_id", raw_tokens_normalized("_text").alias("ntoks"))
-             .select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
-             .alias("d"))
-    side, _ = checked_broadcast(dirt.select("h", "ngram"), max_broadcast_bytes)
+    tokens = (spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+              .select("doc_id", raw_tokens_normalized("_text").alias("ntoks")))
+    side, small = checked_broadcast(dirt.select("h", "ngram"), max_broadcast_bytes)
+    if not small:
+        # Shuffle (doc_id, pos, h) only; the text of the few hits is built and compared after.
+        pos = tokens.select("doc_id", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
+        hits = pos.join(side.select("h").distinct(), "h", "left_semi")
+        return _ngram_texts(tokens, hits, n).join(side, ["h", "ngram"], "left_semi").select("doc_id", "pos", "h", "ngram")
+    d = tokens.select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h")).alias("d")
     side = side.alias("c")
     # The text check is wrapped so the optimizer keeps it as a residual condition: it
     # runs only for rows whose 8-byte hash found a partner, not as a second join key
@@ -116,11 +133,12 @@ def find_matches(docs: DataFrame, dirt: DataFrame, n: int = NGRAM_N, id_col: str
 
 
 def summarize_matches(matches: DataFrame, keep: int = TOO_DIRTY_CUTOFF + 1) -> DataFrame:
-    """Per document: total match count and the first ``keep`` window positions (sorted).
-    Partial aggregation runs map-side, so only one row per matching document shuffles."""
-    return (matches.groupBy("doc_id")
-                   .agg(F.count(F.lit(1)).alias("n_matches"),
-                        F.slice(F.array_sort(F.collect_list("pos")), 1, keep).alias("positions")))
+    """Per document: total match count and the first ``keep`` window positions (sorted); no
+    more than ``keep`` positions of a document are ever held."""
+    w = W.partitionBy("doc_id").orderBy("pos")
+    placed = matches.select("doc_id", "pos", F.row_number().over(w).alias("_rn"))
+    return placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"),
+                                        F.array_sort(F.collect_list(F.when(F.col("_rn") <= keep, F.col("pos")))).alias("positions"))
 
 
 def _char_offset(tws: Column, j: Column) -> Column:
@@ -246,7 +264,6 @@ def match_spans(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
 
     Offsets come from a running sum over whitespace pieces of the matching documents
     only (window partitioned by doc_id — bounded by one document's length)."""
-    from pyspark.sql import Window as W
     dirt = register_contaminants(bench, n)
     hits = materialize(find_matches(docs, dirt, n, max_broadcast_bytes=max_broadcast_bytes)
                        .select("doc_id", "pos"))

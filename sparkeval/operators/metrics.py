@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.extract import ARITH_DATASET
 from ..functions.text import col
-from ..session import BROADCAST_MAX_BYTES, checked_broadcast
+from ..session import checked_broadcast, equi_join
+from .sampling import dense_index, distributed_cumsum
 
 
 def _keys(keys) -> list[str]:
@@ -31,7 +31,7 @@ def mean_stderr(df: DataFrame, keys, value: str) -> DataFrame:
     return (df.groupBy(*_keys(keys))
               .agg(F.avg(v).alias("mean"), sd.alias("sd"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("sd_pop"),
                    F.count(v).alias("n"))
-              .withColumn("stderr", F.col("sd") / F.sqrt(F.col("n"))))
+              .withColumn("stderr", F.try_divide(F.col("sd"), F.sqrt(F.col("n")))))
 
 
 def perplexity_metrics(df: DataFrame, keys, loglik: str, words: str, nbytes: str) -> DataFrame:
@@ -55,67 +55,35 @@ def pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 # ------------------------------------------------------------------ AGG03
 
-def select_ranks(df: DataFrame, keys, order: str, value: str, ranks, buckets: int = 256,
-                 max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Exact order statistics per group without gathering a group into one task.
-
-    ``ranks(n)`` returns a list of 0-based rank Columns (functions of the group size
-    ``n``).  Approximate quantiles of ``order`` cut each group into ~``buckets`` ranges;
-    exact bucket counts (partial aggregation) locate the bucket of every wanted rank;
-    only the rows of those buckets are ranked.  Output: (keys, _rk, _value) with ``_rk`` the
-    index into the rank list."""
-    ks = _keys(keys)
-    o = col(order)
-    fr = [i / buckets for i in range(1, buckets)]
-    stats = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"),
-                                F.percentile_approx(o, fr, 10 * buckets).alias("_cuts"))
-    stats_side, _ = checked_broadcast(stats, max_broadcast_bytes)
-    tagged = df.join(stats_side, ks).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < o)))
-    counts = tagged.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    w = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    want = F.array(*[F.struct(F.lit(i).alias("_rk"), rk.cast("long").alias("r"))
-                     for i, rk in enumerate(ranks(F.col("_n")))])
-    target = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-                    .select(*ks, "_b", "_before", "_c", F.explode(want).alias("_w"))
-                    .filter((F.col("_w.r") >= F.col("_before")) & (F.col("_w.r") < F.col("_before") + F.col("_c")))
-                    .select(*ks, "_b", F.col("_w._rk").alias("_rk"), (F.col("_w.r") - F.col("_before")).alias("_r")))
-    target_side, _ = checked_broadcast(target, max_broadcast_bytes)
-    rows = tagged.join(target_side, ks + ["_b"])
-    rk = W.partitionBy(*ks, "_b", "_rk").orderBy(o)
-    return (rows.withColumn("_rn", F.row_number().over(rk) - 1)
-                .filter(F.col("_rn") == F.col("_r"))
-                .select(*ks, "_rk", col(value).alias("_value")))
-
-
-def positional_median(df: DataFrame, keys, value: str, order: str, buckets: int = 256,
-                      max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def positional_median(df: DataFrame, keys, value: str, order: str) -> DataFrame:
     """AGG03: the reference's "median" = the element at position n//2 in input order
-    (no sorting by value).  ``order`` gives the input order (unique inside a group)."""
+    (no sorting by value).  ``order`` gives the input order (unique inside a group); a
+    group of any size is spread over range partitions (``dense_index``)."""
     ks = _keys(keys)
-    out = select_ranks(df, ks, order, value, lambda n: [F.floor(n / 2)], buckets, max_broadcast_bytes)
-    return out.select(*ks, F.col("_value").alias("median"))
+    rows = df.select(*ks, col(value).alias("_value"), col(order).alias("_order"))
+    n = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    placed = dense_index(rows, ks, [F.col("_order")], "_pos")
+    return equi_join(placed, n, ks).filter(F.col("_pos") == F.floor(F.col("_n") / 2)).select(*ks, F.col("_value").alias("median"))
 
 
-def exact_percentile(df: DataFrame, keys, value: str, p: float, buckets: int = 256,
-                     max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def exact_percentile(df: DataFrame, keys, value: str, p: float) -> DataFrame:
     """Exact percentile with linear interpolation between the two neighbouring ranks
-    (same definition as Spark's ``percentile`` / DuckDB's ``quantile_cont``), computed
-    with ``select_ranks`` so that a huge group is never held by one task."""
+    (same definition as Spark's ``percentile`` / DuckDB's ``quantile_cont``).
+
+    One aggregate by (key, value) collapses ties; a running count over the distinct values
+    (range partitions, so a hot group is never held by one task) gives every value its
+    ranks, and the two wanted ranks are picked from it."""
     ks = _keys(keys)
     v = col(value)
-    base = df.filter(v.isNotNull()).select(*ks, v.alias("_v"))
-
-    def ranks(n):
-        pos = (n - 1) * p
-        return [F.floor(pos), F.least(F.floor(pos) + 1, n - 1)]
-    sel = select_ranks(base, ks, "_v", "_v", ranks, buckets, max_broadcast_bytes)
-    n = base.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    lo = F.max(F.when(F.col("_rk") == 0, F.col("_value")))
-    hi = F.max(F.when(F.col("_rk") == 1, F.col("_value")))
-    pos = (F.first("_n") - 1) * p
-    w = pos - F.floor(pos)
-    return (sel.join(n, ks).groupBy(*ks)
-               .agg((lo * (1 - w) + hi * w).alias("percentile")))
+    counts = df.filter(v.isNotNull()).groupBy(*ks, v.alias("_val")).agg(F.count(F.lit(1)).alias("_c"))
+    run = distributed_cumsum(counts, ks, [F.col("_val")], F.col("_c"), "_upto")
+    n = counts.groupBy(*ks).agg(F.sum("_c").alias("_n"))
+    j = equi_join(run, n, ks)
+    pos = (F.col("_n") - 1) * p
+    lo, hi = F.floor(pos), F.least(F.floor(pos) + 1, F.col("_n") - 1)
+    holds = lambda r: F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col("_val")))
+    w = F.first(pos - F.floor(pos))
+    return j.groupBy(*ks).agg((holds(lo) * (1 - w) + holds(hi) * w).alias("percentile"))
 
 
 # ------------------------------------------------------------------ AGG04-AGG07
@@ -130,7 +98,7 @@ def _per_label(cells: DataFrame, ks: list[str]) -> DataFrame:
     g = cells.groupBy(*ks, F.col("gold").alias("_lab")).agg(
         F.sum("cnt").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("cnt")).otherwise(0)).alias("tp"))
     p = cells.groupBy(*ks, F.col("pred").alias("_lab")).agg(F.sum("cnt").alias("predicted"))
-    return g.join(p, ks + ["_lab"], "left").fillna(0, ["predicted"])
+    return equi_join(g, p, ks + ["_lab"], "left").fillna(0, ["predicted"])
 
 
 def f1_macro(df: DataFrame, keys, gold: str, pred: str, scale: float = 1.0) -> DataFrame:
@@ -166,12 +134,12 @@ def matthews_corr(df: DataFrame, keys, gold: str, pred: str) -> DataFrame:
     cells = confusion_counts(df, ks, gold, pred)
     t = cells.groupBy(*ks, F.col("gold").alias("_lab")).agg(F.sum("cnt").alias("t"))
     p = cells.groupBy(*ks, F.col("pred").alias("_lab")).agg(F.sum("cnt").alias("p"))
-    tp = (t.join(p, ks + ["_lab"], "full").fillna(0, ["t", "p"])
+    tp = (equi_join(t, p, ks + ["_lab"], "full").fillna(0, ["t", "p"])
            .groupBy(*ks).agg(F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"),
                              F.sum(F.col("t") ** 2).alias("tt")))
     tot = cells.groupBy(*ks).agg(F.sum("cnt").cast("double").alias("s"),
                                  F.sum(F.when(F.col("gold") == F.col("pred"), F.col("cnt")).otherwise(0)).alias("c"))
-    j = tot.join(tp, ks)
+    j = equi_join(tot, tp, ks)
     den = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
     return j.select(*ks, F.when(den == 0, F.lit(0.0)).otherwise(
         (F.col("c") * F.col("s") - F.col("pt")) / den).alias("mcc"))
@@ -188,7 +156,7 @@ def acc_all(df: DataFrame, keys, paragraph: str, question: str, correct: str) ->
     a = by_pq.groupBy(*ks).agg(F.avg("ok").alias("acc_all"))
     s = (by_q.groupBy(*ks).agg((F.coalesce(F.stddev_samp("ok"), F.lit(0.0)) / F.sqrt(F.count("ok")))
                                .alias("acc_all_stderr")))
-    return a.join(s, ks)
+    return equi_join(a, s, ks)
 
 
 # ------------------------------------------------------------------ AGG16-AGG18, AGG15
@@ -197,7 +165,7 @@ def acc_all(df: DataFrame, keys, paragraph: str, question: str, correct: str) ->
 EXAM_YEARS = ["2022", "2023", "2024"]
 
 
-def dataset_metrics(scored: DataFrame, keys=("model",), dataset: str = "dataset") -> DataFrame:
+def dataset_metrics(scored: DataFrame, keys=("model",), dataset: str = "dataset", arith_dataset: str = ARITH_DATASET) -> DataFrame:
     """AGG16: per (keys, dataset) the runner's metric dict as rows (keys, dataset, metric,
     value): exam accuracy + invalid rate, bias-set accuracy overall / ambiguous /
     disambiguated (0.0 when empty), gsm8k exact match, otherwise valid rate."""
@@ -218,8 +186,8 @@ def dataset_metrics(scored: DataFrame, keys=("model",), dataset: str = "dataset"
                    F.struct(F.concat(F.lit("accuracy_"), ds).alias("metric"), F.col("acc").alias("value")),
                    F.struct(F.lit("accuracy_bbq_ambig").alias("metric"), F.col("acc_ambig").alias("value")),
                    F.struct(F.lit("accuracy_bbq_disambig").alias("metric"), F.col("acc_disambig").alias("value"))))
-                .when(ds == ARITH_DATASET, F.array(
-                   F.struct(F.lit(f"exact_match_{ARITH_DATASET}").alias("metric"), F.col("exact").alias("value"))))
+                .when(ds == arith_dataset, F.array(
+                   F.struct(F.lit(f"exact_match_{arith_dataset}").alias("metric"), F.col("exact").alias("value"))))
                 .otherwise(F.array(F.struct(F.lit("valid_rate").alias("metric"), F.col("valid_rate").alias("value")))))
     return agg.select(*ks, dataset, F.explode(entries).alias("e")).select(*ks, dataset, "e.metric", "e.value")
 
@@ -231,23 +199,24 @@ def merge_metrics(rows: DataFrame, keys=("model",)) -> DataFrame:
 
 
 def exam_macro(merged: DataFrame, keys=("model",), years=EXAM_YEARS, seed_missing: bool = True) -> DataFrame:
-    """AGG17: mean of the per-year exam accuracies; with ``seed_missing`` a year without
-    data counts as 0.0, as the runner's pre-seeded dict does."""
+    """AGG17: mean of all per-year exam accuracies present; with ``seed_missing`` a seeded
+    year without data counts as 0.0, as in the runner's pre-seeded dict."""
     ks = _keys(keys)
     exam = merged.filter(F.col("metric").startswith("accuracy_enem_") & (F.col("metric") != "accuracy_enem_macro"))
     if seed_missing:
         seeded = F.array(*[F.lit(f"accuracy_enem_{y}") for y in years])
         base = merged.select(*ks).distinct().select(*ks, F.explode(seeded).alias("metric"))
-        exam = base.join(exam, ks + ["metric"], "left").fillna(0.0, ["value"])
+        absent = equi_join(base, exam, ks + ["metric"], "left_anti").withColumn("value", F.lit(0.0))
+        exam = exam.select(*ks, "metric", "value").unionByName(absent)
     return exam.groupBy(*ks).agg(F.avg("value").alias("value")).withColumn("metric", F.lit("accuracy_enem_macro"))
 
 
 def bias_score(merged: DataFrame, keys=("model",)) -> DataFrame:
-    """AGG18: (merged) disambiguated accuracy − ambiguous accuracy."""
+    """AGG18: (merged) disambiguated accuracy − ambiguous accuracy; a missing one counts 0."""
     ks = _keys(keys)
     return (merged.groupBy(*ks).agg(
-        (F.max(F.when(F.col("metric") == "accuracy_bbq_disambig", F.col("value")))
-         - F.max(F.when(F.col("metric") == "accuracy_bbq_ambig", F.col("value")))).alias("value"))
+        (F.coalesce(F.max(F.when(F.col("metric") == "accuracy_bbq_disambig", F.col("value"))), F.lit(0.0))
+         - F.coalesce(F.max(F.when(F.col("metric") == "accuracy_bbq_ambig", F.col("value"))), F.lit(0.0))).alias("value"))
         .withColumn("metric", F.lit("bias_score")))
 
 
@@ -266,7 +235,11 @@ def sliced_metrics(df: DataFrame, value: str, slices: list[str], keys=()) -> Dat
         name = (F.when(F.col(f"_g_{s}") == 0, F.lit(s)) if name is None
                 else name.when(F.col(f"_g_{s}") == 0, F.lit(s)))
     name = name.otherwise(F.lit("overall"))
-    value_col = F.coalesce(*[F.col(s).cast("string") for s in slices], F.lit("all"))
+    value_col = None                                 # a null slice value stays null, apart from "all"
+    for s in slices:
+        here = F.col(f"_g_{s}") == 0
+        value_col = F.when(here, F.col(s).cast("string")) if value_col is None else value_col.when(here, F.col(s).cast("string"))
+    value_col = value_col.otherwise(F.lit("all"))
     return g.select(*ks, name.alias("slice"), value_col.alias("slice_value"), "mean", "total", "n")
 
 
@@ -277,7 +250,7 @@ def num_examples(scores: DataFrame, task: str = "task", mode: str = "prompt_mode
     the per-mode count is returned next to it."""
     per_task = scores.groupBy(task).agg(F.count_distinct(mode, doc).alias("num_examples"))
     per_mode = scores.groupBy(task, mode).agg(F.count_distinct(doc).alias("num_examples_mode"))
-    return per_mode.join(per_task, task)
+    return equi_join(per_mode, per_task, [task])
 
 
 # Aggregator kinds the dispatcher knows, with their stderr rule.
@@ -300,7 +273,7 @@ def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task",
               .when(k == "weighted_perplexity", F.exp(-(F.sum(v) / F.sum(w))))
               .when(k == "bits_per_byte", -(F.sum(v) / F.sum(w)) / F.lit(math.log(2)))
               .when(k == "sum", F.sum(v)))
-    stderr = F.when(k == "mean", F.coalesce(F.stddev_samp(v), F.lit(0.0)) / F.sqrt(F.count(v)))
+    stderr = F.when(k == "mean", F.try_divide(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.sqrt(F.count(v))))
     return j.groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), F.count(v).alias("n"))
 
 

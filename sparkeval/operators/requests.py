@@ -15,13 +15,17 @@ from .sampling import _keys, dense_index, distributed_cumsum
 
 
 def request_hash(*parts) -> Column:
-    """JN04 key: sha-256 of the request type and arguments joined by U+0001."""
-    return F.sha2(F.concat_ws("\u0001", *[col(p).cast("string") for p in parts]), 256)
+    """JN04 key: sha-256 of the JSON array of the request type and arguments (a null keeps
+    its place)."""
+    return F.sha2(F.to_json(F.array(*[col(p).cast("string") for p in parts]), {"ignoreNullFields": "false"}), 256)
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, key: str = "request_hash") -> DataFrame:
-    """JN04: requests answered by the cache (semi join) with the cached response."""
-    return requests.join(cache, key, "inner")
+    """JN04: requests answered by the cache with the cached response; a key cached more than
+    once answers with its least response, so requests are never multiplied."""
+    others = [c for c in cache.columns if c != key]
+    one = cache.groupBy(key).agg(F.min(F.struct(*others)).alias("_c")).select(key, *[F.col(f"_c.{c}").alias(c) for c in others])
+    return requests.join(one, key, "inner")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "request_hash") -> DataFrame:
@@ -37,11 +41,18 @@ def dedupe_requests(requests: DataFrame, key: str = "request_hash") -> tuple[Dat
     return uniq, requests.select(key, *[c for c in requests.columns if c != key])
 
 
+def scatter_responses(requests: DataFrame, unique_responses: DataFrame, key: str = "request_hash") -> DataFrame:
+    """JN05: responses of the unique requests back on every original row."""
+    return requests.join(unique_responses, key, "left")
+
+
 def length_batches(requests: DataFrame, keys, length: Column, text: str, size: int,
-                   longest_first: bool = True) -> DataFrame:
-    """WIN05: position in (length, text) order — descending for log-likelihood requests,
-    ascending for generation — and the fixed-size batch number."""
-    order = [length.desc(), col(text).desc()] if longest_first else [length.asc(), col(text).asc()]
+                   longest_first: bool = True, ties: list[Column] = ()) -> DataFrame:
+    """WIN05: position in (length, text, ties) order — descending for log-likelihood
+    requests, ascending for generation — and the fixed-size batch number.  ``ties`` makes
+    the order unique."""
+    order = [length, col(text), *ties]
+    order = [c.desc() for c in order] if longest_first else [c.asc() for c in order]
     d = dense_index(requests, keys, order, "pos")
     return d.withColumn("batch", F.floor(F.col("pos") / size))
 
@@ -104,10 +115,3 @@ def head_type() -> str:
 def sum_window_loglik(windows: DataFrame, doc: str = "doc_id", value: str = "loglik") -> DataFrame:
     """WIN07: document log-likelihood = sum over its windows."""
     return windows.groupBy(doc).agg(F.sum(col(value)).alias("loglik"), F.count(F.lit(1)).alias("n_windows"))
-
-
-def assemble_responses(items: DataFrame, responses: DataFrame, keys=("task", "prompt_mode", "doc_id"),
-                       order: str = "request_idx", value: str = "resp") -> DataFrame:
-    """JN01: see scoring.assemble_responses (re-exported here for the request pipeline)."""
-    from .scoring import assemble_responses as _a
-    return _a(items, responses, keys, order, value)

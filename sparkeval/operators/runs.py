@@ -85,11 +85,11 @@ def quant_tradeoff(runs: DataFrame, baseline_quant: str, model: str = "model", q
         col(model).alias(model), col(quality).alias("_bq"), col(tps).alias("_bt"))
     j = runs.join(base, model, "inner")
     drop = (F.col("_bq") - col(quality)) * 100
-    speed = col(tps) / F.col("_bt")
+    speed = F.try_divide(col(tps), F.col("_bt"))      # null for a baseline without throughput
     ok = (drop <= max_drop_pts) & (speed >= min_speedup)
     if success is not None:
         ok = ok & (col(success) >= min_success)
-    return j.select(model, quant, drop.alias("quality_drop_pts"), speed.alias("speedup"), ok.alias("accepted"))
+    return j.select(model, quant, drop.alias("quality_drop_pts"), speed.alias("speedup"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
 def _dominated_by(up, down, ks):

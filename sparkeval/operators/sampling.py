@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize
+from ..session import checked_broadcast, equi_join, materialize
 
 
 def _keys(keys) -> list[str]:
@@ -83,7 +83,7 @@ def dense_index(df: DataFrame, keys, order: list[Column], out: str = "idx",
     w = W.partitionBy(*ks).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).select("_pid", *ks, "_start", "_before")
     side, _ = checked_broadcast(runs)
-    return (s.join(side, ["_pid"] + ks)
+    return (equi_join(s, side, ["_pid"] + ks)
              .withColumn(out, F.col("_before") + F.col("_local") - F.col("_start"))
              .drop("_pid", "_local", "_start", "_before"))
 
@@ -207,5 +207,5 @@ def distributed_cumsum(df: DataFrame, keys, order: list[Column], value: Column,
     wp = W.partitionBy(*ks).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     tot = tot.withColumn("_before", F.coalesce(F.sum("_t").over(wp), F.lit(0))).select("_pid", *ks, "_before")
     side, _ = checked_broadcast(tot)
-    return (s.join(side, ["_pid"] + ks).withColumn(out, F.col("_before") + F.col("_local"))
+    return (equi_join(s, side, ["_pid"] + ks).withColumn(out, F.col("_before") + F.col("_local"))
              .drop("_pid", "_v", "_local", "_before"))

@@ -10,25 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import ARITH_DATASET, parse_last_number, py_strip
-from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, col, let
+from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, bag, col, let
 
 # ----------------------------------------------------------------- row scorers
 
-def score_runner_sample(dataset, label, pred) -> Column:
+def score_runner_sample(dataset, label, pred, context_condition=None, arith_dataset: str = ARITH_DATASET) -> Column:
     """SCR05: struct(correct, valid, is_ambig, is_disambig) of the edge-benchmark runner.
-    ``label`` is the gold letter / index / answer text by dataset family."""
+    ``label`` is the gold letter / index / answer text by dataset family; a missing label
+    counts as wrong.  ``context_condition`` (bias sets) is 'ambig' or 'disambig'."""
     ds, lab, p = col(dataset), col(label), col(pred)
     e_num, p_num = parse_last_number(lab), parse_last_number(p)
     close = (e_num.isNotNull() & p_num.isNotNull()
              & (F.abs(e_num - p_num) <= F.lit(1e-9) * F.greatest(F.abs(e_num), F.abs(p_num))))
-    correct = (F.when(ds.startswith("enem"), (p == F.upper(py_strip(lab))).cast("double"))
-                .when(ds.startswith("bbq"), (p == py_strip(lab)).cast("double"))
-                .when(ds == ARITH_DATASET, F.coalesce(close, F.lit(False)).cast("double")))
+    correct = (F.when(ds.startswith("enem"), F.coalesce(p == F.upper(py_strip(lab)), F.lit(False)).cast("double"))
+                .when(ds.startswith("bbq"), F.coalesce(p == py_strip(lab), F.lit(False)).cast("double"))
+                .when(ds == arith_dataset, F.coalesce(close, F.lit(False)).cast("double")))
     valid = (F.when(ds.startswith("enem"), p.isin("A", "B", "C", "D", "E").cast("double"))
               .when(ds.startswith("bbq"), p.isin("0", "1", "2").cast("double"))
-              .when(ds == ARITH_DATASET, p_num.isNotNull().cast("double"))
+              .when(ds == arith_dataset, p_num.isNotNull().cast("double"))
               .otherwise((py_strip(p) != "").cast("double")))
-    return F.struct(correct.alias("correct"), valid.alias("valid"))
+    cond = F.lit(None).cast("string") if context_condition is None else col(context_condition)
+    flag = lambda name: F.when(ds.startswith("bbq"), F.coalesce(cond == name, F.lit(False)).cast("double"))
+    return F.struct(correct.alias("correct"), valid.alias("valid"), flag("ambig").alias("is_ambig"), flag("disambig").alias("is_disambig"))
 
 
 def score_contains(raw, gold) -> Column:
@@ -75,10 +78,9 @@ def _f1(common, n_pred, n_ref) -> Column:
 
 
 def _multiset_common(a: Column, b: Column) -> Column:
-    """Size of the bag intersection: only tokens present on both sides can contribute."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0),
-                       lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)),
-                                                    F.size(F.filter(b, lambda x: x == t))))
+    """Size of the bag intersection: tokens labelled with their occurrence number are sets,
+    whose intersection is hash-based (linear)."""
+    return F.size(F.array_intersect(bag(a), bag(b)))
 
 
 def token_f1(pred, ref, variant: str = "set") -> Column:
@@ -137,12 +139,13 @@ def byte_count(text) -> Column:
 def score_multiple_choice(choices: DataFrame, item: str = "item_id", idx: str = "choice_idx",
                           ll: str = "loglik", length: str = "choice_len", gold: str = "gold") -> DataFrame:
     """SCR01: one row per choice in, one row per item out: ``acc`` (argmax log-likelihood)
-    and ``acc_norm`` (argmax log-likelihood per character); ties go to the first choice.
+    and ``acc_norm`` (argmax log-likelihood per character; an empty choice has none and
+    comes last); ties go to the first choice.
     Aggregates with ``max_by`` — no per-item lists are collected."""
     c = col(idx)
     return (choices.groupBy(item)
             .agg(F.max_by(c, F.struct(col(ll), -c)).alias("pred"),
-                 F.max_by(c, F.struct(col(ll) / col(length), -c)).alias("pred_norm"),
+                 F.max_by(c, F.struct(F.coalesce(F.try_divide(col(ll), col(length)), F.lit(float("-inf"))), -c)).alias("pred_norm"),
                  F.first(col(gold)).alias("gold"))
             .select(item, "pred", "pred_norm", "gold",
                     (F.col("pred") == F.col("gold")).cast("double").alias("acc"),

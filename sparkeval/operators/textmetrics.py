@@ -1,8 +1,7 @@
-"""Corpus BLEU and chrF (AGG11, AGG12) from n-gram count tables.
+"""Corpus BLEU and chrF (AGG11, AGG12) from per-row n-gram overlaps.
 
-Sentences explode into (sentence, order, n-gram) counts; clipping is a ``least`` of
-hypothesis and (max over references) reference counts; corpus statistics are sums —
-every step aggregates partially map-side.  Token rule: whitespace tokens (BLEU),
+A sentence's overlaps are computed inside its row (its hypothesis and references share it);
+only the corpus sums are aggregated, partially map-side.  Token rule: whitespace tokens (BLEU),
 characters with whitespace removed (chrF)."""
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, let
+from ..functions.text import bag, col, let
 from .metrics import _keys
 
 BLEU_ORDER = 4
@@ -18,18 +17,6 @@ CHRF_ORDER = 6
 CHRF_BETA = 2.0
 
 
-def _ngrams(tokens: Column, max_n: int, sep: str) -> Column:
-    """array<struct<n, g>> of all n-grams of orders 1..max_n."""
-    empty = F.array().cast("array<struct<n:int,g:string>>")
-
-    def build(t):
-        def gram(n):  # one-argument lambda: transform passes the index to two-argument ones
-            return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), sep).alias("g"))
-        return F.concat(*[F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), gram(n))
-                                 ).otherwise(empty) for n in range(1, max_n + 1)])
-    return let(tokens, build)
-
-
 def _ws_tokens(c) -> Column:
     return F.filter(F.split(col(c), r"(?U)\s+"), lambda t: t != "")
 
@@ -38,38 +25,37 @@ def _char_tokens(c) -> Column:
     return F.filter(F.split(F.regexp_replace(col(c), r"(?U)\s", ""), ""), lambda t: t != "")
 
 
-def _ngram_stats(df: DataFrame, ks: list[str], sid: str, hyp: str, refs: str, max_n: int, tok, sep: str) -> DataFrame:
-    """Per (keys, n): hypothesis n-gram total and clipped matches (max over references)."""
-    h = (df.select(*ks, col(sid).alias("_sid"), F.explode(_ngrams(tok(hyp), max_n, sep)).alias("x"))
-           .groupBy(*ks, "_sid", "x.n", "x.g").agg(F.count(F.lit(1)).alias("hc")))
-    r = (df.select(*ks, col(sid).alias("_sid"), F.posexplode(col(refs)).alias("_ri", "_ref"))
-           .select(*ks, "_sid", "_ri", F.explode(_ngrams(tok("_ref"), max_n, sep)).alias("x"))
-           .groupBy(*ks, "_sid", "_ri", "x.n", "x.g").agg(F.count(F.lit(1)).alias("rc"))
-           .groupBy(*ks, "_sid", "n", "g").agg(F.max("rc").alias("rc")))
-    j = h.join(r, ks + ["_sid", "n", "g"], "left")
-    return j.groupBy(*ks, "n").agg(F.sum("hc").alias("total"),
-                                   F.sum(F.least(F.col("hc"), F.coalesce(F.col("rc"), F.lit(0)))).alias("correct"))
+def _overlaps(hyp: Column, refs: Column, max_n: int, sep: str) -> Column:
+    """array<struct<total, correct, ref_total>> by order 1..max_n of one sentence.
+
+    n-grams labelled with their occurrence number are sets: the union over the references is
+    the bag of largest counts, and its intersection with the hypothesis the clipped matches.
+    ``hyp`` is a token array, ``refs`` an array of token arrays; nothing is shuffled."""
+    def order(n: int):
+        def grams(t):
+            return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), sep))
+                          ).otherwise(F.array().cast("array<string>"))
+        union = F.aggregate(refs, F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, bag(grams(r))))
+        return let(grams(hyp), lambda h: let(union, lambda u: F.struct(
+            F.size(h).cast("bigint").alias("total"), F.size(F.array_intersect(bag(h), u)).cast("bigint").alias("correct"), F.size(u).cast("bigint").alias("ref_total"))))
+    return F.array(*[order(n) for n in range(1, max_n + 1)])
+
+
+def _corpus_totals(df: DataFrame, ks: list[str], hyp: Column, refs: Column, max_n: int, sep: str, extra=()) -> DataFrame:
+    """Corpus sums total{n}, correct{n}, ref_total{n} per ``ks``, and of the ``extra`` columns."""
+    rows = df.select(*ks, *extra, let(hyp, lambda h: let(refs, lambda r: _overlaps(h, r, max_n, sep))).alias("_x"))
+    sums = [F.sum(F.get("_x", n - 1)[k]).alias(f"{k}{n}") for n in range(1, max_n + 1) for k in ("total", "correct", "ref_total")]
+    return rows.groupBy(*ks).agg(*sums, *[F.sum(c).cast("double").alias(c) for c in rows.columns if c not in ks and c != "_x"])
 
 
 def corpus_bleu(df: DataFrame, sid: str, hyp: str, refs: str, keys=()) -> DataFrame:
     """AGG11: corpus BLEU (×100) with clipped counts, brevity penalty from the closest
     reference length (ties -> shorter) and exponential smoothing of zero-match orders."""
     ks = _keys(keys)
-    st = _ngram_stats(df, ks, sid, hyp, refs, BLEU_ORDER, _ws_tokens, " ")
     hl = F.size(_ws_tokens(hyp))
     rls = F.transform(col(refs), lambda r: F.size(_ws_tokens(r)))
     closest = F.array_min(F.transform(rls, lambda x: F.struct(F.abs(x - hl).alias("d"), x.alias("l"))))["l"]
-    lens = df.groupBy(*ks).agg(F.sum(hl).cast("double").alias("c"), F.sum(closest).cast("double").alias("r"))
-    piv = st.groupBy(*ks).agg(*[F.max(F.when(F.col("n") == n, F.col(k))).alias(f"{k}{n}")
-                                for n in range(1, BLEU_ORDER + 1) for k in ("total", "correct")])
-    return _bleu_formula(lens, piv, ks)
-
-
-def _bleu_formula(lens: DataFrame, piv: DataFrame, ks: list[str]) -> DataFrame:
-    if ks:
-        j = lens.join(piv, ks, "left")
-    else:  # one corpus row on each side
-        j = lens.withColumn("_k", F.lit(1)).join(piv.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    j = _corpus_totals(df, ks, _ws_tokens(hyp), F.transform(col(refs), _ws_tokens), BLEU_ORDER, " ", (hl.alias("c"), closest.alias("r")))
     zero_rank = F.lit(0)
     logs = []
     for n in range(1, BLEU_ORDER + 1):
@@ -92,17 +78,17 @@ def corpus_chrf(df: DataFrame, sid: str, hyp: str, ref: str, keys=(), beta: floa
     removed; per order precision / recall from corpus totals, averaged over the
     effective orders, combined with F-beta."""
     ks = _keys(keys)
-    d = df.withColumn("_refs", F.array(col(ref)))
-    st = _ngram_stats(d, ks, sid, hyp, "_refs", CHRF_ORDER, _char_tokens, "")
-    rt = (d.select(*ks, F.explode(_ngrams(_char_tokens(ref), CHRF_ORDER, "")).alias("x"))
-           .groupBy(*ks, "x.n").agg(F.count(F.lit(1)).alias("ref_total")))
-    j = st.join(rt, ks + ["n"], "full").fillna(0, ["total", "correct", "ref_total"])
+    j = _corpus_totals(df, ks, _char_tokens(hyp), F.array(_char_tokens(ref)), CHRF_ORDER, "")
     eps = 1e-16
-    prec = F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(eps))
-    rec = F.when(F.col("ref_total") > 0, F.col("correct") / F.col("ref_total")).otherwise(F.lit(eps))
-    eff = ((F.col("total") > 0) & (F.col("ref_total") > 0)).cast("int")
-    agg = j.groupBy(*ks).agg(F.sum(prec).alias("sp"), F.sum(rec).alias("sr"), F.sum(eff).alias("eff"))
+    sp, sr, eff = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for n in range(1, CHRF_ORDER + 1):
+        t, c, rt = (F.coalesce(F.col(f"{k}{n}"), F.lit(0)) for k in ("total", "correct", "ref_total"))
+        here = (t > 0) | (rt > 0)                    # an order that no text reaches is left out
+        sp = sp + F.when(t > 0, F.try_divide(c, t)).when(here, eps).otherwise(0.0)
+        sr = sr + F.when(rt > 0, F.try_divide(c, rt)).when(here, eps).otherwise(0.0)
+        eff = eff + ((t > 0) & (rt > 0)).cast("int")
+    agg = j.select(*ks, sp.alias("sp"), sr.alias("sr"), eff.alias("eff"))
     b2 = beta * beta
-    ap, ar = F.col("sp") / F.col("eff"), F.col("sr") / F.col("eff")
+    ap, ar = F.try_divide(F.col("sp"), F.col("eff")), F.try_divide(F.col("sr"), F.col("eff"))
     score = F.when(F.col("eff") == 0, F.lit(0.0)).when(ap + ar > 0, 100.0 * (1 + b2) * ap * ar / (b2 * ap + ar)).otherwise(F.lit(0.0))
     return agg.select(*ks, score.alias("chrf"))

@@ -97,8 +97,9 @@ def q_decode_onehot(spark, sf_dir):
                      P.decode_onehot(["q", "t"], ["quality", "toxic"], "last").alias("last_class"))
 
 
-FX_PAIRS = """SELECT doc_id AS qid, text AS correct, concat(array_to_string(list_slice(string_split(text, ' '), 1, 5), ' '), ' zz') AS incorrect FROM documents"""
-FX_PAIRS_SPARK = """SELECT doc_id AS qid, text AS correct, concat(array_join(slice(split(text, ' '), 1, 5), ' '), ' zz') AS incorrect FROM documents"""
+# The second sentence is the whole text with its last word replaced: the walk goes to the end.
+FX_PAIRS = """SELECT doc_id AS qid, text AS correct, concat(regexp_replace(text, '[^ ]*$', ''), 'zz') AS incorrect FROM documents"""
+FX_PAIRS_SPARK = FX_PAIRS
 
 
 @query("split_at_divergence", f"""WITH p AS ({FX_PAIRS}),

@@ -37,28 +37,28 @@ def q_tag_models(spark, sf_dir):
                     F.array_join(C.stop_tokens("name", F.lit("sabia7"), "configured"), "|").alias("stops"))
 
 
-@query("assert_disjoint", """SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("assert_disjoint", """SELECT doc_id FROM labels INTERSECT SELECT item_id AS doc_id FROM benchmark""")
 def q_assert_disjoint(spark, sf_dir):
-    """Labelled (evaluation) ids vs the unlabelled remainder: must not overlap."""
+    """Ids of the labelled documents vs ids of the benchmark items: the shared ones."""
     lab = load(spark, sf_dir, "labels").select("doc_id")
-    rest = load(spark, sf_dir, "documents").select("doc_id").join(lab, "doc_id", "left_anti")
-    return M.assert_disjoint(lab, rest, "doc_id")
+    return M.assert_disjoint(lab, load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id")
 
 
 @query("results_table", f"""WITH s AS ({_SCORES}), k AS ({_KINDS}),
-r AS (SELECT task, prompt_mode, metric,
+r AS (SELECT model, task, prompt_mode, metric,
         CASE first(kind) WHEN 'mean' THEN avg(value) WHEN 'perplexity' THEN exp(-avg(value))
              WHEN 'bits_per_byte' THEN -(sum(value) / sum(weight)) / ln(2) END AS value,
         CASE WHEN first(kind) = 'mean' THEN coalesce(stddev_samp(value), 0) / sqrt(count(value)) END AS stderr
-      FROM s JOIN k USING (metric) WHERE model = 'm0' GROUP BY task, prompt_mode, metric),
-o AS (SELECT *, row_number() OVER (ORDER BY task, prompt_mode, metric) AS line_no,
-             lag(task) OVER (ORDER BY task, prompt_mode, metric) AS pt,
-             lag(prompt_mode) OVER (ORDER BY task, prompt_mode, metric) AS pm FROM r)
-SELECT line_no, concat_ws('|', '', CASE WHEN pt = task THEN '' ELSE task END, CASE WHEN pm = prompt_mode THEN '' ELSE prompt_mode END,
+      FROM s JOIN k USING (metric) GROUP BY model, task, prompt_mode, metric),
+o AS (SELECT *, row_number() OVER (ORDER BY model, task, prompt_mode, metric) AS line_no,
+             lag(model) OVER (ORDER BY model, task, prompt_mode, metric) AS pmo,
+             lag(task) OVER (ORDER BY model, task, prompt_mode, metric) AS pt,
+             lag(prompt_mode) OVER (ORDER BY model, task, prompt_mode, metric) AS pm FROM r)
+SELECT line_no, concat_ws('|', '', CASE WHEN pmo = model THEN '' ELSE model END, CASE WHEN pt = task THEN '' ELSE task END, CASE WHEN pm = prompt_mode THEN '' ELSE prompt_mode END,
        metric, printf('%.4f', round(value, 6)), CASE WHEN stderr IS NOT NULL THEN '±' ELSE '' END,
        CASE WHEN stderr IS NOT NULL THEN printf('%.4f', round(stderr, 6)) ELSE '' END, '') AS line FROM o""")
 def q_results_table(spark, sf_dir):
     from ..operators.metrics import aggregate_scores
-    res = aggregate_scores(sql(spark, sf_dir, _SCORES).filter("model = 'm0'"), spark.sql(_KINDS))
+    res = aggregate_scores(sql(spark, sf_dir, _SCORES), spark.sql(_KINDS))
     res = res.withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 6))
-    return SK.results_table(res.drop("model"))
+    return SK.results_table(res, ("model", "task", "prompt_mode"))

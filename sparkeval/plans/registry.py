@@ -3,12 +3,13 @@ ANSI-SQL oracle that DuckDB runs on the same parquet tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import ASCII_LOWER, ASCII_PUNCTUATION, ASCII_UPPER
-from ..session import register_tables, table
+from ..session import TABLES, register_tables, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a fixture projection written in the common SQL subset of Spark and DuckDB."""
-    register_tables(spark, sf_dir)
+    named = set(re.findall(r"\w+", text))
+    register_tables(spark, sf_dir, [t for t in TABLES if t in named])
     return spark.sql(text)
 
 

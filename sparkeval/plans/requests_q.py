@@ -92,9 +92,9 @@ def q_adapt_text(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- JN04 / JN05
-_REQ = """SELECT conv_id, turn, text, sha256(concat_ws(chr(1), 'greedy_until', text)) AS request_hash
+_REQ = """SELECT conv_id, turn, text, sha256(CAST(to_json(['greedy_until', text]) AS VARCHAR)) AS request_hash
 FROM conversations WHERE role = 'user'"""
-_CACHE = """SELECT DISTINCT sha256(concat_ws(chr(1), 'greedy_until', u.text)) AS request_hash, a.text AS response
+_CACHE = """SELECT DISTINCT sha256(CAST(to_json(['greedy_until', u.text]) AS VARCHAR)) AS request_hash, a.text AS response
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""
 
@@ -114,7 +114,7 @@ def _cache(spark, sf_dir):
                     F.col("a.text").alias("response")).distinct()
 
 
-@query("cache_lookup", f"""WITH r AS ({_REQ}), c AS ({_CACHE})
+@query("cache_lookup", f"""WITH r AS ({_REQ}), c AS (SELECT request_hash, min(response) AS response FROM ({_CACHE}) GROUP BY request_hash)
 SELECT r.conv_id, r.turn, r.request_hash, true AS hit, c.response FROM r JOIN c USING (request_hash)
 UNION ALL SELECT conv_id, turn, request_hash, false, CAST(NULL AS VARCHAR) FROM r
 WHERE request_hash NOT IN (SELECT request_hash FROM c)""")
@@ -154,9 +154,8 @@ def q_batch_requests(spark, sf_dir):
   FROM conversations)""")
 def q_length_batches(spark, sf_dir):
     r = load(spark, sf_dir, "conversations")
-    d = RQ.dense_index(r, "role", [F.length("text").desc(), F.col("text").desc(), F.col("conv_id").desc(),
-                                   F.col("turn").desc()], "pos")
-    return d.select("conv_id", "turn", "role", "pos", F.floor(F.col("pos") / 16).cast("bigint").alias("batch"))
+    d = RQ.length_batches(r, "role", F.length("text"), "text", 16, ties=[F.col("conv_id"), F.col("turn")])
+    return d.select("conv_id", "turn", "role", "pos", F.col("batch").cast("bigint").alias("batch"))
 
 
 # ----------------------------------------------------------------- WIN06 / WIN07

@@ -103,12 +103,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Guarantee enough tasks for per-row heavy work: a scan with fewer partitions than
     the cluster's parallelism (e.g. one large Parquet row group) is round-robin
     repartitioned; a big input (thousands of splits) is left untouched — no shuffle."""
+    spark = df.sparkSession
     try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan: leave partitioning to the engine
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        conf = spark._jsc.hadoopConfiguration()
+        split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+        size = 0
+        for f in df.inputFiles()[:want]:             # a longer list has enough splits
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            size += max(split, p.getFileSystem(conf).getFileStatus(p).getLen())
+    except Exception:  # sessions without a local JVM view: leave partitioning to the engine
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if size < want * split else df
 
 
 def estimate_size(df: DataFrame) -> tuple[int, int]:
@@ -118,8 +125,8 @@ def estimate_size(df: DataFrame) -> tuple[int, int]:
         t = f.dataType.simpleString()
         if t == "string":
             width.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8)
-        elif t.startswith("array"):
-            width.append(F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 16 + 16)
+        elif t.startswith(("array", "struct", "map")):     # nested values by their text
+            width.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) + 16)
         else:
             width.append(F.lit(8))
     row_bytes = width[0]
@@ -158,9 +165,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in LARGE_TABLES else df
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views for every driver table (lazy; nothing is read here)."""
-    for t in TABLES:
+def equi_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null (null equals null, as in GROUP BY); the keys of the
+    result are one column each.  ``how``: inner, left, full, left_semi or left_anti."""
+    if not keys:                                     # one row on each side
+        one = F.lit(1).alias("_one")
+        return left.select("*", one).join(right.select("*", one), "_one", how).drop("_one")
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
+        cond = c if cond is None else cond & c
+    j = left.join(other, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return j
+    if how == "full":
+        j = j.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(f"`_r_{k}`")) for k in keys})
+    return j.drop(*[f"_r_{k}" for k in keys])
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Temp views for the named driver tables (lazy; nothing is read here)."""
+    for t in names:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         if os.path.exists(path) or "://" in path:
             table(spark, sf_dir, t).createOrReplaceTempView(t)

@@ -39,8 +39,8 @@ def test_positional_median_and_percentile(spark):
     rnd = random.Random(3)
     rows = [(k, i, rnd.random()) for k in "xy" for i in range(rnd.randint(300, 700))]
     df = spark.createDataFrame(rows, "k string, ord long, v double")
-    med = {r["k"]: r["median"] for r in M.positional_median(df, "k", "v", "ord", buckets=16).collect()}
-    pct = {r["k"]: r["percentile"] for r in M.exact_percentile(df, "k", "v", 0.95, buckets=16).collect()}
+    med = {r["k"]: r["median"] for r in M.positional_median(df, "k", "v", "ord").collect()}
+    pct = {r["k"]: r["percentile"] for r in M.exact_percentile(df, "k", "v", 0.95).collect()}
     for k in "xy":
         vals = [v for kk, _, v in sorted(rows, key=lambda r: r[1]) if kk == k]
         assert med[k] == vals[len(vals) // 2]
