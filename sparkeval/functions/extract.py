@@ -122,8 +122,15 @@ def parse_last_number(c) -> Column:
 
 # ----- task-registry extractors (whole generation) ---------------------------------
 
+def extract_choice_ab(pred) -> Column:
+    """EXT06: the last ``A.`` / ``B.``, else the last capital A or B, as 'X.'; the stripped
+    prediction itself when neither occurs."""
+    return let(py_strip(pred), lambda p: F.coalesce(
+        F.concat(F.coalesce(last_match(p, r"([AB])\."), last_match(p, "([AB])")), F.lit(".")), p))
+
+
 def extract_choice(pred, choices=None, letters: str = "ABCDE") -> Column:
-    """EXT05/EXT06: ``X.`` then ``X)`` (any case) then any capital ``X``; else the index
+    """EXT05: ``X.`` then ``X)`` (any case) then any capital ``X``; else the index
     of an alternative whose text equals the prediction; '' when unknown."""
     lo = letters.lower()
     return let(pred, lambda p: _choice(p, choices, letters, lo))
@@ -182,6 +189,10 @@ def extract_digit_class(pred) -> Column:
                lambda r: F.when(r == "", "unknown").otherwise(r))
 
 
-def extract_score(pred) -> Column:
-    """EXT12: the prediction as a float, null when it does not parse."""
-    return py_strip(pred).try_cast("double")
+def extract_score(pred, gold) -> Column:
+    """EXT12: struct(pred, gold, unknown): the prediction as a float; one that does not parse
+    is forced to 1 against a gold of 5 and counted in ``unknown``."""
+    def pick(v):
+        return F.struct(F.coalesce(v, F.lit(1.0)).alias("pred"), F.when(v.isNull(), F.lit(5.0)).otherwise(col(gold).cast("double")).alias("gold"),
+                        v.isNull().cast("double").alias("unknown"))
+    return let(py_strip(pred).try_cast("double"), pick)

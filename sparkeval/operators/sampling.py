@@ -92,10 +92,10 @@ def fewshot_random(evals: DataFrame, pool: DataFrame, k: int, seed: int = 1234,
                    id_col: str = "doc_id", exclude_self: bool = False) -> DataFrame:
     """SMP03 (and SMP06 with ``exclude_self``): k distinct pool rows per evaluation row.
 
-    The pool is shuffled once per task by hash and numbered (``dense_index``); each
-    evaluation row reads the k (or k+1) consecutive positions after its own hashed
-    offset, modulo the pool size — k distinct rows, uniformly placed, exactly k output
-    rows per evaluation row (no candidate pairs are generated).  With ``exclude_self``
+    The pool is numbered once per task (``dense_index``); each evaluation row draws k (or
+    k+1) positions of its own, each from its own hash, repeats drawn again (and positions in
+    order should the hashes not reach k) — k distinct rows, independent of other rows'
+    draws, exactly k output rows per evaluation row (no candidate pairs are generated).  With ``exclude_self``
     the evaluation row itself is dropped and the first k others are kept.
     Output: (task, eval_id, shot, cand_id) with shot = 0..k-1."""
     p = dense_index(pool.select(task, col(id_col).alias("cand_id")), task,
@@ -104,9 +104,9 @@ def fewshot_random(evals: DataFrame, pool: DataFrame, k: int, seed: int = 1234,
     draw = k + 1 if exclude_self else k
     e = (evals.select(task, col(id_col).alias("eval_id"))
               .join(sizes, task)
-              .withColumn("_off", F.pmod(hash_int(seed, "eval_id"), F.col("_n")))
-              .withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(draw), F.col("_n")) - 1)))
-              .withColumn("pos", F.pmod(F.col("_off") + F.col("_j"), F.col("_n"))))
+              .withColumn("_draws", F.transform(F.sequence(F.lit(0), F.lit(4 * draw + 7)), lambda j: F.pmod(hash_int(seed, F.col("eval_id"), j), F.col("_n"))))
+              .withColumn("_all", F.array_distinct(F.concat("_draws", F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_n"), F.lit(2 * draw)) - 1))))
+              .select(task, "eval_id", F.posexplode(F.slice("_all", 1, draw)).alias("_j", "pos")))
     j = e.join(p, [task, "pos"])
     if exclude_self:
         j = j.filter(F.col("cand_id") != F.col("eval_id"))
@@ -119,18 +119,22 @@ def fewshot_fixed(evals: DataFrame, pool: DataFrame, k: int, seed: int = 1234, t
                   id_col: str = "doc_id", balance: str | None = None, n_classes: int | None = None) -> DataFrame:
     """SMP04 / SMP05: the first k pool rows (by id) — or the first k // C rows of every
     class when ``balance`` names the class column — in a per-evaluation-row hashed order.
-    The reference raises when k is not a multiple of the class count; so does this."""
+    One row more is drawn and the evaluated row itself dropped, so an item is never its own
+    shot.  The reference raises when k is not a multiple of the class count; so does this."""
     if balance is not None:
         if not n_classes or k % n_classes:
             raise ValueError("balanced few-shot needs k to be a multiple of the number of classes")
         per = k // n_classes
-        first = top_k_per_group(pool, [task, balance], [col(id_col)], per)
+        first = top_k_per_group(pool, [task, balance], [col(id_col)], per + 1).withColumn("_class", col(balance))
     else:
-        first = top_k_per_group(pool, task, [col(id_col)], k)
-    first = first.select(task, col(id_col).alias("cand_id"))
-    side, _ = checked_broadcast(first)          # k rows per task
+        per = k
+        first = top_k_per_group(pool, task, [col(id_col)], k + 1).withColumn("_class", F.lit(0))
+    first = first.select(task, col(id_col).alias("cand_id"), "_class")
+    side, _ = checked_broadcast(first)          # k + 1 rows per task and class
     e = evals.select(task, col(id_col).alias("eval_id"))
-    j = e.join(side, task)
+    mine = W.partitionBy(task, "eval_id", "_class").orderBy("cand_id")
+    j = (e.join(side, task).filter(F.col("cand_id") != F.col("eval_id"))
+          .withColumn("_nth", F.row_number().over(mine)).filter(F.col("_nth") <= per))
     w = W.partitionBy(task, "eval_id").orderBy(hash_order(seed, "eval_id", "cand_id"), "cand_id")
     return j.withColumn("shot", F.row_number().over(w) - 1).select(task, "eval_id", "shot", "cand_id")
 

@@ -11,7 +11,11 @@ from ..sources import sinks as SK
 from .metrics_q import _KINDS, _SCORES
 from .registry import load, query, sql, sql_str
 
-_NAMES = "SELECT p_partkey, concat(p_name, '-', p_brand, '-', p_type) AS name FROM part"
+# Every family and quantisation tag over the parts: the name of a part, a family by its size
+# and a tag by the number in its brand.
+_NAMES = """SELECT p_partkey, concat(CASE WHEN p_size <= 8 THEN 'Mistral-7B-' WHEN p_size <= 16 THEN 'qwen2.5-' WHEN p_size <= 24 THEN 'Llama-3.1-8B-'
+    WHEN p_size <= 32 THEN 'Sabia-7b-' ELSE '' END, p_name,
+  CASE substr(p_brand, 7, 1) WHEN '1' THEN '-Q4_K_M' WHEN '2' THEN '-q8_0' WHEN '3' THEN '-Q5_1.gguf' ELSE '' END) AS name FROM part"""
 
 
 def _d_family(e: str) -> str:

@@ -158,8 +158,8 @@ _TASK_SQL = f"""WITH fx AS ({FX_RAW})
 SELECT doc_id,
   coalesce(regexp_extract_all(raw, '([ABCDE])\\.', 1)[-1], upper(regexp_extract_all(raw, '([ABCDEabcde])\\)', 1)[-1]),
            regexp_extract_all(raw, '([ABCDE])', 1)[-1], '') AS choice,
-  coalesce(regexp_extract_all(raw, '([AB])\\.', 1)[-1], upper(regexp_extract_all(raw, '([ABab])\\)', 1)[-1]),
-           regexp_extract_all(raw, '([AB])', 1)[-1], '') AS choice_ab,
+  coalesce(coalesce(regexp_extract_all(raw, '(?:[Ll]etra |[Aa]lternativa )?([AB])\\.', 1)[-1], regexp_extract_all(raw, '([AB])', 1)[-1]) || '.',
+           {d_strip('raw')}) AS choice_ab,
   regexp_extract({d_strip('raw')}, '([A-Z]\\))', 1) AS paren,
   (raw = gold OR lower({d_strip('raw')}) = lower({d_strip('gold')})
      OR (regexp_extract(lower({d_strip('raw')}), '([a-d])\\.', 1) <> ''
@@ -167,7 +167,9 @@ SELECT doc_id,
   CASE WHEN regexp_matches(raw, '(?i)^\\s*sim') THEN 'yes' WHEN regexp_matches(raw, '(?i)^\\s*(nao|não)') THEN 'no' END AS yes_no,
   CASE WHEN regexp_extract(lower({d_strip('raw')}), '(1|2)', 1) = '' THEN 'unknown'
        ELSE regexp_extract(lower({d_strip('raw')}), '(1|2)', 1) END AS digit,
-  TRY_CAST({d_strip("replace(raw, 'Total = ', '')")} AS DOUBLE) AS score
+  coalesce(TRY_CAST({d_strip("replace(raw, 'Total = ', '')")} AS DOUBLE), 1.0) AS score,
+  CASE WHEN TRY_CAST({d_strip("replace(raw, 'Total = ', '')")} AS DOUBLE) IS NULL THEN 5.0::DOUBLE ELSE CAST(doc_id % 5 AS DOUBLE) END AS score_gold,
+  CASE WHEN TRY_CAST({d_strip("replace(raw, 'Total = ', '')")} AS DOUBLE) IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score_unknown
 FROM fx"""
 
 
@@ -175,12 +177,13 @@ FROM fx"""
 def q_extract_task_answers(spark, sf_dir):
     fx = sql(spark, sf_dir, FX_RAW)
     return fx.select("doc_id", X.extract_choice("raw").alias("choice"),
-                     X.extract_choice("raw", letters="AB").alias("choice_ab"),
+                     X.extract_choice_ab("raw").alias("choice_ab"),
                      X.extract_paren_letter("raw").alias("paren"),
                      X.match_letter_lenient("gold", "raw").alias("lenient"),
                      X.extract_yes_no("raw").alias("yes_no"),
                      X.extract_digit_class("raw").alias("digit"),
-                     X.extract_score(F.replace(F.col("raw"), F.lit("Total = "), F.lit(""))).alias("score"))
+                     X.extract_score(F.replace(F.col("raw"), F.lit("Total = "), F.lit("")), F.col("doc_id") % 5).alias("_s")
+                     ).select("*", F.col("_s.pred").alias("score"), F.col("_s.gold").alias("score_gold"), F.col("_s.unknown").alias("score_unknown")).drop("_s")
 
 
 # EXT08: class list as a column — the document's language names in a fixed order.

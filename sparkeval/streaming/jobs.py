@@ -17,6 +17,8 @@ code on a static DataFrame (used by the oracle checks and the tests).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -78,15 +80,37 @@ def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
     return f"{base.rstrip('/')}/streams/{name}"
 
 
+def _stream_id(spark: SparkSession, location: str) -> str:
+    """The id written in ``location``'s sibling file, made at the first start."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location.rstrip("/") + ".stream_id")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        made = uuid.uuid4().hex
+        out = fs.create(path, False)
+        out.writeUTF(made)
+        out.close()
+        return made
+    source = fs.open(path)
+    found = source.readUTF()
+    source.close()
+    return found
+
+
 def append_batches(df: DataFrame, path: str, name: str, checkpoint: str | None = None,
                    trigger: dict | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
-    """SNK06 / STR02: append every micro-batch to a Parquet table, once per batch id —
-    a retried batch overwrites its own ``batch_id`` partition instead of appending twice."""
+    """SNK06 / STR02: append every micro-batch to a Parquet table, once per stream and batch
+    id — a retried batch overwrites its own (``stream_id``, ``batch_id``) partition instead
+    of appending twice.  ``stream_id`` is kept beside the checkpoint: a restart goes on with
+    it, another stream or a new checkpoint gets its own and touches no stored rows."""
+    spark = df.sparkSession
+    location = _checkpoint(spark, name, checkpoint)
+    stream_id = _stream_id(spark, location)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
+        (batch.withColumns({"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id)})
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id", *(partition_by or [])).parquet(path))
-    w = df.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(df.sparkSession, name, checkpoint))
+              .partitionBy("stream_id", "batch_id", *(partition_by or [])).parquet(path))
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", location)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.queryName(name).start()
 

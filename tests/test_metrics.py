@@ -75,3 +75,18 @@ def test_pareto_frontier_both_paths(spark):
     small = sorted(r["id"] for r in pareto_frontier(df).collect())
     big = sorted(r["id"] for r in pareto_frontier(df, buckets=8, max_broadcast_bytes=0).collect())
     assert small == want and big == want
+
+
+def test_exam_years_nulls_and_divisors(spark):
+    rows = [("m", f"accuracy_enem_{y}", v) for y, v in ((2021, 0.9), (2022, 0.6), (2023, 0.6), (2024, 0.6))]
+    merged = spark.createDataFrame(rows + [("n", "accuracy_enem_2022", 0.6), ("n", "accuracy_bbq_disambig", 0.5)], "model string, metric string, value double")
+    got = {r["model"]: r["value"] for r in M.exam_macro(merged).collect()}
+    assert abs(got["m"] - 0.675) < 1e-12 and abs(got["n"] - 0.2) < 1e-12
+    assert {r["model"]: r["value"] for r in M.bias_score(merged).collect()} == {"m": 0.0, "n": 0.5}
+    nulls = spark.createDataFrame([("a", None), (None, 1.0), (None, 3.0)], "k string, v double")
+    mean = {r["k"]: (r["mean"], r["stderr"]) for r in M.mean_stderr(nulls, "k", "v").collect()}
+    assert mean["a"] == (None, None) and mean[None][0] == 2.0
+    pct = {r["k"]: r["percentile"] for r in M.exact_percentile(nulls, "k", "v", 0.5).collect()}
+    assert pct == {None: 2.0}
+    sl = {(r["slice"], r["slice_value"]): r["n"] for r in M.sliced_metrics(nulls, "v", ["k"]).collect()}
+    assert sl == {("overall", "all"): 3, ("k", "a"): 1, ("k", None): 2}

@@ -49,3 +49,40 @@ def test_distributed_cumsum(spark):
     df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), F.col("id"))
     c = SM.distributed_cumsum(df, "g", [F.col("id")], F.lit(1), "c", num_partitions=5)
     assert c.filter("c <> floor(id / 2) + 1").count() == 0
+
+
+def test_fewshot_fixed_never_takes_the_row_itself(spark):
+    rows = spark.range(0, 40).select(F.lit("t").alias("task"), F.col("id").alias("doc_id"), (F.col("id") % 2).alias("c"))
+    for opts in ({}, {"balance": "c", "n_classes": 2}):
+        shots = SM.fewshot_fixed(rows, rows, 4, **opts)
+        assert shots.filter("cand_id = eval_id").count() == 0
+        assert {r["count"] for r in shots.groupBy("eval_id").count().collect()} == {4}
+
+
+def test_fewshot_random_draws_are_independent(spark):
+    """Rows that share their first shot don't share the second as well."""
+    pool = spark.range(0, 300).select(F.lit("t").alias("task"), F.col("id").alias("doc_id"))
+    by = {}
+    for r in SM.fewshot_random(pool, pool, 2).collect():
+        by.setdefault(r["eval_id"], {})[r["shot"]] = r["cand_id"]
+    pairs = {(v[0], v[1]) for v in by.values()}
+    assert len(pairs) > 290 and len({b - a for a, b in pairs}) > 100
+    small = pool.filter("doc_id < 3")
+    assert {r["count"] for r in SM.fewshot_random(small, small, 3).groupBy("eval_id").count().collect()} == {3}
+
+
+def test_null_group_keys_stay(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "g string, v int")
+    assert sorted(r["pos"] for r in SM.dense_index(df, "g", [F.col("v")], "pos").collect()) == [0, 0, 1]
+    assert sorted(r["c"] for r in SM.distributed_cumsum(df, "g", [F.col("v")], F.col("v"), "c").collect()) == [1, 2, 4]
+
+
+def test_request_hash_and_cache(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    assert len({r[0] for r in df.select(RQ.request_hash("x", "y", "z")).collect()}) == 2
+    cache = spark.createDataFrame([("k", "r2"), ("k", "r1")], "request_hash string, response string")
+    got = RQ.cache_hits(spark.createDataFrame([("k",)], "request_hash string"), cache).collect()
+    assert [r["response"] for r in got] == ["r1"]
+    uniq = spark.createDataFrame([("k", "r")], "request_hash string, response string")
+    back = RQ.scatter_responses(spark.createDataFrame([("k", 1), ("k", 2), ("l", 3)], "request_hash string, i int"), uniq).collect()
+    assert sorted((r["i"], r["response"]) for r in back) == [(1, "r"), (2, "r"), (3, None)]

@@ -63,3 +63,14 @@ def test_score_stream_foreach_batch_resumes(spark, tmp_dir):
     n = spark.read.parquet(EVENTS).count()
     assert res.count() == n
     assert abs(res.agg(F.avg("correct")).first()[0] - (1 - spark.read.parquet(EVENTS).filter("event_id % 3 = 0").count() / n)) < 1e-9
+
+
+def test_two_streams_append_to_one_table(spark, tmp_dir):
+    """A second stream, or a new checkpoint, never overwrites stored rows."""
+    src = _events_dir(tmp_dir)
+    schema = spark.read.parquet(EVENTS).schema
+    n = spark.read.parquet(EVENTS).count()
+    out = os.path.join(tmp_dir, "two")
+    for ck in ("ckA", "ckB", "ckB"):
+        J.append_batches(spark.readStream.schema(schema).parquet(src), out, "s_" + ck, checkpoint=os.path.join(tmp_dir, ck)).awaitTermination()
+    assert spark.read.parquet(out).count() == 2 * n
