@@ -125,3 +125,32 @@ def chat_messages(turns: DataFrame, **kw) -> DataFrame:
                                                                F.col("system").alias("content"))))
     allm = F.concat(F.coalesce(sys_item, F.array().cast("array<struct<role:string,content:string>>")), items)
     return c.select(conv, F.to_json(allm, {"ignoreNullFields": "false"}).alias("messages_json"), F.size(allm).cast("bigint").alias("n_messages"))
+
+
+# ---------------------------------------------------------------------------
+# The runner's system message and its prompt template per model family
+# ({system} and {prompt} are filled in); other families get the bare prompt.
+RUNNER_SYSTEM = ("You are a helpful assistant that follows instructions precisely. "
+                 "Answer concisely. Do not explain your reasoning.")
+FAMILY_TEMPLATES = {
+    "mistral": "<s>[INST] {system}\n\n{prompt} [/INST]",
+    "deepseek-r1": "<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n<think>\n",
+    "qwen": "<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n",
+    "llama3": ("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{system}<|eot_id|>"
+               "<|start_header_id|>user<|end_header_id|>\n\n{prompt}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"),
+    "sabia": ("Abaixo está uma instrução que descreve uma tarefa. Escreva uma resposta que complete adequadamente o pedido.\n\n"
+              "### Instrução:\n{system}\n\n{prompt}\n\n### Resposta:\n"),
+}
+# ---------------------------------------------------------------------------
+
+
+def apply_family_template(prompt, family, system: str = RUNNER_SYSTEM, templates=FAMILY_TEMPLATES) -> Column:
+    """PRJ09 (runner): the prompt inside its model family's template; the bare prompt for a
+    family without one."""
+    p, f = col(prompt), col(family)
+    out = None
+    for name, template in templates.items():
+        before, after = template.replace("{system}", system).split("{prompt}")
+        filled = F.concat(F.lit(before), p, F.lit(after))
+        out = F.when(f == name, filled) if out is None else out.when(f == name, filled)
+    return p if out is None else out.otherwise(p)

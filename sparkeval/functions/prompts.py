@@ -197,3 +197,55 @@ def parity_choices(qid, correct, incorrect, pos) -> Column:
 def exam_area(question_no, areas: list[str]) -> Column:
     """PRJ08: area from the question number, ``ceil(q / 45) - 1`` indexing the areas."""
     return F.element_at(F.array(*[F.lit(a) for a in areas]), F.ceil(col(question_no) / 45).cast("int"))
+
+
+# ----------------------------------------------------------------- PRJ02 (task registry)
+# Labels of the registry's prompts.
+EXAM_LETTERS = "ABCDE"
+ANSWER_HANDLE = {"en": "Answer:", "pt": "Resposta:"}
+ENTAILMENT_TARGETS = [" Não", " Sim"]
+FOUR_LETTER_UNIVERSITY = "UNICAMP"
+
+
+def _lettered(options: Column) -> Column:
+    """'A. x\\n' … for at most five options, concatenated."""
+    return F.array_join(F.transform(F.slice(options, 1, len(EXAM_LETTERS)), lambda x, i: F.concat(
+        F.substring(F.lit(EXAM_LETTERS), i + 1, F.lit(1)), F.lit(". "), x, F.lit("\n"))), "")
+
+
+def headed_exam_prompt(context, question, options) -> Column:
+    """PRJ02: exam item with a heading, lettered alternatives and the answer cue."""
+    return F.concat(F.lit("Cabeçalho: "), col(context), F.lit("\nEnunciado: "), col(question), F.lit("\nAlternativas:\n"),
+                    _lettered(col(options)), F.lit("Resposta:"))
+
+
+def statement_exam_prompt(question, alternatives) -> Column:
+    """PRJ02 / PRJ03: exam item whose alternatives carry their own 'a)' labels, rewritten to
+    'A.' by position."""
+    relabelled = F.transform(F.slice(col(alternatives), 1, len(EXAM_LETTERS)), lambda x, i: F.concat(F.replace(
+        x, F.concat(F.lower(F.substring(F.lit(EXAM_LETTERS), i + 1, F.lit(1))), F.lit(")")),
+        F.concat(F.substring(F.lit(EXAM_LETTERS), i + 1, F.lit(1)), F.lit("."))), F.lit("\n")))
+    return F.concat(F.lit("Enunciado: "), col(question), F.lit("\nAlternativas:\n"), F.array_join(relabelled, ""), F.lit("Resposta:"))
+
+
+def university_gold_index(item_id, answer) -> Column:
+    """PRJ03: 0-based index of the answer letter among the four letters of one university or
+    the five of the others (null when the letter is not among them)."""
+    n = F.when(F.split_part(col(item_id), F.lit("_"), F.lit(1)) == FOUR_LETTER_UNIVERSITY, 4).otherwise(5)
+    at = F.instr(F.lit(EXAM_LETTERS), F.upper(col(answer)))
+    return F.when((F.length(col(answer)) == 1) & (at > 0) & (at <= n), at - 1)
+
+
+def lettered_question_prompt(question, labels, texts, language: str = "pt") -> Column:
+    """PRJ02: question, its alternatives under their own labels, and the answer cue."""
+    lines = F.transform(F.arrays_zip(col(labels).alias("l"), col(texts).alias("t")), lambda z: F.concat(z["l"], F.lit(". "), z["t"]))
+    return F.concat(col(question), F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n" + ANSWER_HANDLE[language]))
+
+
+def entailment_prompt(premise, hypothesis) -> Column:
+    """PRJ02: yes/no question whether the premise entails the hypothesis."""
+    return F.concat(F.lit('Pergunta: Dado que "'), col(premise), F.lit('", é verdade que "'), col(hypothesis), F.lit('"?\nResposta:'))
+
+
+def entailment_target(judgment) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in ENTAILMENT_TARGETS]), col(judgment).cast("int"))

@@ -168,3 +168,24 @@ def parse_perf_logs(lines: DataFrame, keys=("run_id",), line_no: str = "line_no"
     tps = F.coalesce(F.col("_e"), F.col("_g"), F.lit(0.0))
     return agg.select(*ks, tps.alias("tokens_per_second"),
                       F.coalesce(F.col("_t"), F.when(tps > 0, 1000.0 / tps), F.lit(0.0)).alias("ttft_ms"))
+
+
+# Marks of GPU lines and the perplexity lines in the tools' output.
+GPU_MARKS = ["cuda", "rocm", "vram", "gpu"]
+RX_MIB = r"(\d+(?:\.\d+)?)\s*mib"
+RX_PPL = r"(?i)Final estimate:\s*PPL\s*=\s*([\d.]+)"
+RX_PPL_FALLBACK = r"(?i)\bppl\b[^0-9]*([\d.]+)"
+
+
+def vram_peak_gb(output) -> Column:
+    """SRC22: largest 'n MiB' on a line that names a GPU, in GiB; 0 when there is none."""
+    gpu = F.filter(F.split(F.lower(col(output)), "\\R"), lambda x: F.exists(F.array(*[F.lit(m) for m in GPU_MARKS]), lambda m: x.contains(m)))
+    sizes = F.flatten(F.transform(gpu, lambda x: F.regexp_extract_all(x, F.lit(RX_MIB), F.lit(1))))
+    return F.coalesce(F.array_max(F.transform(sizes, lambda x: x.cast("double") / 1024.0)), F.lit(0.0))
+
+
+def parse_ppl(output) -> Column:
+    """SRC22: the final perplexity estimate of a run's output, else the first number after a
+    lone 'ppl'; null when neither is there."""
+    first = lambda rx: F.nullif(F.regexp_extract(col(output), rx, 1), F.lit(""))
+    return F.coalesce(first(RX_PPL), first(RX_PPL_FALLBACK)).try_cast("double")

@@ -134,3 +134,25 @@ def q_runner_prompts(spark, sf_dir):
                     P.runner_bias_prompt("source", "text", "lang", "source", F.col("n_chars").cast("string")).alias("bias_prompt"),
                     P.runner_gsm_prompt("text").alias("gsm_prompt"),
                     P.relabel_choice(F.concat("lang", F.lit(") x"))).alias("relabelled"))
+
+
+# ----------------------------------------------------------------- PRJ02 / PRJ03 (task registry)
+@query("registry_prompts", """SELECT doc_id,
+  'Cabeçalho: ' || source || chr(10) || 'Enunciado: ' || text || chr(10) || 'Alternativas:' || chr(10) || 'A. ' || lang || chr(10) || 'B. ' || source
+    || chr(10) || 'C. ' || CAST(n_chars AS VARCHAR) || chr(10) || 'Resposta:' AS headed,
+  'Enunciado: ' || text || chr(10) || 'Alternativas:' || chr(10) || 'A. ' || lang || chr(10) || 'B. ' || source || ' a)' || chr(10) || 'Resposta:' AS statement,
+  text || chr(10) || '1. ' || lang || chr(10) || '2. ' || source || chr(10) || 'Answer:' AS lettered,
+  'Pergunta: Dado que "' || text || '", é verdade que "' || source || '"?' || chr(10) || 'Resposta:' AS entailment,
+  CASE WHEN n_chars % 2 = 0 THEN ' Não' ELSE ' Sim' END AS target,
+  CASE WHEN lang = 'en' AND letter = 'e' THEN NULL ELSE CAST(instr('abcde', letter) - 1 AS INT) END AS gold
+FROM (SELECT *, substr('abcde', CAST(n_chars % 5 AS INT) + 1, 1) AS letter FROM documents)""")
+def q_registry_prompts(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    letter = F.substring(F.lit("abcde"), (F.col("n_chars") % 5 + 1).cast("int"), F.lit(1))
+    item = F.when(F.col("lang") == "en", F.lit("UNICAMP_2020")).otherwise(F.lit("USP_2020"))
+    return d.select(
+        "doc_id", P.headed_exam_prompt("source", "text", F.array("lang", "source", F.col("n_chars").cast("string"))).alias("headed"),
+        P.statement_exam_prompt("text", F.array(F.concat(F.lit("a) "), "lang"), F.concat(F.lit("b) "), "source", F.lit(" a)")))).alias("statement"),
+        P.lettered_question_prompt("text", F.array(F.lit("1"), F.lit("2")), F.array("lang", "source"), "en").alias("lettered"),
+        P.entailment_prompt("text", "source").alias("entailment"), P.entailment_target(F.col("n_chars") % 2).alias("target"),
+        P.university_gold_index(item, letter).alias("gold"))

@@ -206,3 +206,20 @@ def q_assemble_responses(spark, sf_dir):
     a = assemble_responses(items, r)
     return a.select("task", "prompt_mode", "doc_id", F.size("responses").cast("bigint").alias("n_resp"),
                     F.element_at("responses", 1).alias("first_resp"), F.element_at("responses", -1).alias("last_resp"))
+
+
+# ----------------------------------------------------------------- PRJ09 (runner families)
+_FAMILIES = [*CH.FAMILY_TEMPLATES, "generic"]
+
+
+def _template_sql() -> str:
+    whens = " ".join(f"WHEN family = {sql_str(n)} THEN {sql_str(a)} || text || {sql_str(b)}" for n, t in CH.FAMILY_TEMPLATES.items()
+                     for a, b in [t.replace("{system}", CH.RUNNER_SYSTEM).split("{prompt}")])
+    return f"CASE {whens} ELSE text END"
+
+
+@query("family_templates", f"""SELECT doc_id, family, {_template_sql()} AS prompt
+FROM documents, (SELECT unnest([{', '.join(sql_str(f) for f in _FAMILIES)}]) AS family)""")
+def q_family_templates(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").withColumn("family", F.explode(F.array(*[F.lit(f) for f in _FAMILIES])))
+    return d.select("doc_id", "family", CH.apply_family_template("text", "family").alias("prompt"))

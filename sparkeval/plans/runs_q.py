@@ -159,3 +159,28 @@ SELECT name, dataset, replace(string_split(rest, '.')[1], 'dinamic', 'dynamic')
        string_split(rest, '.')[-1] AS metric, concat(dataset, '-', string_split(rest, '.')[-1]) AS key FROM q""")
 def q_parse_metric_names(spark, sf_dir):
     return N.parse_metric_names(sql(spark, sf_dir, _NAMES))
+
+
+# ----------------------------------------------------------------- SRC22 (tool output)
+FX_OUTPUT_LINES = """SELECT user_id AS run_id, event_id, CASE event_id % 6
+    WHEN 0 THEN concat('CUDA0 model buffer size = ', CAST(event_id AS STRING), '.50 MiB')
+    WHEN 1 THEN concat('host buffer size = ', CAST(event_id AS STRING), ' MiB')
+    WHEN 2 THEN concat('[1] ppl so far: ', CAST(event_id % 90 AS STRING), '.25')
+    WHEN 3 THEN concat(CASE WHEN user_id % 2 = 0 THEN 'Final estimate: PPL = ' ELSE 'estimate ' END, CAST(event_id % 70 AS STRING), '.125 +/- 0.04')
+    WHEN 4 THEN concat('VRAM free ', CAST(event_id AS STRING), ' MiB of ', CAST(event_id + 7 AS STRING), 'MiB')
+    ELSE event_type END AS line FROM events"""
+
+
+@query("run_outputs", f"""WITH l AS ({FX_OUTPUT_LINES}),
+o AS (SELECT run_id, string_agg(line, chr(10) ORDER BY event_id) AS output FROM l GROUP BY run_id),
+g AS (SELECT run_id, max(CAST(regexp_extract(m, '[0-9.]+') AS DOUBLE)) / 1024 AS gb FROM (
+        SELECT run_id, unnest(regexp_extract_all(lower(line), '\\d+(\\.\\d+)?\\s*mib')) AS m FROM l
+        WHERE regexp_matches(lower(line), 'cuda|rocm|vram|gpu')) GROUP BY run_id)
+SELECT o.run_id, {rd('coalesce(g.gb, 0.0)')} AS vram_peak_gb,
+  TRY_CAST(coalesce(nullif(regexp_extract(output, '(?i)Final estimate:\\s*PPL\\s*=\\s*([\\d.]+)', 1), ''),
+                    nullif(regexp_extract(output, '(?i)\\bppl\\b[^0-9]*([\\d.]+)', 1), '')) AS DOUBLE) AS ppl
+FROM o LEFT JOIN g USING (run_id)""")
+def q_run_outputs(spark, sf_dir):
+    lines = sql(spark, sf_dir, FX_OUTPUT_LINES)
+    out = lines.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("output"))
+    return out.select("run_id", F.round(RU.vram_peak_gb("output"), 6).alias("vram_peak_gb"), RU.parse_ppl("output").alias("ppl"))
