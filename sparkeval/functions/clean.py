@@ -96,8 +96,19 @@ def flag_loops(text, n: int) -> Column:
     """CLN03: True when, among the last 14n tokens, three equal consecutive n-token
     windows start at some i in [0, len - 3n) (the last start is not tested, as in the
     reference).  Needs at least 4n tokens."""
+    return flag_loops_all(text, [n])[0]["is_loop"]
+
+
+def flag_loops_all(text, sizes: list[int]) -> Column:
+    """CLN03 for several window sizes: array<struct<n, is_loop>>, the text tokenised once."""
+    return let(F.regexp_extract_all(F.lower(col(text)), F.lit(_java(TOKEN_RX)), 0), lambda toks: F.array(*[
+        F.struct(F.lit(n).alias("n"), _loops(toks, n).alias("is_loop")) for n in sizes]))
+
+
+def _loops(tokens, n: int) -> Column:
     if n <= 0:
         return F.lit(False)
+
     def on_tokens(toks):
         def on_tail(tail):
             k = F.size(tail) - 3 * n
@@ -106,7 +117,7 @@ def flag_loops(text, n: int) -> Column:
                 & (F.slice(tail, i + 1 + n, n) == F.slice(tail, i + 1 + 2 * n, n))))
             return F.when(F.size(toks) < 4 * n, F.lit(False)).when(k <= 0, F.lit(False)).otherwise(hit)
         return let(F.when(F.size(toks) > 14 * n, F.slice(toks, -14 * n, 14 * n)).otherwise(toks), on_tail)
-    return let(F.regexp_extract_all(F.lower(col(text)), F.lit(_java(TOKEN_RX)), 0), on_tokens)
+    return on_tokens(tokens)
 
 
 def label_outcome(rc, timed_out, loop_abort, oom=None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_PUNCTUATION, col, let
-from ..session import checked_broadcast
+from ..session import checked_broadcast, equi_join
 from .sampling import _keys, distributed_cumsum
 
 # ---------------------------------------------------------------------------
@@ -81,9 +81,10 @@ def best_threshold(df: DataFrame, keys, prob: str = "na_prob", order: str = "id"
     base = df.groupBy(*ks).agg(F.count_if(~col(has_answer)).cast("double").alias("_base"),
                                F.count(F.lit(1)).alias("_n"))
     mx = run.groupBy(*ks).agg(F.max("_run").alias("_max"))
-    first = (run.join(mx, ks).filter(F.col("_run") == F.col("_max"))
+    side, _ = checked_broadcast(mx)                  # one row per group: no shuffle on a hot group key
+    first = (equi_join(run, side, ks).filter(F.col("_run") == F.col("_max"))
                 .groupBy(*ks).agg(F.min(F.struct(col(prob).alias("p"), col(order).alias("o")))["p"].alias("_at")))
-    j = base.join(mx, ks, "left").join(first, ks, "left")
+    j = equi_join(equi_join(base, mx, ks, "left"), first, ks, "left")
     better = F.col("_max") > 0
     best = F.when(better, F.col("_base") + F.col("_max")).otherwise(F.col("_base"))
     return j.select(*ks, (100.0 * best / F.col("_n")).alias("best_score"),

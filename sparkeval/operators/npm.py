@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..session import checked_broadcast
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference): per "<dataset>-<metric>" key, the random
@@ -54,14 +55,15 @@ def score_mapping(spark: SparkSession, rows=None) -> DataFrame:
 
 
 def normalize_score(raw, random_score, max_score, scale: float = 100.0):
-    return scale * (col(raw) - col(random_score)) / (col(max_score) - col(random_score))
+    """Null where the maximum equals the random score."""
+    return F.try_divide(scale * (col(raw) - col(random_score)), col(max_score) - col(random_score))
 
 
 def npm(results: DataFrame, mapping: DataFrame, keys=("model",), key: str = "key", raw: str = "raw") -> DataFrame:
     """AGG25: per ``keys``: NPM over all / translated / native tasks, where each task's
     preferred metric is normalised as 100·(raw − random)/(max − random)."""
     ks = list(keys)
-    j = results.join(F.broadcast(mapping), key)
+    j = results.join(checked_broadcast(mapping)[0], key)
     n = normalize_score(raw, "random_score", "max_score")
     return j.groupBy(*ks).agg(F.avg(n).alias("npm_all"),
                               F.avg(F.when(F.col("translated"), n)).alias("npm_translated"),
@@ -74,7 +76,7 @@ def npm_series(history: DataFrame, mapping: DataFrame, step: str = "step", mode:
     """AGG26: per (step, prompt mode, subset all / translated / native): mean of
     (raw − random)/(max − random) over the mapped datasets (NaN propagates) and the number
     of datasets."""
-    j = history.join(F.broadcast(mapping), key)
+    j = history.join(checked_broadcast(mapping)[0], key)
     n = normalize_score(raw, "random_score", "max_score", scale=1.0)
     subset = F.explode(F.array(F.lit("all"), F.when(F.col("translated"), F.lit("translated"))
                                .otherwise(F.lit("native"))))
@@ -89,7 +91,6 @@ def parse_metric_names(names: DataFrame, name: str = "name", recommended: bool =
     'recommended' format separates with '/', the other with '_' and knows two-part
     dataset prefixes."""
     c = col(name)
-    sep = "/" if recommended else "_"
     parts = F.split(c, "/" if recommended else "_")
     first = F.element_at(parts, 1)
     if recommended:
@@ -102,7 +103,6 @@ def parse_metric_names(names: DataFrame, name: str = "name", recommended: bool =
             F.array_join(F.slice(parts, 2, F.size(parts)), "_"))
     metric = F.element_at(F.split(rest, r"\."), -1)
     prompt_mode = F.replace(F.element_at(F.split(rest, r"\."), 1), F.lit("dinamic"), F.lit("dynamic"))
-    del sep
     return names.select(c.alias(name), dataset.alias("dataset"), prompt_mode.alias("prompt_mode"),
                         metric.alias("metric"), F.concat(dataset, F.lit("-"), metric).alias("key"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..session import checked_broadcast, equi_join
 from .sampling import _keys, dense_index, distributed_cumsum
 
 
@@ -63,11 +64,12 @@ def batch_requests(requests: DataFrame, keys, order: list[Column], until: str, s
     ks = _keys(keys)
     d = dense_index(requests, ks, order, "pos")
     prev = d.select(*ks, (F.col("pos") + 1).alias("pos"), col(until).alias("_prev"))
-    d = d.join(prev, ks + ["pos"], "left")
+    d = equi_join(d, prev, ks + ["pos"], "left")
     new_island = (F.col("_prev").isNull() | (col(until) != F.col("_prev"))).cast("long")
     d = distributed_cumsum(d, ks, [F.col("pos")], new_island, "island")
     start = d.groupBy(*ks, "island").agg(F.min("pos").alias("_start"))
-    d = d.join(start, ks + ["island"])
+    side, _ = checked_broadcast(start)               # one row per island: a hot island is not shuffled
+    d = equi_join(d, side, ks + ["island"])
     return (d.withColumn("chunk_in_island", F.floor((F.col("pos") - F.col("_start")) / size))
              .drop("_prev", "_start"))
 

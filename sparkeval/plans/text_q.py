@@ -212,11 +212,7 @@ SELECT doc_id, CAST(n AS INT) AS n,
 FROM u""")
 def q_flag_loops(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    parts = [d.select("doc_id", F.lit(n).alias("n"), C.flag_loops("text", n).alias("is_loop")) for n in (1, 2, 4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return d.select("doc_id", F.explode(C.flag_loops_all("text", [1, 2, 4])).alias("_x")).select("doc_id", "_x.n", "_x.is_loop")
 
 
 @query("detokenize", """SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(text, ' n''t', 'n''t'),
