@@ -23,11 +23,12 @@ from .common import WORD_RE, map_texts
 
 SYMBOLS = "#*$%&|<>"
 # Phrases of page furniture; a line of few words with one of them is boilerplate.
-BOILERPLATE = re.compile(
+BOILERPLATE_PATTERN = (
     r"all rights reserved|cookie policy|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|"
     r"subscribe to|sign up for|click here|enable javascript|lorem ipsum|licensed under|powered by|"
-    r"share on (?:facebook|twitter)|skip to (?:main )?content", re.I | re.A)
-SEPARATOR = re.compile(r"(?:^|\s)[|»›•·>/](?=\s|$)")
+    r"share on (?:facebook|twitter)|skip to (?:main )?content")
+BOILERPLATE = re.compile(BOILERPLATE_PATTERN, re.I | re.A)
+SEPARATORS = ("|", "»", "›", "•", "·", ">", "/")       # as words of their own
 
 
 @dataclass(frozen=True)
@@ -43,17 +44,15 @@ class LineRules:
     max_lost: float = 0.3              # share of the words that removed lines may hold
 
 
-def line_fails(line: str, n_words: int, rules: LineRules) -> str | None:
+def line_fails(line: str, words: list[str], rules: LineRules) -> str | None:
     """The rule that removes a line with words, or None."""
-    symbols = sum(map(line.count, SYMBOLS))
-    bars = 0
-    if symbols or "»" in line or "›" in line or "•" in line or "·" in line or " / " in line:
-        bars = len(SEPARATOR.findall(line))
-        if bars >= rules.min_separators and n_words - bars <= rules.max_words_per_cell * (bars + 1):
-            return "navigation"
-    if symbols > rules.max_symbols_per_word * n_words:
+    n = len(words)
+    bars = sum(map(words.count, SEPARATORS))
+    if bars >= rules.min_separators and n - bars <= rules.max_words_per_cell * (bars + 1):
+        return "navigation"
+    if sum(map(line.count, SYMBOLS)) > rules.max_symbols_per_word * n:
         return "punctuation"
-    if n_words <= rules.boilerplate_words and BOILERPLATE.search(line):
+    if n <= rules.boilerplate_words and BOILERPLATE.search(line):
         return "boilerplate"
     return None
 
@@ -84,15 +83,15 @@ def judge(text: str | None, rules: LineRules) -> dict:
     words = WORD_RE.findall(text)
     n, seen, dup, kept_lines, lost, why = len(words), set(), 0, [], 0, {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     for line in text.split("\n"):
-        n_line = len(WORD_RE.findall(line))
+        line_words = WORD_RE.findall(line)
         failed = None
-        if n_line:
+        if line_words:
             dup += line in seen
             seen.add(line)
-            failed = line_fails(line, n_line, rules)
+            failed = line_fails(line, line_words, rules)
         if failed:
             why[failed] += 1
-            lost += n_line
+            lost += len(line_words)
         else:
             kept_lines.append(line)
     repeat = repeated_words(words)

@@ -13,7 +13,7 @@ from .common import read
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
-from .quality_rules import quality_rules
+from .quality_rules import BOILERPLATE_PATTERN, SEPARATORS, quality_rules
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 from .token_counts import token_prefixes
@@ -84,7 +84,30 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op5_quality_rules")
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SYMBOLS = "CAST(length(regexp_replace({}, '[^#*$%&|<>]', '', 'g')) AS BIGINT)"
+_SEPARATORS = ", ".join(f"'{x}'" for x in SEPARATORS)
+
+
+@query("op5_quality_rules", oracle=f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+          SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN again USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (SELECT doc_id, line, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({_SEPARATORS}))) AS bars, {_SYMBOLS.format("line")} AS sym,
+                  regexp_matches(line, '(?i){BOILERPLATE_PATTERN}') AS boiler FROM lines WHERE len(lw) > 0),
+ruled AS (SELECT *, CASE WHEN bars >= 3 AND n - bars <= 4 * (bars + 1) THEN 'n' WHEN sym > 0.5 * n THEN 'p' WHEN n <= 30 AND boiler THEN 'b' END AS why FROM judged),
+by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (WHERE why IS NOT NULL), 0) AS BIGINT) AS n_lost_words,
+                  count(*) FILTER (WHERE why = 'p') AS n_punctuation, count(*) FILTER (WHERE why = 'n') AS n_navigation,
+                  count(*) FILTER (WHERE why = 'b') AS n_boilerplate FROM ruled GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, {_SYMBOLS.format("text")} AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words,
+             coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate
+      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN by_doc USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_lost_words <= 0.3 * n_words AS kept FROM f""")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, whole-text verdict and line-first verdict of every document."""
     return quality_rules(read(spark, sf_dir, "documents"))
