@@ -254,14 +254,19 @@ def num_examples(scores: DataFrame, task: str = "task", mode: str = "prompt_mode
 
 
 # Aggregator kinds the dispatcher knows, with their stderr rule.
-AGG_KINDS = {"mean": "analytic", "perplexity": "bootstrap", "weighted_perplexity": "none",
-             "bits_per_byte": "none", "sum": "none"}
+AGG_KINDS = {"mean": "analytic", "perplexity": "bootstrap", "weighted_perplexity": "none", "bits_per_byte": "none", "sum": "none",
+             "f1": "bootstrap", "mcc": "bootstrap", "median": "none"}
 
 
-def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task", "prompt_mode")) -> DataFrame:
-    """AGG01 / AGG20: long scores (keys, metric, value, weight) + a (metric, kind) dimension
-    -> results (keys, metric, value, stderr, n).  Metrics without a kind are skipped
-    (inner join), like metrics without an aggregator in the reference."""
+def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task", "prompt_mode"), order: str = "doc_id",
+                     iters: int = 0, seed: int = 1234) -> DataFrame:
+    """AGG01 / AGG20: long scores (keys, metric, value, weight[, gold, pred]) + a (metric,
+    kind) dimension -> results (keys, metric, value, stderr, n).  Metrics without a kind are
+    skipped (inner join), like metrics without an aggregator in the reference.
+
+    Kinds: mean, sum, perplexity, weighted_perplexity, bits_per_byte; f1 and mcc of binary
+    (gold, pred); median, the element at position n//2 of ``order``.  ``iters`` > 0 adds the
+    bootstrap error of the kinds whose rule is bootstrap; means have the analytic error."""
     ks = _keys(keys)
     kinds_side, _ = checked_broadcast(kinds.select("metric", "kind"))
     j = scores.join(kinds_side, "metric")
@@ -270,11 +275,34 @@ def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task",
     k = F.first("kind")
     value = (F.when(k == "mean", F.avg(v))
               .when(k == "perplexity", F.exp(-F.avg(v)))
-              .when(k == "weighted_perplexity", F.exp(-(F.sum(v) / F.sum(w))))
-              .when(k == "bits_per_byte", -(F.sum(v) / F.sum(w)) / F.lit(math.log(2)))
+              .when(k == "weighted_perplexity", F.exp(-F.try_divide(F.sum(v), F.sum(w))))
+              .when(k == "bits_per_byte", -F.try_divide(F.sum(v), F.sum(w)) / F.lit(math.log(2)))
               .when(k == "sum", F.sum(v)))
+    pairs = {"gold", "pred"} <= set(scores.columns)
+    if pairs:
+        cell = lambda g, p: F.sum(F.when((F.col("gold") == 1) == F.lit(g), F.when((F.col("pred") == 1) == F.lit(p), 1.0).otherwise(0.0)).otherwise(0.0))
+        tp, fp, fn, tn = cell(True, True), cell(False, True), cell(True, False), cell(False, False)
+        value = (value.when(k == "f1", F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)))
+                      .when(k == "mcc", F.coalesce(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0))))
     stderr = F.when(k == "mean", F.try_divide(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.sqrt(F.count(v))))
-    return j.groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), F.count(v).alias("n"))
+    n = F.when(k.isin("f1", "mcc"), F.count(F.lit(1))).otherwise(F.count(v))
+    rest = F.col("kind") != "median"
+    out = j.filter(rest).groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), n.alias("n"))
+    middle = j.filter(~rest)
+    by = [*ks, "metric"]
+    med = equi_join(positional_median(middle, by, "value", order), middle.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    out = out.unionByName(med.select(*by, F.col("median").cast("double").alias("value"), F.lit(None).cast("double").alias("stderr"), "n"))
+    if iters > 0:
+        from .bootstrap import bootstrap_stderr
+        parts = [bootstrap_stderr(j.filter(F.col("kind") == "perplexity"), by, "perplexity", iters, seed, order, value="value")]
+        if pairs:
+            parts += [bootstrap_stderr(j.filter(F.col("kind") == x), by, x, iters, seed, order, gold="gold", pred="pred") for x in ("f1", "mcc")]
+        errors = parts[0]
+        for p in parts[1:]:
+            errors = errors.unionByName(p)
+        out = equi_join(out, errors.select(*by, F.col("stderr").alias("_boot")), by, "left")
+        out = out.withColumn("stderr", F.coalesce("stderr", "_boot")).drop("_boot")
+    return out.select(*ks, "metric", "value", "stderr", "n")
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, keys, raise_on_overlap: bool = False) -> DataFrame:

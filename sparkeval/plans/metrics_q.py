@@ -284,6 +284,25 @@ UNION ALL SELECT model, task, prompt_mode, doc_id, 'ppl', CAST(-(doc_id % 5 + 1)
 UNION ALL SELECT model, task, prompt_mode, doc_id, 'bpb', CAST(-(doc_id % 9 + 1) AS DOUBLE), CAST(doc_id % 4 + 1 AS DOUBLE) FROM ({FX_CLS}) c
 UNION ALL SELECT model, task, prompt_mode, doc_id, 'debug_info', CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) FROM ({FX_CLS}) c"""
 _KINDS = "SELECT * FROM (VALUES ('acc', 'mean'), ('ppl', 'perplexity'), ('bpb', 'bits_per_byte')) AS k(metric, kind)"
+# The same with pair metrics and a positional median.
+_PAIR_SCORES = " UNION ALL ".join(
+    f"SELECT model, task, prompt_mode, doc_id, '{m}' AS metric, CAST({v} AS DOUBLE) AS value, CAST(1.0 AS DOUBLE) AS weight, gold, pred FROM ({FX_CLS}) c"
+    for m, v in (("acc", "pred = gold"), ("f1", "0.0"), ("mcc", "0.0"), ("len", "gold3 * 10 + doc_id % 10"), ("total", "gold3"), ("debug_info", "0.0")))
+_PAIR_KINDS = "SELECT * FROM (VALUES ('acc', 'mean'), ('f1', 'f1'), ('mcc', 'mcc'), ('len', 'median'), ('total', 'sum')) AS k(metric, kind)"
+
+
+@query("aggregate_pair_scores", f"""WITH s AS ({_PAIR_SCORES}), k AS ({_PAIR_KINDS}),
+c AS (SELECT model, task, prompt_mode, metric, kind, count(*) AS n, avg(value) AS mean, sum(value) AS total, coalesce(stddev_samp(value), 0) / sqrt(count(*)) AS se,
+             list(value ORDER BY doc_id) AS vs,
+             CAST(count_if(gold = 1 AND pred = 1) AS DOUBLE) AS tp, CAST(count_if(gold <> 1 AND pred = 1) AS DOUBLE) AS fp,
+             CAST(count_if(gold = 1 AND pred <> 1) AS DOUBLE) AS fn, CAST(count_if(gold <> 1 AND pred <> 1) AS DOUBLE) AS tn
+      FROM s JOIN k USING (metric) GROUP BY ALL)
+SELECT model, task, prompt_mode, metric,
+  {rd("CASE kind WHEN 'mean' THEN mean WHEN 'sum' THEN total WHEN 'median' THEN vs[n // 2 + 1] WHEN 'f1' THEN coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) WHEN 'mcc' THEN coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0.0) END")} AS value,
+  {rd("CASE WHEN kind = 'mean' THEN se END")} AS stderr, n FROM c""")
+def q_aggregate_pair_scores(spark, sf_dir):
+    out = M.aggregate_scores(sql(spark, sf_dir, _PAIR_SCORES), spark.sql(_PAIR_KINDS))
+    return rcols(out, {"model", "task", "prompt_mode", "metric", "n"})
 
 
 @query("aggregate_scores", f"""WITH s AS ({_SCORES}), k AS ({_KINDS})

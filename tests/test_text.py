@@ -50,3 +50,19 @@ def test_token_f1_variants(spark):
 
 def test_word_count_keeps_empty_ends(spark):
     assert _one(spark, S.word_count("t"), t=" a b ") == 4
+
+
+def test_choice_ab_and_score_rules(spark):
+    from sparkeval.functions import extract as X
+    df = spark.createDataFrame([("Resposta a) ou B",), ("Letra A. ou B",), (" nada ",), ("2,5",), (" 3.5 ",)], "p string")
+    got = [r[0] for r in df.select(X.extract_choice_ab("p")).collect()]
+    assert got == ["B.", "A.", "nada", "2,5", "3.5"]
+    score = [tuple(r[0]) for r in df.select(X.extract_score("p", F.lit(2))).collect()]
+    assert score[3] == (1.0, 5.0, 1.0) and score[4] == (3.5, 2.0, 0.0)
+
+
+def test_bag_overlap(spark):
+    from sparkeval.functions.text import bag
+    df = spark.createDataFrame([(["b", "a", "b", ""],), ([],)], "t array<string>")
+    got = [sorted(r[0]) for r in df.select(bag("t")).collect()]
+    assert got == [["\u00011", "a\u00011", "b\u00011", "b\u00012"], []]
