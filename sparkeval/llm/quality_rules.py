@@ -139,7 +139,8 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col: s
     name = "__quality_verdict"
     while name in docs.columns:
         name += "_"
-    seen = docs.withColumn(name, verdict(F.col(text_col).cast("string"))).filter(F.col(f"{name}.kept"))
+    once = verdict.asNondeterministic()                    # else the filter is pushed below and judges a second time
+    seen = docs.withColumn(name, once(F.col(f"`{text_col}`").cast("string"))).filter(F.col(f"{name}.kept"))
     new = {text_col: F.col(f"{name}.clean_text")}
     if chars_col in docs.columns:
         new[chars_col] = F.length(F.col(f"{name}.clean_text")).cast(dict(docs.dtypes)[chars_col])
