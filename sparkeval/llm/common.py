@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 # A word is a run of characters that are neither a space nor U+0009..U+000D.
@@ -89,18 +88,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(ids of all words, offsets by text, dictionary) of an array of texts."""
-    parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), GAP)
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))    # splits at U+0020, U+0009..U+000D
     flat = parts.flatten()
-    real = pc.greater(pc.binary_length(flat), 0)
-    owner = np.asarray(pc.list_parent_indices(parts))[np.asarray(real)]
-    coded = flat.filter(real).dictionary_encode()
+    real = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    owner = np.asarray(pc.list_parent_indices(parts))[real]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
     offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
     return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary
 
 
 def word_hashes(dictionary: pa.Array, seed: int) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+    """64-bit hashes of the strings of an array, eight bytes of all strings at a time."""
+    n = len(dictionary)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    array = dictionary.cast(pa.large_binary())
+    ends = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset:array.offset + n + 1]
+    data = np.concatenate([np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8), np.zeros(8, dtype=np.uint8)])
+    chunks = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), shape=(len(data) - 7,), strides=(1,))    # eight bytes at any place
+    start, left = ends[:-1].copy(), np.diff(ends)
+    out = mix((left.astype(np.uint64) + np.uint64(seed)) * _M1)
+    live = np.arange(n)
+    while len(live):
+        some = left[live]
+        tail = np.where(some < 8, (np.uint64(1) << (np.minimum(some, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1), ~np.uint64(0))
+        out[live] = mix((out[live] ^ (chunks[start[live]] & tail)) * _M1)
+        start[live] += 8
+        left[live] -= 8
+        live = live[left[live] > 0]
+    return out
 
 
 def rolling_hash(h: np.ndarray, n: int) -> np.ndarray:

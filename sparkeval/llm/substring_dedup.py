@@ -8,13 +8,15 @@ equal hashes word by word, which counts windows exactly.
 
 Jobs:
 1. Documents are dealt to *shares* by a hash of their id (a share holds about ``share_bytes``
-   of text).  Each share packs its distinct super-k-mers once, with the least and greatest
-   document id that holds them - so a passage copied into a third of all documents reaches a
-   bucket at most once per share, whatever its frequency.
-2. Each bucket finds windows that start in more than one document and answers the shares
-   that hold them: (share, window hash, least document id).
-3. Documents and answers meet again by share (the documents' exchange is the one of step 1);
-   words covered by a window of a smaller document id go.
+   of text).  Each share lists its distinct minimisers; a minimiser that only one document
+   holds can't belong to a repeated window.
+2. Each share packs its distinct super-k-mers of the other minimisers, once, with the least
+   and greatest document id that holds them - so a passage copied into a third of all
+   documents reaches a bucket at most once per share, whatever its frequency.
+3. Each bucket finds windows that start in more than one document and answers the shares
+   that hold them: (share, window hashes, least document id).
+4. Documents and answers meet by share (steps 1, 2 and 4 read one and the same exchange of
+   the documents); words covered by a window of a smaller document id go.
 
 No group is larger than a share or a bucket; both counts follow the measured text size.
 
@@ -30,7 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rolling_hash, mix, word_codes, word_hashes
@@ -57,61 +59,63 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, lengths), offsets
 
 
-def pack_share(share: int, ids: np.ndarray, texts: pa.Array, k: int, m: int, n_buckets: int) -> pa.RecordBatch:
-    """The distinct super-k-mers of a share: one row a bucket."""
+def _super_kmers(ids: np.ndarray, texts: pa.Array, k: int, m: int):
+    """(word ids, dictionary, starts, words, minimisers, documents) of the super-k-mers."""
     coded, offsets, dictionary = word_codes(texts)
-    out = {"bucket": [], "share": [], "packed": [], "least": [], "most": []}
-    if len(coded):
-        h = word_hashes(dictionary, 0)[coded]
-        good = _window_places(offsets, len(coded), k)
-        low = _rolling_min(rolling_hash(h, m), k - m + 1)
-        doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        first = good.copy()
-        first[1:] &= ~(good[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
-        at = np.flatnonzero(first)
-        ends = np.flatnonzero(good & ~np.concatenate([(good[1:] & ~first[1:]), [False]]))
-        places, cuts = _ranges(at, ends - at + k)
-        strings = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), dictionary.take(pa.array(coded[places]))), pa.scalar(" ", pa.large_string()))
-        code = strings.dictionary_encode()
-        which, n = np.asarray(code.indices), len(code.dictionary)
-        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(least, which, ids[doc[at]])
-        np.maximum.at(most, which, ids[doc[at]])
-        bucket = np.zeros(n, dtype=np.int64)
-        bucket[which] = (mix(low[at]) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        sorted_strings = code.dictionary.take(pa.array(order))
-        codec = pa.Codec("zstd")
-        for a, b in zip(edges, np.append(edges[1:], n)):
-            raw = "\n".join(sorted_strings.slice(a, b - a).to_pylist()).encode()
-            out["bucket"].append(int(bucket[order[a]]))
-            out["share"].append(share)
-            out["packed"].append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
-            out["least"].append(least[order[a:b]].tobytes())
-            out["most"].append(most[order[a:b]].tobytes())
-    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("share", pa.int64()), ("packed", pa.binary()), ("least", pa.binary()), ("most", pa.binary())]))
-
-
-PACKED = "bucket bigint, share bigint, packed binary, least binary, most binary"
+    if not len(coded):
+        none = np.zeros(0, dtype=np.int64)
+        return coded, dictionary, none, none, none.astype(np.uint64), none
+    good = _window_places(offsets, len(coded), k)
+    low = _rolling_min(rolling_hash(word_hashes(dictionary, 0)[coded], m), k - m + 1)
+    doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    first = good.copy()
+    first[1:] &= ~(good[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
+    at = np.flatnonzero(first)
+    ends = np.flatnonzero(good & ~np.concatenate([(good[1:] & ~first[1:]), [False]]))
+    return coded, dictionary, at, ends - at + k, low[at], doc[at]
+
+
+def list_minimisers(share: int, ids: np.ndarray, texts: pa.Array, k: int, m: int) -> pa.RecordBatch:
+    """Distinct minimisers of a share and whether several of its documents hold them."""
+    *_, low, doc = _super_kmers(ids, texts, k, m)
+    minis, which = np.unique(low, return_inverse=True)
+    least, most = np.full(len(minis), np.iinfo(np.int64).max), np.full(len(minis), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, ids[doc])
+    np.maximum.at(most, which, ids[doc])
+    return pa.RecordBatch.from_arrays([pa.array(minis.view(np.int64)), pa.array(np.full(len(minis), share)), pa.array(least < most)], names=["mini", "share", "several"])
+
+
+def pack_share(share: int, ids: np.ndarray, texts: pa.Array, k: int, m: int, n_buckets: int, wanted: np.ndarray | None = None) -> pa.RecordBatch:
+    """The distinct super-k-mers of a share, of the ``wanted`` minimisers (all if None)."""
+    coded, dictionary, at, length, low, doc = _super_kmers(ids, texts, k, m)
+    if wanted is not None:
+        take = np.isin(low, wanted)
+        at, length, low, doc = at[take], length[take], low[take], doc[take]
+    places, cuts = _ranges(at, length)
+    words = dictionary.take(pa.array(coded[places])) if len(at) else pa.array([], pa.large_string())
+    code = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), pa.scalar(" ", pa.large_string())).dictionary_encode()
+    which, n = np.asarray(code.indices), len(code.dictionary)
+    least, most, bucket = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, dtype=np.int64)
+    np.minimum.at(least, which, ids[doc])
+    np.maximum.at(most, which, ids[doc])
+    bucket[which] = (mix(low) % np.uint64(n_buckets)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(n, share)), code.dictionary.cast(pa.string()), pa.array(least), pa.array(most)],
+                                      names=["bucket", "share", "packed", "least", "most"])
+
+
+MINIMISERS = "mini bigint, share bigint, several boolean"
+PACKED = "bucket bigint, share bigint, packed string, least bigint, most bigint"
 ANSWER = "share bigint, hash1 binary, hash2 binary, least binary"
 
 
 def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
     """Answers of one bucket: for each share the windows it holds that also start in another
-    document with a smaller id, as two 64-bit hashes and that least id."""
-    codec, strings, shares, least, most = pa.Codec("zstd"), [], [], [], []
-    for packed, share, lo, hi in zip(*(table.column(c).to_pylist() for c in ("packed", "share", "least", "most"))):
-        raw = codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True).decode()
-        part = raw.split("\n")
-        strings += part
-        shares.append(np.full(len(part), share))
-        least.append(np.frombuffer(lo, dtype=np.int64))
-        most.append(np.frombuffer(hi, dtype=np.int64))
-    share, least, most = (np.concatenate(x) for x in (shares, least, most))
-    coded, offsets, dictionary = word_codes(pa.array(strings, pa.large_string()))
+    document with a smaller id, as two hashes (64 and 32 bits) and that least id."""
+    table = table.combine_chunks()
+    share, least, most = (np.asarray(table.column(c)) for c in ("share", "least", "most"))
+    coded, offsets, dictionary = word_codes(pa.concat_arrays(table.column("packed").chunks))
     at = np.flatnonzero(_window_places(offsets, len(coded), k))
-    string = np.repeat(np.arange(len(strings)), np.diff(offsets))[at]
+    string = np.repeat(np.arange(len(share)), np.diff(offsets))[at]
     h1 = rolling_hash(word_hashes(dictionary, 0)[coded], k)[at]
     order = np.argsort(h1, kind="stable")
     run = np.cumsum(np.diff(h1[order], prepend=~h1[order[:1]]) != 0) - 1          # equal hashes are one run
@@ -127,12 +131,11 @@ def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
     if (rows != rows[head[exact]]).any():                                         # two texts with one hash: number them apart
         exact = np.unique(np.column_stack([exact, rows]), axis=0, return_inverse=True)[1].reshape(-1)
     _, exact = np.unique(exact, return_inverse=True)
-    lo, hi = np.full(exact.max() + 1, np.iinfo(np.int64).max), np.full(exact.max() + 1, np.iinfo(np.int64).min)
+    lo = np.full(exact.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(lo, exact, least[string[many]])
-    np.maximum.at(hi, exact, most[string[many]])
     tell = lo[exact] < most[string[many]]                                         # the share holds it in a later document
     many, exact = many[tell], exact[tell]
-    h2 = rolling_hash(word_hashes(dictionary, 1)[coded], k)[at[many]]
+    h2 = _second(rolling_hash(word_hashes(dictionary, 1)[coded], k)[at[many]])
     out_share, h1, lo = share[string[many]], h1[many], lo[exact]
     out = {"share": [], "hash1": [], "hash2": [], "least": []}
     order = np.lexsort((h2, h1, out_share))
@@ -140,8 +143,8 @@ def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (out_share[1:] != out_share[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     out_share, h1, h2, lo = out_share[fresh], h1[fresh], h2[fresh], lo[fresh]
-    edges = np.flatnonzero(np.diff(out_share, prepend=-1)) if len(out_share) else []
-    for a, b in zip(edges, np.append(edges[1:], len(out_share)) if len(out_share) else []):
+    edges = np.flatnonzero(np.diff(out_share, prepend=-1)) if len(out_share) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(edges, np.append(edges[1:], len(out_share))):
         out["share"].append(int(out_share[a]))
         out["hash1"].append(h1[a:b].tobytes())
         out["hash2"].append(h2[a:b].tobytes())
@@ -149,6 +152,10 @@ def count_bucket(table: pa.Table, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out, schema=_answer_schema())
 
 
+def _second(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _answer_schema() -> pa.Schema:
     return pa.schema([("share", pa.int64()), ("hash1", pa.binary()), ("hash2", pa.binary()), ("least", pa.binary())])
 
@@ -159,7 +166,7 @@ def removed_words(ids: np.ndarray, has_id: np.ndarray, texts: pa.Array, answers:
     gone = np.zeros(len(coded), dtype=bool)
     if len(coded) and answers.num_rows:
         k1 = np.frombuffer(b"".join(answers.column("hash1").to_pylist()), dtype=np.uint64)
-        k2 = np.frombuffer(b"".join(answers.column("hash2").to_pylist()), dtype=np.uint64)
+        k2 = np.frombuffer(b"".join(answers.column("hash2").to_pylist()), dtype=np.uint32)
         least = np.frombuffer(b"".join(answers.column("least").to_pylist()), dtype=np.int64)
         order = np.lexsort((k2, k1))
         k1, k2, least = k1[order], k2[order], least[order]
@@ -170,7 +177,7 @@ def removed_words(ids: np.ndarray, has_id: np.ndarray, texts: pa.Array, answers:
         hit = k1[near] == h1
         at, place, h1 = at[hit], place[hit], h1[hit]
         if len(at):
-            h2 = rolling_hash(word_hashes(dictionary, 1)[coded], k)[at]
+            h2 = _second(rolling_hash(word_hashes(dictionary, 1)[coded], k)[at])
             doc = np.repeat(np.arange(len(ids)), np.diff(offsets))[at]
             while len(at):                                                        # equal first hashes lie side by side
                 ok = (place < len(k1))
@@ -192,15 +199,22 @@ def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6, id_col: str = "doc
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shares = max(1, -(-size // share_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")) if size > share_bytes else 1)
-    n_buckets = 4 * n_shares
+    n_buckets = 2 * n_shares
     dealt = narrow.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(n_shares)).cast("bigint"))
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        mine = table.filter(pc.is_valid(table.column("id")))
-        ids = np.asarray(mine.column("id").combine_chunks() if mine.num_rows else pa.array([], pa.int64()))
-        texts = pa.concat_arrays(mine.column("text").chunks) if mine.num_rows else pa.array([], pa.string())
-        return pa.Table.from_batches([pack_share(table.column("share")[0].as_py(), ids, texts, k, m, n_buckets)])
+    def named(table: pa.Table) -> tuple[int, np.ndarray, pa.Array]:
+        """Share, ids and texts of the rows that have an id."""
+        mine = table.filter(pc.is_valid(table.column("id"))).combine_chunks()
+        if not mine.num_rows:
+            return 0, np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        return mine.column("share")[0].as_py(), np.asarray(mine.column("id")), pa.concat_arrays(mine.column("text").chunks)
+
+    def minimisers(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([list_minimisers(*named(table), k, m)])
+
+    def pack(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = np.asarray(right.column("mini").combine_chunks()).view(np.uint64) if right.num_rows and left.num_rows else np.zeros(0, dtype=np.uint64)
+        return pa.Table.from_batches([pack_share(*(named(left) if len(wanted) else named(left.slice(0, 0))), k, m, n_buckets, wanted)])
 
     def answer(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([count_bucket(table, k)])
@@ -222,7 +236,9 @@ def substring_dedup(docs: DataFrame, k: int = 13, m: int = 6, id_col: str = "doc
         types = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text
         return pa.Table.from_pydict(out, schema=pa.schema(types))
 
-    packed = dealt.groupBy("share").applyInArrow(pack, PACKED)
+    held = dealt.groupBy("share").applyInArrow(minimisers, MINIMISERS)
+    shared = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mini"))).filter("n > 1 or several").select("mini", "share")
+    packed = dealt.groupBy("share").cogroup(shared.groupBy("share")).applyInArrow(pack, PACKED)
     answers = packed.groupBy("bucket").applyInArrow(answer, ANSWER)
     done = dealt.groupBy("share").cogroup(answers.groupBy("share")).applyInArrow(
         cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
