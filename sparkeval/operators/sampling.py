@@ -145,15 +145,25 @@ EXAMPLE_HEADER = {"en": "Example", "pt": "Exemplo"}
 
 def fewshot_context(shots: DataFrame, docs: DataFrame, evals: DataFrame, task: str = "task",
                     description: str = "", language: str = "pt", text_col: str = "text",
-                    target_col: str = "target") -> DataFrame:
+                    target_col: str = "target", max_bytes: int = 8 << 20) -> DataFrame:
     """SMP07: description, then "<Example> i:\\n" + text + target + "\\n###\\n" per shot, then
     "<Example> k+1:\\n" and the evaluated text.  ``docs`` maps cand_id -> (text, target),
     ``evals`` gives (task, eval_id, text).  The shots of one row are bounded by k."""
     head = EXAMPLE_HEADER[language]
-    s = shots.join(docs.select(F.col("doc_id").alias("cand_id"), col(text_col).alias("_t"),
-                               col(target_col).alias("_g")), "cand_id")
-    per = (s.groupBy(task, "eval_id")
-            .agg(F.array_sort(F.collect_list(F.struct("shot", "_t", "_g"))).alias("_shots")))
+    used = shots.select(task, "cand_id").distinct()
+    texts = used.join(docs.select(F.col("doc_id").alias("cand_id"), col(text_col).alias("_t"), col(target_col).alias("_g")), "cand_id")
+    texts, small = checked_broadcast(texts, max_bytes)
+    if small:
+        # Few shots serve all rows (fixed modes): only ids are grouped per row, and the texts
+        # are looked up in one map per task, whose measured size is under ``max_bytes``.
+        by_task = texts.groupBy(task).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cand_id").cast("string"), F.struct("_t", "_g")))).alias("_m"))
+        ids = shots.groupBy(task, "eval_id").agg(F.array_sort(F.collect_list(F.struct("shot", "cand_id"))).alias("_ids"))
+        per = ids.join(F.broadcast(by_task), task).select(task, "eval_id", F.transform("_ids", lambda x: F.struct(
+            x["shot"].alias("shot"), F.col("_m")[x["cand_id"].cast("string")]["_t"].alias("_t"), F.col("_m")[x["cand_id"].cast("string")]["_g"].alias("_g"))).alias("_shots"))
+    else:
+        s = shots.join(texts, [task, "cand_id"])
+        per = (s.groupBy(task, "eval_id")
+                .agg(F.array_sort(F.collect_list(F.struct("shot", "_t", "_g"))).alias("_shots")))
     block = F.array_join(F.transform("_shots", lambda x: F.concat(
         F.lit(head + " "), (x["shot"] + 1).cast("string"), F.lit(":\n"), x["_t"], x["_g"], F.lit("\n###\n"))), "")
     desc = description + "\n\n" if description else ""

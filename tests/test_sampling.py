@@ -86,3 +86,14 @@ def test_request_hash_and_cache(spark):
     uniq = spark.createDataFrame([("k", "r")], "request_hash string, response string")
     back = RQ.scatter_responses(spark.createDataFrame([("k", 1), ("k", 2), ("l", 3)], "request_hash string, i int"), uniq).collect()
     assert sorted((r["i"], r["response"]) for r in back) == [(1, "r"), (2, "r"), (3, None)]
+
+
+def test_fewshot_context_both_plans_agree(spark):
+    rows = spark.range(0, 30).select(F.lit("t").alias("task"), F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+                                     F.concat(F.lit(" g"), F.col("id").cast("string")).alias("target"))
+    shots = SM.fewshot_fixed(rows, rows, 3)
+    evals = rows.select("task", F.col("doc_id").alias("eval_id"), "text")
+    small = SM.fewshot_context(shots, rows, evals).collect()
+    large = SM.fewshot_context(shots, rows, evals, max_bytes=0).collect()
+    assert sorted(small) == sorted(large) and len(small) == 30
+    assert all(r["prompt"].count("###") == 3 and r["prompt"].endswith(f"Exemplo 4:\ntext {r['eval_id']}") for r in small)
