@@ -34,7 +34,7 @@ def q_telemetry_sessions(spark, sf_dir):
 FX_REQ_EVENTS = """SELECT event_id, ts, event_type, user_id FROM events"""
 
 
-@query("dedupe_stream", """SELECT DISTINCT sha256(concat_ws(chr(1), event_type, CAST(user_id AS VARCHAR))) AS request_hash FROM events""")
+@query("dedupe_stream", """SELECT DISTINCT sha256(CAST(to_json([event_type, CAST(user_id AS VARCHAR)]) AS VARCHAR)) AS request_hash FROM events""")
 def q_dedupe_stream(spark, sf_dir):
     d = sql(spark, sf_dir, FX_REQ_EVENTS).withColumn("request_hash", request_hash("event_type", "user_id"))
     return J.dedupe_stream(d).select("request_hash")
