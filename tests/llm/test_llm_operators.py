@@ -333,6 +333,22 @@ def test_near_pairs_behind_a_passage_of_many_unlike_documents(spark):
     assert classes_of(spark, rows) == {d: d - d % 2 for d, _ in rows}
 
 
+def test_near_pairs_with_scattered_edits(spark):
+    """Pairs of similarity just above the threshold, which often share no sketch, all meet."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(150):
+        words = prose(rng, 200, 5000)
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(200), 40):
+            words[at] = f"e{i}y{at}"
+        rows.append((2 * i + 1, " ".join(words)))
+    for i, n in enumerate((4, 5, 6, 9)):                    # short texts: one word more
+        words = [f"s{n}x{j}" for j in range(n)]
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, " ".join(words[:2] + ["new"] + words[2:]))]
+    assert classes_of(spark, rows) == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_texts_share_the_rare_runs_they_must():
     rng = random.Random(23)
     for _ in range(600):
