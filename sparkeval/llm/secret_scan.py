@@ -93,17 +93,21 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: F.Column | None = None, owner: F.Column | None = None,
-                max_owners: int = 2, max_repos: int = 8) -> DataFrame:
+                max_owners: int = 2, max_repos: int | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_assign, n_access, n_hex, n_owned, n_live, n_example,
     base_sha256 and spans (kind:start:end by start then kind, comma-joined).
 
-    A value is live-looking when at most ``max_owners`` owners and ``max_repos`` repositories
-    hold it, else a copied example."""
+    A value is live-looking when at most ``max_owners`` owners hold it, else a copied example:
+    an owner may copy its own secret into any number of repositories.  ``max_repos`` bounds
+    the repositories too where a caller wants that."""
     seen = write_shared(scan(docs, id_col, text_col, F.col(id_col) if repo is None else repo, F.col("source") if owner is None else owner)
                         .withColumn("row", F.expr("uuid()")), "secrets")
     each = seen.filter(F.size("hashes") > 0).select("row", F.explode(F.arrays_zip("kinds", "starts", "ends", "hashes")).alias("s"))
     each = each.select("row", F.col("s.kinds").alias("kind"), F.col("s.starts").alias("start"), F.col("s.ends").alias("end"), F.col("s.hashes").alias("hash"))
-    live = ownership(seen).select("hash", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
+    few = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        few = few & (F.col("n_repos") <= max_repos)
+    live = ownership(seen).select("hash", few.alias("live"))
     kept = each.join(live, "hash").filter((F.col("kind") < 3) | F.col("live"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))),
                          lambda x: F.struct(x["kind"].alias("kind"), x["live"].alias("live"), F.concat_ws(

@@ -241,6 +241,15 @@ def test_secret_scan_base_and_ownership(spark):
     assert secret_scan.secret_scan(frame(spark, [])).count() == 0
 
 
+def test_a_secret_of_one_owner_stays_live_however_often_it_is_copied(spark):
+    token = "9fK2mQ7xZt4RbW8sLc3V"
+    rows = [(i, f"id {token} end password=hunter{i:02d}", "o1") for i in range(30)] + [(99, f"id {token}", "o2")]
+    got = {r.doc_id: r for r in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    assert all(got[i].n_owned == 1 and got[i].n_live == 2 and got[i].n_example == 0 for i in range(30)) and got[99].spans == "owned:3:23"
+    many = secret_scan.secret_scan(frame(spark, rows + [(100, f"id {token}", "o3")])).collect()
+    assert all(r.n_owned == 0 for r in many)                # three owners: an example
+
+
 # -- 7 ------------------------------------------------------------------------
 
 def brute_distance(a, b):
