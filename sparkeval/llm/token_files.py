@@ -17,8 +17,6 @@ as 16-bit numbers when the vocabulary fits, else as 32-bit.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_shared_path, write_shared
+from .word_ids import byte_table, steps
 
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint, n_sequences bigint"
 INDEX = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-TEXTS = 256                                                # encoded at a time
 
 
 def file_schema(seq_len: int, wide: bool) -> pa.Schema:
@@ -108,71 +106,6 @@ class TokenFile:
         return ids.slice(k * n, n).to_numpy(zero_copy_only=True), mask.slice(k * n, n)
 
 
-class TextEncoder:
-    """Ids of whole texts as the tokenizers library gives them.
-
-    A byte-level tokenizer without normaliser cuts a text before every blank that stands
-    alone between two other characters, so the ids of a text are those of its blank-led
-    words.  Each distinct word is encoded by the library once and remembered; a text with
-    other white space around a blank goes to the library whole, and so does every text of a
-    tokenizer of another kind."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-        self.by_word = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-                        and pre.get("use_regex", True) and model.get("type", "BPE") == "BPE" and not model.get("dropout")
-                        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", [])))
-        self.words: dict[str, bytes | None] = {}           # None: not to be cut at this word's blank
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        if not self.by_word:
-            return self._library(texts)
-        known, split = self.words, [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)).difference(known)
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = set().union(*(s[1:] for s in split))
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self._library([" " + w for w in plain])))
-        head = self._library([s[0] for s in split])
-        out: list[bytes | None] = []
-        for first, s in zip(head, split):
-            ids = [known[w] for w in s[1:]]
-            out.append(None if None in ids or s[0][-1:].isspace() or (not s[0] and len(s) > 1) else first + b"".join(ids))
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = x
-        for w in new:
-            if len(w) > KNOWN_CHARS:
-                del known[w]
-        return out
-
-
-KNOWN_WORDS, KNOWN_CHARS = 600_000, 64                      # a worker process; emptied when full
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
-def encoder_for(path: str) -> TextEncoder:
-    """One encoder a worker process: later tasks find its words known."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
-
-
 def write_token_files(docs: DataFrame, tokenizer_file: str, out_dir: str, end_id: int = 0, seq_len: int = 1024, batch_rows: int = 32,
                       file_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write ``docs`` in ascending order of the integer id; returns the manifest
@@ -186,30 +119,33 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, out_dir: str, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, index, total = None, [], 0
-        encoder = encoder_for(tokenizer_file)
+        table = byte_table(tokenizer_file)
         part = TaskContext.get().partitionId()
         path = f"{out_dir}/part-{part:06d}-{uuid.uuid4().hex}.arrows"
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                rows = batch.slice(at, TEXTS)
+            for rows in steps(batch):
                 if writer is None:
                     where, inner = _open(out_dir)
                     where.create_dir(inner, recursive=True)
-                    writer = Writer(path, seq_len, batch_rows, encoder.wide)
-                end = np.array([end_id], dtype="<u4").tobytes()
-                encoded = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
-                for i, x in zip(rows.column(0).to_pylist(), encoded):
-                    index.append((i, total, len(x) // 4 + 1))
-                    total += len(x) // 4 + 1
-                writer.add(np.frombuffer(end.join(encoded) + end, dtype="<u4"))
+                    writer = Writer(path, seq_len, batch_rows, table.coders[0].n_ids > 1 << 16)
+                (flat, offsets), = table.encode(rows.column(1))
+                ends = offsets[1:] + np.arange(rows.num_rows)            # places of the end ids
+                ids = np.full(len(flat) + rows.num_rows, end_id, dtype=np.uint32)
+                real = np.ones(len(ids), dtype=bool)
+                real[ends] = False
+                ids[real] = flat
+                lens = np.diff(ends, prepend=-1)
+                index.append((rows.column(0), total + ends + 1 - lens, lens))
+                total += len(ids)
+                writer.add(ids)
         if writer is None:
             return
         writer.close()
         where, inner = _open(path + ".index")
-        table = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*index), INDEX)], schema=INDEX)
+        table = pa.RecordBatch.from_arrays([pa.concat_arrays([i for i, _, _ in index]), *(pa.array(np.concatenate(x)) for x in list(zip(*index))[1:])], schema=INDEX)
         with where.open_output_stream(inner) as sink, ipc.new_stream(sink, INDEX) as stream:
             stream.write_batch(table)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(index)], "n_tokens": [total], "n_sequences": [writer.sequences]}, schema=out_schema)
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [table.num_rows], "n_tokens": [total], "n_sequences": [writer.sequences]}, schema=out_schema)
 
     manifest = write_shared(dealt.mapInArrow(run, MANIFEST), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))   # one row a file
