@@ -54,7 +54,15 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     A lost executor loses nothing of it."""
     path = new_shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def delete_written(*tables: DataFrame) -> None:
+    """Delete tables of ``write_shared`` whose last reader has been written."""
+    for t in tables:
+        delete_shared(t.sparkSession, t._shared_path)
 
 
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:

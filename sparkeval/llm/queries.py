@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
+from .collocations import collocations
 from .common import read
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
@@ -148,3 +149,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     block where the quality is 0."""
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("block"))
     return url_filter(read(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
+@query("op13_collocations", oracle=r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(range(len(p))) AS piece, unnest(p) AS t FROM (
+    SELECT *, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+split AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (SELECT lang, ws[i:i + k - 1] AS g, k FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS ks(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, g, k, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, g, k),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+halves AS (SELECT lang, g, f AS a, cut, g[1:cut] AS head, g[cut + 1:] AS tail FROM candidates, (VALUES (1), (2)) AS t(cut) WHERE cut < k),
+cuts AS (SELECT h.lang, h.g, a, x.f AS l, y.f AS r, cut, (1000000 * a * a) // (x.f * y.f) AS score
+         FROM halves h JOIN f x ON x.lang = h.lang AND x.g = h.head JOIN f y ON y.lang = h.lang AND y.g = h.tail),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, g[1:2] AS g, f FROM candidates WHERE k = 3 UNION ALL SELECT lang, g[2:3], f FROM candidates WHERE k = 3) GROUP BY lang, g),
+kept AS (SELECT x.* FROM lowest x LEFT JOIN inside i ON i.lang = x.lang AND i.g = x.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * x.a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN n USING (lang) WHERE rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language by score."""
+    return collocations(read(spark, sf_dir, "documents"))
