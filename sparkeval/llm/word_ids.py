@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import word_hashes
+
 PLAIN, EDGE, WHOLE = 0, 1, 2                                # what a word does to its text
 JOINED = 1 << 15                                           # characters of new words in one call of a library
 STEP_BYTES, STEP_ROWS = 4 << 20, 4096                      # texts of one step
-KNOWN_WORDS, KNOWN_CHARS = 800_000, 64                     # words that a worker process remembers
-LONG_CHARS = 16 << 20                                      # characters of longer words until all is forgotten
+KNOWN_WORDS, KNOWN_BYTES = 2_000_000, 64                    # words of up to so many bytes that a worker process remembers
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -50,6 +51,13 @@ def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)), np.array([len(x) for x in parts], dtype=np.int64)
 
 
+def _distinct(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes below n, the place of each code among them)."""
+    there = np.zeros(n, dtype=bool)
+    there[codes] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+
+
 class ByteLevelCoder:
     """A byte-level BPE file of the tokenizers library.  ``plain_specials``: special strings
     inside a text are ordinary text; else they are found as the library does by default."""
@@ -142,91 +150,136 @@ class PieceCoder:
         return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
 
+class Slots:
+    """Numbers of words by their 128-bit hashes: open addressing, all words of a step at a time."""
+
+    def __init__(self, most: int):
+        self.mask = np.int64((1 << (2 * most - 1).bit_length()) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        self.one, self.two = np.zeros(most, dtype=np.uint64), np.zeros(most, dtype=np.uint64)
+        self.n = 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, live = np.full(len(one), -1, dtype=np.int64), np.arange(len(one))
+        at = one.view(np.int64) & self.mask
+        while len(live):
+            there = self.slots[at]
+            same = (there >= 0) & (self.one[there] == one[live]) & (self.two[there] == two[live])
+            out[live[same]] = there[same]
+            on = (there >= 0) & ~same
+            live, at = live[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Give the next numbers to distinct words that aren't in."""
+        number = np.arange(self.n, self.n + len(one))
+        self.one[number], self.two[number] = one, two
+        self.n += len(one)
+        at = one.view(np.int64) & self.mask
+        while len(number):
+            empty = self.slots[at] < 0
+            self.slots[at[empty]] = number[empty]
+            on = self.slots[at] != number
+            number, at = number[on], (at[on] + 1) & self.mask
+
+
 class WordTable:
-    """Ids of words for one or more coders; one table a worker process."""
+    """Ids of words for one or more coders; one table a worker process.  When it is full, the
+    half that most steps had stays."""
 
     def __init__(self, *coders, lead: bool = False, most: int = KNOWN_WORDS):
         self.coders, self.lead, self.most = coders, lead, most
         self.by_word = all(c.by_word for c in coders)
         self.whole = tuple({w for c in coders for w in c.whole})
         self.blank_kind = WHOLE if any(c.whole_if_blank for c in coders) else EDGE
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bool, dict[str, int]] = {True: {}, False: {}}
-        self.n, self.long = 0, 0
-        self.kind, self.seen = np.zeros(1 << 12, dtype=np.uint8), np.zeros(1 << 12, dtype=np.int32)
-        self.starts = [np.zeros(1 << 12, dtype=np.int64) for _ in self.coders]
-        self.lens = [np.zeros(1 << 12, dtype=np.int64) for _ in self.coders]
-        self.flat = [np.zeros(1 << 14, dtype=np.uint32) for _ in self.coders]
-        self.used = [0] * len(self.coders)
-
-    def _kind(self, w: str) -> int:
-        if not w:
-            return self.blank_kind
-        if any(s in w for s in self.whole):
-            return WHOLE
-        return EDGE if w[0].isspace() or w[-1].isspace() else PLAIN
-
-    @staticmethod
-    def _grown(x: np.ndarray, n: int) -> np.ndarray:
-        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), dtype=x.dtype)])
-
-    def _learn(self, words: list[str], lead: bool) -> None:
-        kinds = np.array([self._kind(w) for w in words], dtype=np.uint8)
-        order = np.argsort(kinds, kind="stable")           # plain words together, for one call each
-        words, kinds = [words[i] for i in order], kinds[order]
-        plain = int((kinds == PLAIN).sum())
-        n = self.n + len(words)
-        self.kind, self.seen = self._grown(self.kind, n), self._grown(self.seen, n)
-        self.kind[self.n:n], self.seen[self.n:n] = kinds, 0
-        for c, coder in enumerate(self.coders):
-            got = [coder.words(words[:plain], lead)] if plain else []
-            if plain < len(words):                         # one by one; a text with a WHOLE word doesn't use them
-                got.append(coder.texts([" " + w if lead else w for w in words[plain:]] if not coder.whole_if_blank else words[plain:]))
-            flat, lens = np.concatenate([x for x, _ in got]), np.concatenate([k for _, k in got])
-            self.starts[c], self.lens[c] = self._grown(self.starts[c], n), self._grown(self.lens[c], n)
-            self.flat[c] = self._grown(self.flat[c], self.used[c] + len(flat))
-            self.flat[c][self.used[c]:self.used[c] + len(flat)] = flat
-            self.starts[c][self.n:n] = self.used[c] + np.cumsum(lens) - lens
-            self.lens[c][self.n:n] = lens
-            self.used[c] += len(flat)
+        self.slots, self.kind, self.seen = Slots(most), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int32)
+        self.starts, self.lens = [np.zeros(0, dtype=np.int64) for _ in coders], [np.zeros(0, dtype=np.int32) for _ in coders]
+        self.flat = [np.zeros(0, dtype=np.uint32) for _ in coders]
+
+    def _kinds(self, words: pa.Array) -> np.ndarray:
+        trimmed = pc.utf8_trim_whitespace(words)
+        kind = np.where(np.asarray(pc.equal(trimmed, words)), PLAIN, EDGE).astype(np.uint8)
+        kind[np.asarray(pc.binary_length(words)) == 0] = self.blank_kind
+        for s in self.whole:
+            kind[np.asarray(pc.match_substring(words, s))] = WHOLE
+        return kind
+
+    def _coded(self, words: pa.Array, lead: bool) -> tuple[np.ndarray, list, np.ndarray]:
+        """(order, for each coder (flat, lens), kinds) of new words, plain ones first."""
+        kinds = self._kinds(words)
+        order = np.argsort(kinds, kind="stable")
+        kinds, some = kinds[order], words.take(pa.array(order)).to_pylist()
+        plain, out = int((kinds == PLAIN).sum()), []
+        for coder in self.coders:
+            got = [coder.words(some[:plain], lead)] if plain else []
+            if plain < len(some):                          # one by one; a text with a WHOLE word doesn't use them
+                got.append(coder.texts([" " + w if lead and not coder.whole_if_blank else w for w in some[plain:]]))
+            flat, lens = (np.concatenate([x[i] for x in got]) for i in range(2))
             if coder.whole_if_blank:                       # a word without ids makes its text whole
-                self.kind[self.n:n][lens == 0] = WHOLE
-        self.known[lead].update(zip(words, range(self.n, n)))
-        self.long += sum(len(w) for w in words if len(w) > KNOWN_CHARS)
-        self.n = n
+                kinds[lens == 0] = WHOLE
+            out.append((flat, lens))
+        return order, out, kinds
+
+    def _append(self, coded: list, kinds: np.ndarray) -> None:
+        for c, (flat, lens) in enumerate(coded):
+            self.starts[c] = np.concatenate([self.starts[c], len(self.flat[c]) + np.cumsum(lens) - lens])
+            self.lens[c] = np.concatenate([self.lens[c], lens.astype(np.int32)])
+            self.flat[c] = np.concatenate([self.flat[c], flat])
+        self.kind = np.concatenate([self.kind, kinds])
+        self.seen = np.concatenate([self.seen, np.zeros(len(kinds), dtype=np.int32)])
 
     def _forget(self) -> None:
-        """Keep the words that more than one step had, if they are not too many."""
-        keep = np.flatnonzero(self.seen[:self.n] > 1)
-        if len(keep) > self.most // 2 or self.long > LONG_CHARS:
-            return self._clear()
-        new = np.full(self.n, -1, dtype=np.int64)
-        new[keep] = np.arange(len(keep))
-        place = new.tolist()
-        known = {lead: {w: place[i] for w, i in d.items() if place[i] >= 0} for lead, d in self.known.items()}
-        kind, lens = self.kind[keep], [x[keep] for x in self.lens]
-        flat = [gather(self.flat[c], self.starts[c][keep], lens[c]) for c in range(len(self.coders))]
-        self._clear()
-        self.known, self.n, self.kind, self.seen = known, len(keep), kind, np.zeros(len(keep), dtype=np.int32)
-        self.flat, self.lens, self.used = flat, lens, [len(x) for x in flat]
-        self.starts = [np.cumsum(x) - x for x in lens]
-        return None
-
-    def _places(self, wanted: list[tuple[list[str], bool]]) -> list[np.ndarray]:
-        new = [[w for w in words if w not in self.known[lead]] for words, lead in wanted]
-        if self.n + sum(map(len, new)) > self.most or self.long > LONG_CHARS:
-            self._forget()
-            new = [[w for w in words if w not in self.known[lead]] for words, lead in wanted]
-        for words, (_, lead) in zip(new, wanted):
-            if words:
-                self._learn(words, lead)
-        out = []
-        for words, lead in wanted:
-            out.append(np.fromiter(map(self.known[lead].__getitem__, words), dtype=np.int64, count=len(words)))
-            self.seen[out[-1]] += 1
-        return out
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[:self.most // 2])
+        one, two = self.slots.one[keep], self.slots.two[keep]
+        self.slots, self.kind, self.seen = Slots(self.most), self.kind[keep], self.seen[keep] // 2
+        self.slots.add(one, two)
+        for c in range(len(self.coders)):
+            self.flat[c] = gather(self.flat[c], self.starts[c][keep], self.lens[c][keep])
+            self.lens[c] = self.lens[c][keep]
+            self.starts[c] = np.cumsum(self.lens[c], dtype=np.int64) - self.lens[c]
+
+    def _places(self, wanted: list[tuple[pa.Array, bool]]) -> tuple[list[np.ndarray], int]:
+        """(number of each word of each array, numbers that stay).  Longer words are numbered for
+        this step only."""
+        short = [np.flatnonzero(np.asarray(pc.binary_length(words)) <= KNOWN_BYTES) for words, _ in wanted]
+        hashes = []
+        for (words, lead), at in zip(wanted, short):
+            some = words if len(at) == len(words) else words.take(pa.array(at))
+            hashes.append((word_hashes(some, 3 + lead << 40), word_hashes(some, 11 + lead << 40)))
+        found = [self.slots.find(*h) for h in hashes]
+        if self.slots.n + sum(int((f < 0).sum()) for f in found) > self.most:
+            if self.slots.n > self.most // 2:
+                self._forget()
+            found = [self.slots.find(*h) for h in hashes]
+        out = [np.full(len(words), -1, dtype=np.int64) for words, _ in wanted]
+        for k, (words, lead) in enumerate(wanted):
+            new = np.flatnonzero(found[k] < 0)
+            new = new[:max(0, self.most - self.slots.n)]   # what a huge step has beyond is numbered for this step only
+            if len(new):
+                order, coded, kinds = self._coded(words.take(pa.array(short[k][new])), lead)
+                found[k][new[order]] = np.arange(self.slots.n, self.slots.n + len(new))
+                self._append(coded, kinds)
+                self.slots.add(hashes[k][0][new[order]], hashes[k][1][new[order]])
+            out[k][short[k]] = found[k]
+            self.seen[found[k][found[k] >= 0]] += 1
+        stay = self.slots.n
+        for k, (words, lead) in enumerate(wanted):
+            rest = np.flatnonzero(out[k] < 0)
+            if len(rest):
+                order, coded, kinds = self._coded(words.take(pa.array(rest)), lead)
+                out[k][rest[order]] = np.arange(len(self.kind), len(self.kind) + len(rest))
+                self._append(coded, kinds)
+        return out, stay
+
+    def _drop(self, stay: int) -> None:
+        """Forget the words numbered for one step."""
+        if len(self.kind) == stay:
+            return
+        self.kind, self.seen = self.kind[:stay], self.seen[:stay]
+        for c in range(len(self.coders)):
+            self.flat[c] = self.flat[c][:int(self.starts[c][stay])]
+            self.starts[c], self.lens[c] = self.starts[c][:stay], self.lens[c][:stay]
 
     def _library(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         some = texts.to_pylist()
@@ -246,14 +299,14 @@ class WordTable:
         coded = values.dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
         if self.lead:
-            place = self._places([(coded.dictionary.to_pylist(), True)])[0][codes]
+            (numbers,), stay = self._places([(coded.dictionary, True)])
+            place = numbers[codes]
         else:
             follows = np.ones(len(codes), dtype=bool)
             follows[first] = False
-            names, where = np.unique(codes[follows], return_inverse=True)
-            heads, where_head = np.unique(codes[first], return_inverse=True)
-            take = lambda k: coded.dictionary.take(pa.array(k)).to_pylist()
-            a, b = self._places([(take(names), True), (take(heads), False)])
+            names, where = _distinct(codes[follows], len(coded.dictionary))
+            heads, where_head = _distinct(codes[first], len(coded.dictionary))
+            (a, b), stay = self._places([(coded.dictionary.take(pa.array(names)), True), (coded.dictionary.take(pa.array(heads)), False)])
             place = np.empty(len(codes), dtype=np.int64)
             place[follows], place[first] = a[where], b[where_head]
         kind = self.kind[place]
@@ -268,7 +321,7 @@ class WordTable:
         library = self._library(texts.take(pa.array(whole))) if len(whole) else None
         out = []
         for c in range(len(self.coders)):
-            lens = np.where(plain, self.lens[c][place], 0)
+            lens = np.where(plain, self.lens[c][place], 0).astype(np.int64)
             flat = gather(self.flat[c], self.starts[c][place], lens)
             each = np.add.reduceat(lens, first) if len(first) else lens
             if library is not None:
@@ -277,6 +330,7 @@ class WordTable:
                 starts[whole], each[whole] = len(flat) + np.cumsum(n) - n, n
                 flat = gather(np.concatenate([flat, more]), starts, each)
             out.append((flat, np.concatenate([[0], np.cumsum(each)])))
+        self._drop(stay)
         return out
 
 
