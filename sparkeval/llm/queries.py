@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .bpe_codec import bpe_round_trip
 from .collocations import collocations
 from .common import read
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .quality_rules import BOILERPLATE_PATTERN, SEPARATORS, quality_rules
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
@@ -151,6 +153,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
 
 
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_collocations", oracle=r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(range(len(p))) AS piece, unnest(p) AS t FROM (
