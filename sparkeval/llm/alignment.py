@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import write_shared
 from .shares import answers_of, arrow_schema, asked, buckets_for, numbered, packed, rows_of, share_ids, totals, unpacked
 from .word_ids import pair_table, steps
 
-SHARE_BYTES = 8 << 20
+SHARE_BYTES, STEP = 4 << 20, 1 << 20                       # text of a share, and of one step of the alignment
 LISTED = 256                                               # links of a group that are listed one by one
 
 
@@ -104,13 +105,13 @@ class Groups:
         r = np.arange(len(g)) - np.repeat(np.cumsum(each[few]) - each[few], each[few])
         a = self.a[self.end_a[g] - self.n_a[g] + r // self.n_b[g]].astype(np.int64)
         b = self.b[self.end_b[g] - self.n_b[g] + r % self.n_b[g]]
-        docs, codes, times = [self.doc[g]], [a * ids_b + b], [np.ones(len(g), dtype=np.int64)]
+        docs, codes, times = [self.doc[g].astype(np.int32)], [a * ids_b + b], [np.ones(len(g), dtype=np.int32)]
         for k in np.flatnonzero(each > LISTED):
             x, n = np.unique(self.a[self.end_a[k] - self.n_a[k]:self.end_a[k]].astype(np.int64), return_counts=True)
             y, m = np.unique(self.b[self.end_b[k] - self.n_b[k]:self.end_b[k]].astype(np.int64), return_counts=True)
             codes.append((x[:, None] * ids_b + y).ravel())
             times.append((n[:, None] * m).ravel())
-            docs.append(np.full(len(codes[-1]), self.doc[k]))
+            docs.append(np.full(len(codes[-1]), self.doc[k], dtype=np.int32))
         return np.concatenate(docs), np.concatenate(codes), np.concatenate(times)
 
     def digests(self, spelled: pa.Array, ids_a: int, ids_b: int) -> list[str]:
@@ -130,6 +131,7 @@ class Groups:
         return [hashlib.sha256(data[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+@cache
 def spellings(ids_a: int, ids_b: int) -> pa.Array:
     """Ids as text: a inside a group, a before |, b inside a group, b before ;"""
     text = [f"{i}," for i in range(ids_a)] + [f"{i}|" for i in range(ids_a)] + [f"{i}," for i in range(ids_b)] + [f"{i};" for i in range(ids_b)]
@@ -150,38 +152,37 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_i
         table = pair_table(byte_file, piece_file)
         coder_a, coder_b = table.coders
         spelled, span = spellings(coder_a.n_ids, coder_b.n_ids), coder_a.n_ids * coder_b.n_ids
-        numbers, held, size, n_docs = share_ids(), [], 0, 0
+        numbers, held, size = share_ids(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, code, times = (np.concatenate([h[i] for h in held]) for i in range(3))
-            key, at = np.unique(doc * span + code, return_inverse=True)    # pairs of a document
-            many = np.zeros(len(key), dtype=np.int64)
-            np.add.at(many, at, times)
-            pairs, place, n = np.unique(key % span, return_inverse=True, return_counts=True)
+            each, code, many = (np.concatenate([h[i] for h in held]) for i in range(3))
+            pairs, place, n = np.unique(code, return_inverse=True, return_counts=True)
             order, bucket, rank = numbered(pairs.astype(np.uint64), n_buckets)
             pairs, n, share = pairs[order].astype(np.uint64), n[order].astype(np.uint32), next(numbers)
             columns = {name: [x for h in held for x in h[3][name]] for name in held[0][3]}
-            rows = [{"share": share, "keys": packed(pairs), "held": packed(np.bincount(key // span, minlength=n_docs).astype(np.uint32)),
-                     "place": packed(rank[place].astype(np.uint32)), "times": packed(many.astype(np.uint32)), **columns}]
+            rows = [{"share": share, "keys": packed(pairs), "held": packed(each),
+                     "place": packed(rank[place].astype(np.uint32)), "times": packed(many), **columns}]
             rows += [{"share": share, "bucket": b, "keys": packed(pairs[s]), "n": packed(n[s])} for b, s in asked(bucket, n_buckets)]
             yield rows_of(schema, rows)
 
         for batch in batches:
-            for rows in steps(batch):
+            for rows in steps(batch, most=STEP):
                 (a, a_off), (b, b_off) = table.encode(rows.column(1))
                 a, a_off, b, b_off = both_or_none(a, a_off, b, b_off)
                 groups = Groups(a, a_off, b, b_off, coder_a.n_bytes, coder_b.n_bytes)
                 doc, code, times = groups.links(coder_b.n_ids)
+                key, at = np.unique(doc.astype(np.int64) * span + code, return_inverse=True)    # pairs of a document
+                many = np.zeros(len(key), dtype=np.uint32)
+                np.add.at(many, at, times.astype(np.uint32))
                 each = np.zeros(rows.num_rows, dtype=np.int64)
                 np.add.at(each, groups.doc, groups.n_a * groups.n_b)
                 columns = {"id": rows.column(0).to_pylist(), "n_a": np.diff(a_off).tolist(), "n_b": np.diff(b_off).tolist(), "n_links": each.tolist(),
                            "n_groups": np.bincount(groups.doc, minlength=rows.num_rows).tolist(), "groups_sha256": groups.digests(spelled, coder_a.n_ids, coder_b.n_ids)}
-                held.append((doc + n_docs, code, times, columns))
-                n_docs += rows.num_rows
+                held.append((np.bincount(key // span, minlength=rows.num_rows).astype(np.uint32), key % span, many, columns))
                 size += pc.sum(pc.binary_length(rows.column(1))).as_py() or 0
                 if size >= SHARE_BYTES:
                     yield from flush()
-                    held, size, n_docs = [], 0, 0
+                    held, size = [], 0
         if held:
             yield from flush()
 

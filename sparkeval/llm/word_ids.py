@@ -334,13 +334,13 @@ class WordTable:
         return out
 
 
-def steps(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about STEP_BYTES of text and STEP_ROWS rows."""
+def steps(batch: pa.RecordBatch, text: int = 1, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``most`` bytes of text and STEP_ROWS rows."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = int(size[at - 1]) if at else 0
-        end = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(size, before + STEP_BYTES, side="right"))))
+        end = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(size, before + most, side="right"))))
         yield batch.slice(at, end - at)
         at = end
 
@@ -358,5 +358,5 @@ def byte_table(path: str) -> WordTable:
 def pair_table(byte_path: str, piece_path: str) -> WordTable:
     """Both tokenizers, special strings as plain text, one blank before a text."""
     if (byte_path, piece_path) not in _TABLES:
-        _TABLES[byte_path, piece_path] = WordTable(ByteLevelCoder(byte_path, plain_specials=True), PieceCoder(piece_path), lead=True, most=KNOWN_WORDS // 2)
+        _TABLES[byte_path, piece_path] = WordTable(ByteLevelCoder(byte_path, plain_specials=True), PieceCoder(piece_path), lead=True, most=KNOWN_WORDS // 4)
     return _TABLES[byte_path, piece_path]
