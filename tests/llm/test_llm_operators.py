@@ -358,22 +358,6 @@ def test_near_pairs_with_scattered_edits(spark):
     assert classes_of(spark, rows) == {d: d - d % 2 for d, _ in rows}
 
 
-def test_near_texts_share_the_rare_runs_they_must():
-    rng = random.Random(23)
-    for _ in range(600):
-        words = [rng.randrange(30) for _ in range(rng.randrange(2, 60))]
-        other = list(words)
-        for _ in range(rng.randrange(0, 14)):
-            at = rng.randrange(len(other) + 1)
-            other[at:at + rng.choice((0, 1))] = rng.choice(([], [rng.randrange(40)]))
-        longest = max(len(words), len(other))
-        if brute_distance(words, other) > int(0.2 * longest + 1e-9):
-            continue
-        listed = np.zeros(0, dtype=np.uint64)
-        (v, a), (w, b) = (near_dedup.rare_runs(np.array(x, dtype=np.uint64), 2, near_dedup.widest(len(x), 0.8), listed, listed) for x in (words, other))
-        assert len(words) < 2 or len(np.intersect1d(v, w)) >= min(a, b)
-
-
 # -- 8 ------------------------------------------------------------------------
 
 def test_token_files_round_trip(spark, texts):
