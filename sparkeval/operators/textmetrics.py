@@ -41,21 +41,35 @@ def _overlaps(hyp: Column, refs: Column, max_n: int, sep: str) -> Column:
     return F.array(*[order(n) for n in range(1, max_n + 1)])
 
 
-def _corpus_totals(df: DataFrame, ks: list[str], hyp: Column, refs: Column, max_n: int, sep: str, extra=()) -> DataFrame:
-    """Corpus sums total{n}, correct{n}, ref_total{n} per ``ks``, and of the ``extra`` columns."""
-    rows = df.select(*ks, *extra, let(hyp, lambda h: let(refs, lambda r: _overlaps(h, r, max_n, sep))).alias("_x"))
-    sums = [F.sum(F.get("_x", n - 1)[k]).alias(f"{k}{n}") for n in range(1, max_n + 1) for k in ("total", "correct", "ref_total")]
-    return rows.groupBy(*ks).agg(*sums, *[F.sum(c).cast("double").alias(c) for c in rows.columns if c not in ks and c != "_x"])
-
-
-def corpus_bleu(df: DataFrame, sid: str, hyp: str, refs: str, keys=()) -> DataFrame:
-    """AGG11: corpus BLEU (×100) with clipped counts, brevity penalty from the closest
-    reference length (ties -> shorter) and exponential smoothing of zero-match orders."""
-    ks = _keys(keys)
+def _counted(df: DataFrame, names: list[str], hyp: Column, refs: Column, max_n: int, sep: str, extra=()) -> tuple[DataFrame, list[str]]:
+    """(rows with total{n}, correct{n}, ref_total{n} of each sentence and the ``extra`` columns, the
+    names of those columns)."""
+    rows = df.select(*names, *extra, let(hyp, lambda h: let(refs, lambda r: _overlaps(h, r, max_n, sep))).alias("_x"))
+    counts = [(f"{k}{n}", F.get("_x", n - 1)[k]) for n in range(1, max_n + 1) for k in ("total", "correct", "ref_total")]
+    kept = [c for c in rows.columns if c not in names and c != "_x"]
+    return rows.select(*names, *kept, *[c.alias(n) for n, c in counts]), kept + [n for n, _ in counts]
+
+
+def bleu_counts(df: DataFrame, names: list[str], hyp: str, refs: str) -> tuple[DataFrame, list[str]]:
+    """Per sentence the counts that corpus BLEU sums; c and r are the lengths of the hypothesis
+    and of the closest reference (ties -> shorter)."""
     hl = F.size(_ws_tokens(hyp))
     rls = F.transform(col(refs), lambda r: F.size(_ws_tokens(r)))
     closest = F.array_min(F.transform(rls, lambda x: F.struct(F.abs(x - hl).alias("d"), x.alias("l"))))["l"]
-    j = _corpus_totals(df, ks, _ws_tokens(hyp), F.transform(col(refs), _ws_tokens), BLEU_ORDER, " ", (hl.alias("c"), closest.alias("r")))
+    return _counted(df, names, _ws_tokens(hyp), F.transform(col(refs), _ws_tokens), BLEU_ORDER, " ", (hl.alias("c"), closest.alias("r")))
+
+
+def chrf_counts(df: DataFrame, names: list[str], hyp: str, ref: str) -> tuple[DataFrame, list[str]]:
+    """Per sentence the counts that corpus chrF sums."""
+    return _counted(df, names, _char_tokens(hyp), F.array(_char_tokens(ref)), CHRF_ORDER, "")
+
+
+def _corpus_totals(rows: DataFrame, ks: list[str], names: list[str]) -> DataFrame:
+    return rows.groupBy(*ks).agg(*[F.sum(c).cast("double").alias(c) if c in ("c", "r") else F.sum(c).alias(c) for c in names])
+
+
+def bleu_score(j: DataFrame) -> Column:
+    """BLEU (x100) of corpus sums: brevity penalty and exponential smoothing of zero-match orders."""
     zero_rank = F.lit(0)
     logs = []
     for n in range(1, BLEU_ORDER + 1):
@@ -69,16 +83,24 @@ def corpus_bleu(df: DataFrame, sid: str, hyp: str, refs: str, keys=()) -> DataFr
         any_zero = any_zero | (p <= 0)
     mean_log = sum(F.log(F.when(p > 0, p).otherwise(F.lit(1.0))) for p in logs) / BLEU_ORDER
     bp = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).when(F.col("c") > 0, F.exp(1 - F.col("r") / F.col("c"))).otherwise(F.lit(0.0))
-    bleu = F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
-    return j.select(*ks, bleu.alias("bleu"), F.col("c").alias("sys_len"), F.col("r").alias("ref_len"))
+    return F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
 
 
-def corpus_chrf(df: DataFrame, sid: str, hyp: str, ref: str, keys=(), beta: float = CHRF_BETA) -> DataFrame:
-    """AGG12: corpus chrF (×100): character n-grams of orders 1..6 with whitespace
-    removed; per order precision / recall from corpus totals, averaged over the
-    effective orders, combined with F-beta."""
+def corpus_bleu(df: DataFrame, sid: str, hyp: str, refs: str, keys=()) -> DataFrame:
+    """AGG11: corpus BLEU (×100) with clipped counts, brevity penalty from the closest
+    reference length (ties -> shorter) and exponential smoothing of zero-match orders."""
     ks = _keys(keys)
-    j = _corpus_totals(df, ks, _char_tokens(hyp), F.array(_char_tokens(ref)), CHRF_ORDER, "")
+    j = _corpus_totals(*_with(bleu_counts(df, ks, hyp, refs), ks))
+    return j.select(*ks, bleu_score(j).alias("bleu"), F.col("c").alias("sys_len"), F.col("r").alias("ref_len"))
+
+
+def _with(counted: tuple[DataFrame, list[str]], ks: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    return counted[0], ks, counted[1]
+
+
+def chrf_score(j: DataFrame, beta: float = CHRF_BETA) -> Column:
+    """chrF (x100) of corpus sums: per order precision / recall, averaged over the effective
+    orders, combined with F-beta."""
     eps = 1e-16
     sp, sr, eff = F.lit(0.0), F.lit(0.0), F.lit(0)
     for n in range(1, CHRF_ORDER + 1):
@@ -87,8 +109,15 @@ def corpus_chrf(df: DataFrame, sid: str, hyp: str, ref: str, keys=(), beta: floa
         sp = sp + F.when(t > 0, F.try_divide(c, t)).when(here, eps).otherwise(0.0)
         sr = sr + F.when(rt > 0, F.try_divide(c, rt)).when(here, eps).otherwise(0.0)
         eff = eff + ((t > 0) & (rt > 0)).cast("int")
-    agg = j.select(*ks, sp.alias("sp"), sr.alias("sr"), eff.alias("eff"))
     b2 = beta * beta
-    ap, ar = F.try_divide(F.col("sp"), F.col("eff")), F.try_divide(F.col("sr"), F.col("eff"))
-    score = F.when(F.col("eff") == 0, F.lit(0.0)).when(ap + ar > 0, 100.0 * (1 + b2) * ap * ar / (b2 * ap + ar)).otherwise(F.lit(0.0))
-    return agg.select(*ks, score.alias("chrf"))
+    ap, ar = F.try_divide(sp, eff), F.try_divide(sr, eff)
+    return F.when(eff == 0, F.lit(0.0)).when(ap + ar > 0, 100.0 * (1 + b2) * ap * ar / (b2 * ap + ar)).otherwise(F.lit(0.0))
+
+
+def corpus_chrf(df: DataFrame, sid: str, hyp: str, ref: str, keys=(), beta: float = CHRF_BETA) -> DataFrame:
+    """AGG12: corpus chrF (×100): character n-grams of orders 1..6 with whitespace
+    removed; per order precision / recall from corpus totals, averaged over the
+    effective orders, combined with F-beta."""
+    ks = _keys(keys)
+    j = _corpus_totals(*_with(chrf_counts(df, ks, hyp, ref), ks))
+    return j.select(*ks, chrf_score(j, beta).alias("chrf"))
