@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import label_outcome
 from ..functions.text import col
-from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize
 from .metrics import _keys, exact_percentile
+from .skyline import skyline
 
 # Fixed value: ARM runner OOM exit codes (see functions.clean.OOM_CODES), percentile used.
 P95 = 0.95
@@ -92,44 +92,10 @@ def quant_tradeoff(runs: DataFrame, baseline_quant: str, model: str = "model", q
     return j.select(model, quant, drop.alias("quality_drop_pts"), speed.alias("speedup"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
-def _dominated_by(up, down, ks):
-    ge = [F.col(f"b.{m}") >= F.col(f"a.{m}") for m in up] + [F.col(f"b.{m}") <= F.col(f"a.{m}") for m in down]
-    gt = [F.col(f"b.{m}") > F.col(f"a.{m}") for m in up] + [F.col(f"b.{m}") < F.col(f"a.{m}") for m in down]
-    cond = ge[0]
-    for c in ge[1:]:
-        cond = cond & c
-    strict = gt[0]
-    for c in gt[1:]:
-        strict = strict | c
-    cond = cond & strict
-    for k in ks:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return cond
-
-
-def pareto_frontier(runs: DataFrame, up=("avg_tps", "quality"), down=("ppl",), keys=(), buckets: int = 64,
-                    max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def pareto_frontier(runs: DataFrame, up=("avg_tps", "quality"), down=("ppl",), keys=()) -> DataFrame:
     """JN11: rows not dominated by another row (>= on every "up" metric, <= on every
-    "down" metric, strictly better on one) within the same ``keys`` group.
-
-    The run table (one row per model x quantisation) normally fits the broadcast limit
-    (checked): an anti join with the dominance condition, no pairs emitted.  Beyond the
-    limit the frontier is computed by divide and conquer: rows are hashed into
-    ``buckets``, each bucket's frontier is found with an equi-join on the bucket (pairs
-    only inside a bucket), and the global frontier is the frontier of that union — a
-    row dominated inside its bucket is dominated globally."""
-    ks = _keys(keys)
-    side, small = checked_broadcast(runs, max_broadcast_bytes)
-    if small:
-        return runs.alias("a").join(side.alias("b"), _dominated_by(up, down, ks), "left_anti")
-    cols = [F.col(c) for c in runs.columns]
-    r = runs.withColumn("_bk", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
-    cond = _dominated_by(up, down, ks) & (F.col("a._bk") == F.col("b._bk"))
-    local = materialize(r.alias("a").join(r.alias("b"), cond, "left_anti").drop("_bk"))
-    if buckets <= 1 or local.count() == runs.count():
-        # nothing was pruned: every row is a frontier candidate of its own bucket
-        return pareto_frontier(local, up, down, keys, 1, max_broadcast_bytes) if buckets > 1 else local
-    return pareto_frontier(local, up, down, keys, max(1, buckets // 4), max_broadcast_bytes)
+    "down" metric, strictly better on one) within the same ``keys`` group."""
+    return skyline(runs, up, down, keys)
 
 
 def failure_breakdown(records: DataFrame, dims=("dataset", "model")) -> DataFrame:

@@ -204,11 +204,10 @@ def perplexity_corpus(pages: DataFrame, text: str, order: str, n_pages: int, sep
                      F.count(F.lit(1)).alias("n_pages"))
 
 
-def distributed_cumsum(df: DataFrame, keys, order: list[Column], value: Column, out: str,
-                       num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` inside each group in ``order`` without sorting
-    a whole group in one task: range partitions carry a slice of a hot group each; local
-    running sums are added to the totals of the earlier partitions of the same group."""
+def _running(df: DataFrame, keys, order: list[Column], value: Column, out: str, num_partitions: int | None, fold, put) -> DataFrame:
+    """Inclusive running ``fold`` of ``value`` inside each group in ``order`` without sorting a
+    whole group in one task: range partitions carry a slice of a hot group each; local running
+    folds are ``put`` together with the fold of the earlier partitions of the same group."""
     ks = _keys(keys)
     tmp = [F.col(k) for k in ks] + order
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -216,10 +215,23 @@ def distributed_cumsum(df: DataFrame, keys, order: list[Column], value: Column,
            .withColumn("_pid", F.spark_partition_id()))
     s = materialize(s)
     wl = W.partitionBy("_pid", *ks).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("_local", F.sum("_v").over(wl))
-    tot = s.groupBy("_pid", *ks).agg(F.sum("_v").alias("_t"))
+    s = s.withColumn("_local", fold("_v").over(wl))
+    tot = s.groupBy("_pid", *ks).agg(fold("_v").alias("_t"))
     wp = W.partitionBy(*ks).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    tot = tot.withColumn("_before", F.coalesce(F.sum("_t").over(wp), F.lit(0))).select("_pid", *ks, "_before")
+    tot = tot.withColumn("_before", fold("_t").over(wp)).select("_pid", *ks, "_before")
     side, _ = checked_broadcast(tot)
-    return (equi_join(s, side, ["_pid"] + ks).withColumn(out, F.col("_before") + F.col("_local"))
+    return (equi_join(s, side, ["_pid"] + ks).withColumn(out, put(F.col("_before"), F.col("_local")))
              .drop("_pid", "_v", "_local", "_before"))
+
+
+def distributed_cumsum(df: DataFrame, keys, order: list[Column], value: Column, out: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` inside each group in ``order``."""
+    return _running(df, keys, order, value, out, num_partitions, F.sum, lambda before, local: F.coalesce(before, F.lit(0)) + local)
+
+
+def distributed_cummax(df: DataFrame, keys, order: list[Column], value: Column, out: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running maximum of ``value`` inside each group in ``order``; null until a value
+    that isn't null has come."""
+    return _running(df, keys, order, value, out, num_partitions, F.max, F.greatest)
