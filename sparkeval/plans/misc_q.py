@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import metrics as M
+from ..session import shared_path
+from ..sources import readers as RD
 from ..sources import sinks as SK
 from .metrics_q import _KINDS, _SCORES
 from .registry import load, query, sql, sql_str
@@ -66,3 +68,16 @@ def q_results_table(spark, sf_dir):
     res = aggregate_scores(sql(spark, sf_dir, _SCORES), spark.sql(_KINDS))
     res = res.withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 6))
     return SK.results_table(res, ("model", "task", "prompt_mode"))
+
+
+# ----------------------------------------------------------------- SRC19
+@query("zstd_corpus", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
+FROM documents WHERE text IS NOT NULL""")
+def q_zstd_corpus(spark, sf_dir):
+    """All documents written as zstd-compressed JSON lines to the shared folder and read back."""
+    meta = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    path = shared_path(spark, "corpus", ".jsonl.zst")
+    RD.write_corpus(load(spark, sf_dir, "documents").withColumn("meta", meta), path, meta="meta")
+    back = RD.read_corpus(spark, path)
+    return back.select(F.col("meta.doc_id").alias("doc_id"), F.col("meta.lang").alias("lang"), F.col("meta.source").alias("source"),
+                       F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,20 @@ def local_checkpoint_fallback() -> str:
     return tempfile.mkdtemp(prefix="sparkeval-ckpt-", dir="/tmp")
 
 
+def shared_path(spark: SparkSession, tag: str, ending: str = "") -> str:
+    """A fresh path in the folder that driver and executors share, deleted by Hadoop when the
+    driver ends.  Without a named folder only a local session has one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = ensure_checkpoint_dir(spark, local_checkpoint_fallback())
+    path = f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}{ending}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: reliable checkpoint when a checkpoint folder exists, else persist.
 

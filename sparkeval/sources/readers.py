@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.extract import py_strip
 from ..functions.text import col
 from ..operators.sampling import dense_index
+from .zstd_lines import read_zstd_lines, write_zstd_lines
 
 
 # ----------------------------------------------------------------------- SRC01-SRC04
@@ -182,8 +183,10 @@ def rekey_jsonl(df: DataFrame, renames: dict[str, str], replaces: dict[str, list
 def read_corpus(spark: SparkSession, path: str, para_joiner: str = "\n\n") -> DataFrame:
     """SRC19: JSON lines whose text is a string or a list of paragraphs (joined), with an
     optional meta object; a line that is a bare JSON string is a document too.
-    Compressed files: gzip / bzip2 read natively (zstd is not available for text here)."""
-    t = spark.read.text(path).filter(F.length(py_strip("value")) > 0)
+    Compressed files: gzip / bzip2 read natively, ``.zst`` files and folders named ``*.zst``
+    through the zstd_lines source."""
+    lines = read_zstd_lines(spark, path) if path.rstrip("/").endswith(".zst") else spark.read.text(path)
+    t = lines.filter(F.length(py_strip("value")) > 0)
     obj = F.from_json("value", "struct<text:string, meta:map<string,string>>")
     as_list = F.from_json(F.get_json_object("value", "$.text"), "array<string>")
     bare = F.when(py_strip("value").startswith('"'),
@@ -193,6 +196,13 @@ def read_corpus(spark: SparkSession, path: str, para_joiner: str = "\n\n") -> Da
     return t.select(text.alias("text"), F.when(is_obj, obj["meta"]).alias("meta"))
 
 
+def write_corpus(docs: DataFrame, path: str, text: str = "text", meta: str | None = None) -> None:
+    """Write documents as zstd-compressed JSON lines {"text": ..., "meta": {...}} that
+    read_corpus reads back; null texts are not written."""
+    fields = [col(text).alias("text"), *([col(meta).alias("meta")] if meta else [])]
+    write_zstd_lines(docs.filter(col(text).isNotNull()).select(F.to_json(F.struct(*fields)).alias("value")), path)
+
+
 # ----------------------------------------------------------------------- SRC21
 RULE = "=" * 50
 
