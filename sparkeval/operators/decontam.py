@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import (WS, col, janitor_normalize, ngram_hashes, whitespace_pieces,
-                              word_ngrams, words)
+from ..functions.text import WS, col, janitor_normalize, let, ngram_hashes, word_ngrams, words
 from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize, spread
 
 # The reference's defaults (n-gram size, window removed on each side,
@@ -258,27 +257,31 @@ def item_contamination(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
                      F.count(F.lit(1)).alias("n_windows")))
 
 
+def word_offsets(text) -> Column:
+    """DEC03: array<struct<start,end>> of every word of a text, 0-based code points, inclusive
+    end.  One pass over the characters: a word starts where a character follows a blank (or
+    nothing) and ends where a blank (or nothing) follows it."""
+    chars = F.regexp_extract_all(F.regexp_replace(col(text), WS, " "), F.lit("(?s)."), F.lit(0))
+
+    def edges(c: Column, step: int) -> Column:
+        here = F.transform(c, lambda x, i: F.when((x != " ") & (F.coalesce(F.get(c, i + step), F.lit(" ")) == " "), i).otherwise(F.lit(-1)))
+        return F.filter(here, lambda i: i >= 0)
+
+    return let(chars, lambda c: F.arrays_zip(edges(c, -1).alias("start"), edges(c, 1).alias("end")))
+
+
 def match_spans(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
                 max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """DEC03 + DEC07: every matching window with its character span on the raw text.
 
-    Offsets come from a running sum over whitespace pieces of the matching documents
-    only (window partitioned by doc_id — bounded by one document's length)."""
+    The places of a document's windows come to its row once (a list bounded by the
+    document); the spans are read from its word offsets by position."""
     dirt = register_contaminants(bench, n)
-    hits = materialize(find_matches(docs, dirt, n, max_broadcast_bytes=max_broadcast_bytes)
-                       .select("doc_id", "pos"))
-    ids, _ = checked_broadcast(hits.select("doc_id").distinct(), max_broadcast_bytes)
-    d = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    p = d.select("doc_id", F.posexplode(whitespace_pieces(F.col("text"))).alias("j", "piece"))
-    w = W.partitionBy("doc_id").orderBy("j")
-    p = (p.withColumn("off", F.coalesce(F.sum(F.length("piece") + 1).over(
-            w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-          .filter(F.col("piece") != ""))
-    wd = p.withColumn("widx", F.row_number().over(w) - 1)
-    starts = wd.select("doc_id", F.col("widx").alias("pos"), F.col("off").alias("start"))
-    ends = wd.select("doc_id", (F.col("widx") - (n - 1)).alias("pos"),
-                     (F.col("off") + F.length("piece") - 1).alias("end"))
-    return (hits.join(starts, ["doc_id", "pos"]).join(ends, ["doc_id", "pos"])
-                .select("doc_id", F.col("pos").cast("bigint").alias("pos"),
-                        F.col("start").cast("bigint").alias("start"),
-                        F.col("end").cast("bigint").alias("end")))
+    hits = find_matches(docs, dirt, n, max_broadcast_bytes=max_broadcast_bytes)
+    places = materialize(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("_places")))
+    side, _ = checked_broadcast(places, max_broadcast_bytes, already_materialized=True)
+    d = docs.select("doc_id", "text").join(side, "doc_id").select("doc_id", "_places", word_offsets("text").alias("_at"))
+    spans = d.select("doc_id", "_at", F.explode("_places").alias("pos"))
+    return spans.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
+                        F.get("_at", F.col("pos"))["start"].cast("bigint").alias("start"),
+                        F.get("_at", F.col("pos") + (n - 1))["end"].cast("bigint").alias("end"))
