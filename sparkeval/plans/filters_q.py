@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import templates as TP
 from .registry import load, query, sql, sql_str
 
 AREAS = ["linguagens", "humanas", "natureza", "matematica"]  # area names by question block
@@ -156,3 +159,56 @@ def q_registry_prompts(spark, sf_dir):
         P.lettered_question_prompt("text", F.array(F.lit("1"), F.lit("2")), F.array("lang", "source"), "en").alias("lettered"),
         P.entailment_prompt("text", "source").alias("entailment"), P.entailment_target(F.col("n_chars") % 2).alias("target"),
         P.university_gold_index(item, letter).alias("gold"))
+
+
+# ----------------------------------------------------------------- PRJ02: templates as rows
+_TASKS = list(TP.TEMPLATES)
+# The fields of every item, as SQL over documents; label runs through the classes of the task.
+_FIELDS = {"title": "source", "text": "text", "premise": "text", "hypothesis": "source", "score": "CAST(n_chars % 6 AS STRING)", "question": "source", "passage": "text",
+           "context": "text", "target": "lang", "query": "concat(source, CASE WHEN n_chars % 2 = 0 THEN '?' ELSE '' END)",
+           "answer": "CASE WHEN n_chars % 3 = 0 THEN 'yes' WHEN n_chars % 3 = 1 THEN 'no' ELSE lang END", "sentence_1": "source", "sentence_2": "lang", "sentence_3": "text",
+           "sentence_4": "source", "ending_1": "lang", "ending_2": "source", "right": "source", "before": "lang", "after": "text", "first": "source", "second": "lang",
+           "letter": "CASE WHEN n_chars % 2 = 0 THEN 'A' ELSE 'B' END"}
+_LABELS = {t: [*c, "other"] for t, c in TP.CLASSES.items() if "*" not in c}       # the last one has no word
+
+
+def _label_sql(task: str) -> str:
+    words = _LABELS[task]
+    return "CASE " + " ".join(f"WHEN n_chars % {len(words)} = {i} THEN {sql_str(w)}" for i, w in enumerate(words)) + " END"
+
+
+def _rendered(task: str, template: str) -> str:
+    """One template as a DuckDB expression, written out place by place."""
+    out = []
+    for i, part in enumerate(re.split(r"\{([^{}]+)\}", template)):
+        name, _, rule = part.partition("|")
+        if i % 2 == 0:
+            out.append(sql_str(part).replace("\n", "' || chr(10) || '"))
+        elif rule == "classes" and task == "open_question":
+            out.append(f"(CASE {_FIELDS[name]} WHEN 'yes' THEN 'sim' WHEN 'no' THEN 'não' ELSE {_FIELDS[name]} END)")
+        elif rule == "classes":
+            out.append(f"(CASE {_label_sql(task)} " + " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in TP.CLASSES[task].items()) + " END)")
+        elif rule == "question":
+            out.append(f"(CASE WHEN {_FIELDS[name]} LIKE '%?' THEN {_FIELDS[name]} ELSE {_FIELDS[name]} || '?' END)")
+        elif rule == "first":
+            out.append("lang")
+        else:
+            out.append(f"({_FIELDS[name]})")
+    return " || ".join(out)
+
+
+def _by_task(which: int) -> str:
+    return "CASE " + " ".join(f"WHEN doc_id % {len(_TASKS)} = {i} THEN {_rendered(t, TP.TEMPLATES[t][which])}" for i, t in enumerate(_TASKS)) + " END"
+
+
+_TASK_SQL = "CASE " + " ".join(f"WHEN doc_id % {len(_TASKS)} = {i} THEN {sql_str(t)}" for i, t in enumerate(_TASKS)) + " END"
+
+
+@query("build_prompts", f"""SELECT doc_id, {_TASK_SQL} AS task, {_by_task(0).replace(" STRING)", " VARCHAR)")} AS prompt, {_by_task(1).replace(" STRING)", " VARCHAR)")} AS target FROM documents""")
+def q_build_prompts(spark, sf_dir):
+    """Prompts and targets of all task families, from template rows."""
+    label = "CASE " + " ".join(f"WHEN doc_id % {len(_TASKS)} = {i} THEN {_label_sql(t)}" for i, t in enumerate(_TASKS) if t in _LABELS) + " END"
+    pairs = [x for k, v in _FIELDS.items() for x in (F.lit(k), F.expr(v))]
+    fields = F.create_map(*pairs, F.lit("label"), F.expr(label), F.lit("answers"), F.to_json(F.array("lang", "source")))
+    items = load(spark, sf_dir, "documents").select("doc_id", F.expr(_TASK_SQL).alias("task"), fields.alias("fields"))
+    return TP.build_prompts(items, TP.template_rows(spark)).select("doc_id", "task", "prompt", "target")
