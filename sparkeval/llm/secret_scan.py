@@ -46,13 +46,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def extra_candidates(text: str, taken: list) -> list[tuple[int, int]]:
-    """Long tokens of mixed letters and digits that overlap no base span."""
-    out = []
+    """Long tokens of mixed letters and digits that overlap no base span; ``taken`` is sorted by
+    start, so one pass over both lists tells: of the spans that start before a token ends, the
+    one that reaches farthest."""
+    out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= MIN_ENTROPY:
-            if not any(a < m.end() and m.start() < e for a, _, e, _, _ in taken):
-                out.append((m.start(), m.end()))
+        while i < len(taken) and taken[i][0] < m.end():
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach <= m.start() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= MIN_ENTROPY:
+            out.append((m.start(), m.end()))
     return out
 
 
