@@ -6,12 +6,13 @@ letters nor digits becomes one blank.  An item of length L may occur with up to
 occurrence holds at least one piece unchanged; an Aho-Corasick automaton finds all exact
 piece hits, and Myers' bit-parallel distance verifies the neighbourhood of each.
 
-The items are the query set.  They are taken in blocks of bounded size (``block_bytes`` of
-text); each block is one automaton and one map-only scan of the documents.
+The items are the query set, written in blocks of bounded size (``block_bytes`` of text) to the
+shared folder.  A block is one automaton; a worker keeps ``KEPT`` of them, which one map-only
+scan of the documents asks one after the other, so a text is normalised once for all of them.
 
 Defined cases: null or empty texts hold nothing; items shorter than ``min_chars`` after
-normalisation (null ones too) are too short to tell a leak from chance and are not searched;
-equal items each give their own row; repeated documents give equal rows; an empty benchmark
+normalisation are searched without edits, as whole words; items without a letter or digit (null
+ones too) hold nothing to search; of places with the same distance the first counts; equal items each give their own row; repeated documents give equal rows; an empty benchmark
 leaves every document alone; a text is scanned once, whatever its length.
 """
 
@@ -20,14 +21,16 @@ from __future__ import annotations
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, new_shared_path
 
 ERROR_RATE = 0.08
 MIN_CHARS = 32
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, KEPT = 4 << 20, 8                            # text of a block; blocks that a worker process keeps
 
 
 def normalise(texts: list[str | None]) -> list[str]:
@@ -76,15 +79,16 @@ def best_occurrence(pattern_masks: dict[str, int], n: int, text: str, anchored:
 class PieceIndex:
     """Automaton over the pieces of one block of items."""
 
-    def __init__(self, items: list[tuple], error_rate: float):
+    def __init__(self, items: list[tuple], error_rate: float, min_chars: int):
         import ahocorasick
 
         self.items = []
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            budget = int(error_rate * len(text))
+            short = len(text) < min_chars                   # exact, as whole words
+            budget = 0 if short else int(error_rate * len(text))
             number = len(self.items)
-            self.items.append((item_id, text, budget, masks(text), masks(text[::-1])))
+            self.items.append((item_id, text, budget, None if short else masks(text), None if short else masks(text[::-1])))
             for a, b in pieces(len(text), budget):
                 where.setdefault(text[a:b], []).append((number, a))
         self.automaton = ahocorasick.Automaton()
@@ -104,6 +108,13 @@ class PieceIndex:
         for number, guesses in starts.items():
             item_id, item, budget, forward, backward = self.items[number]
             n, best, spans = len(item), None, []
+            if forward is None:
+                at = min((a for a in guesses if (not a or text[a - 1] == " ") and text[a + n:a + n + 1] in ("", " ")), default=None)
+                if at is not None:
+                    found.append((item_id, 0, at, at + n))
+                    if first_only:
+                        break
+                continue
             for at in sorted(guesses):                     # guesses of one place differ by shifts: one window
                 if spans and at - spans[-1][1] <= budget:
                     spans[-1][1] = at
@@ -129,43 +140,48 @@ class PieceIndex:
 _INDEXES: dict = {}
 
 
-def index_for(key: str, items: list[tuple], error_rate: float) -> PieceIndex:
-    """One index a worker process and block."""
+def index_for(path: str, block: int, error_rate: float, min_chars: int) -> PieceIndex:
+    """One index a worker process and block; the oldest goes when there are more than KEPT."""
+    key = path, block, error_rate, min_chars
     if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = PieceIndex(items, error_rate)
+        where, inner = fs.FileSystem.from_uri(path)
+        there = where.get_file_info(f"{inner}/block={block}").type != fs.FileType.NotFound
+        rows = pq.read_table(f"{inner}/block={block}", filesystem=where, columns=["id", "text"], partitioning=None).to_pydict() if there else {"id": [], "text": []}
+        while len(_INDEXES) >= KEPT:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = PieceIndex(list(zip(rows["id"], rows["text"])), error_rate, min_chars)
     return _INDEXES[key]
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, min_chars: int, block_bytes: int) -> list[list[tuple]]:
-    """The normalised query set in blocks of about ``block_bytes``."""
-    import uuid
-
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[str, list[range]]:
+    """(folder of the normalised query set in blocks of about ``block_bytes``, the blocks of each
+    scan of the documents)."""
     kind = dict(items.dtypes)[item_id]
     clean = map_texts(items.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")), f"id {kind}, text string",
-                      lambda: lambda rows: {"id": rows["id"], "text": normalise(rows["text"])}).filter(F.length("text") >= min_chars)
+                      lambda: lambda rows: {"id": rows["id"], "text": normalise(rows["text"])}).filter(F.length("text") > 0)
     size = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
-    placed = clean.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n))))
-    return [(uuid.uuid4().hex, [(r["id"], r["text"]) for r in placed.filter(F.col("block") == b).select("id", "text").collect()]) for b in range(n)]
+    path = new_shared_path(items.sparkSession, "items")
+    clean.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n)))).repartition(max(1, n), "block").write.partitionBy("block").parquet(path)
+    return path, [range(at, min(at + KEPT, n)) for at in range(0, n, KEPT)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES,
                id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item id, distance, start, end) of the best occurrence of each item in each
     document that holds it; places count characters of the normalised text."""
-    sc = docs.sparkSession.sparkContext
     schema = f"id {dict(docs.dtypes)[id_col]}, item {dict(items.dtypes)[item_id]}, distance int, start bigint, end bigint"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    path, scans = item_blocks(items, item_id, item_text, block_bytes)
     out = None
-    for key, block in item_blocks(items, item_id, item_text, min_chars, block_bytes):
-        sent = sc.broadcast(block)
-
-        def make(key=key, sent=sent):
-            index = index_for(key, sent.value, error_rate)
+    for blocks in scans:
 
+        def make(blocks=blocks):
             def step(rows):
-                found = [(i, *x) for i, t in zip(rows["id"], normalise(rows["text"])) for x in index.search(t)]
+                texts, found = normalise(rows["text"]), []
+                for b in blocks:
+                    index = index_for(path, b, error_rate, min_chars)
+                    found += [(i, *x) for i, t in zip(rows["id"], texts) for x in index.search(t)]
                 return dict(zip(("id", "item", "distance", "start", "end"), map(list, zip(*found)))) if found else {n: [] for n in ("id", "item", "distance", "start", "end")}
 
             return step
@@ -180,17 +196,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 def drop_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES,
                text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pipeline form: rows of ``docs`` that hold no benchmark item, all columns; map-only."""
+    path, scans = item_blocks(items, item_id, item_text, block_bytes)
 
-    sc = docs.sparkSession.sparkContext
-
-    def holds(key: str, sent):
+    def holds(blocks: range):
         @F.pandas_udf("boolean")
         def leaks(texts: pd.Series) -> pd.Series:
-            index = index_for(key, sent.value, error_rate)
-            return pd.Series([bool(index.search(t, first_only=True)) for t in normalise(texts.tolist())], dtype=bool)
+            clean = normalise(texts.tolist())
+            found = [False] * len(clean)
+            for b in blocks:
+                index = index_for(path, b, error_rate, min_chars)
+                found = [f or bool(index.search(t, first_only=True)) for f, t in zip(found, clean)]
+            return pd.Series(found, dtype=bool)
 
         return leaks
 
-    for key, block in item_blocks(items, item_id, item_text, min_chars, block_bytes):
-        docs = docs.filter(~holds(key, sc.broadcast(block))(F.col(f"`{text_col}`").cast("string")))
+    for blocks in scans:
+        docs = docs.filter(~holds(blocks)(F.col(f"`{text_col}`").cast("string")))
     return docs
