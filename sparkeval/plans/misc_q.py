@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import metrics as M
+from ..operators import tasks as TK
 from ..session import shared_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -81,3 +82,28 @@ def q_zstd_corpus(spark, sf_dir):
     back = RD.read_corpus(spark, path)
     return back.select(F.col("meta.doc_id").alias("doc_id"), F.col("meta.lang").alias("lang"), F.col("meta.source").alias("source"),
                        F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# ----------------------------------------------------------------- EXTN: tasks as declarations
+_QUALITY = TK.TaskSpec("quality", "Texto de {q}: bom{q|question}\nResposta:", " {label|classes}", "text", {"acc": ("equal", "mean"), "f1": ("one", "f1")},
+                       {"1": "sim", "0": "não"}, positive="sim")
+_ORIGIN = TK.TaskSpec("origin", "Q: {q}\nA:", " {a}", "last_line", {"acc": ("equal", "mean"), "total": ("one", "sum")}, lower_is_better=("total",))
+_TASK_ITEMS = """SELECT 'quality' AS task, d.doc_id, d.source AS q, CAST(l.quality AS STRING) AS label, CASE WHEN l.quality = 1 THEN 'sim' ELSE 'não' END AS gold,
+  CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN (l.quality = 1) = (d.doc_id % 7 > 0) THEN ' Sim ' ELSE 'NÃO' END AS response FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+UNION ALL SELECT 'origin', doc_id, lang, source, source, concat('talvez', chr(10), CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END) FROM documents"""
+
+
+@query("run_task", f"""WITH i AS ({_TASK_ITEMS.replace("STRING", "VARCHAR")}),
+s AS (SELECT task, coalesce(CASE WHEN task = 'quality' THEN lower(trim(response)) = gold ELSE string_split(response, chr(10))[2] = gold END, false) AS ok,
+             coalesce(gold = 'sim', false) AS g, coalesce(lower(trim(response)) = 'sim', false) AS p FROM i),
+c AS (SELECT task, count(*) AS n, avg(CAST(ok AS DOUBLE)) AS acc, coalesce(stddev_samp(CAST(ok AS DOUBLE)), 0) / sqrt(count(*)) AS se,
+             CAST(count_if(g AND p) AS DOUBLE) AS tp, CAST(count_if(NOT g AND p) AS DOUBLE) AS fp, CAST(count_if(g AND NOT p) AS DOUBLE) AS fn FROM s GROUP BY task)
+SELECT task, 'acc' AS metric, round(acc, 6) AS value, round(se, 6) AS stderr, n, true AS higher_is_better FROM c
+UNION ALL SELECT task, 'f1', round(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6), NULL, n, true FROM c WHERE task = 'quality'
+UNION ALL SELECT task, 'total', CAST(n AS DOUBLE), NULL, n, false FROM c WHERE task = 'origin'""")
+def q_run_task(spark, sf_dir):
+    """Two declared tasks over all documents in one plan: prompts, extraction, scores, aggregation."""
+    rows = sql(spark, sf_dir, _TASK_ITEMS)
+    fields = F.create_map(F.lit("q"), F.col("q"), F.lit("label"), F.col("label"), F.lit("a"), F.col("label"))
+    out = TK.run_task(rows.select("task", "doc_id", fields.alias("fields"), "gold"), rows.select("task", "doc_id", "response"), [_QUALITY, _ORIGIN])
+    return out.withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 6))
