@@ -255,7 +255,26 @@ def num_examples(scores: DataFrame, task: str = "task", mode: str = "prompt_mode
 
 # Aggregator kinds the dispatcher knows, with their stderr rule.
 AGG_KINDS = {"mean": "analytic", "perplexity": "bootstrap", "weighted_perplexity": "none", "bits_per_byte": "none", "sum": "none",
-             "f1": "bootstrap", "mcc": "bootstrap", "median": "none"}
+             "f1": "bootstrap", "mcc": "bootstrap", "median": "bootstrap", "f1_macro": "none", "f1_weighted": "none", "acc_all": "analytic",
+             "bleu": "bootstrap_text", "chrf": "bootstrap_text"}
+# Kinds that one grouped aggregate can't give, with the columns they read besides the keys.
+OWN_JOBS = {"median": (), "f1_macro": ("gold", "pred"), "f1_weighted": ("gold", "pred"), "acc_all": ("paragraph", "question"), "bleu": ("hyp", "refs"), "chrf": ("hyp", "refs")}
+
+
+def _own_job(rows: DataFrame, by: list[str], kind: str, order: str) -> DataFrame:
+    """(by, value, stderr) of the rows of one kind."""
+    none = F.lit(None).cast("double").alias("stderr")
+    if kind == "median":
+        return positional_median(rows, by, "value", order).select(*by, F.col("median").cast("double").alias("value"), none)
+    if kind in ("f1_macro", "f1_weighted"):
+        return (f1_macro if kind == "f1_macro" else f1_weighted)(rows, by, "gold", "pred").select(*by, F.col(kind).cast("double").alias("value"), none)
+    if kind == "acc_all":
+        out = acc_all(rows.withColumn("_ok", F.col("value") == 1), by, "paragraph", "question", "_ok")
+        return out.select(*by, F.col("acc_all").alias("value"), F.col("acc_all_stderr").alias("stderr"))
+    from .textmetrics import corpus_bleu, corpus_chrf
+    if kind == "bleu":
+        return corpus_bleu(rows, order, "hyp", "refs", by).select(*by, F.col("bleu").alias("value"), none)
+    return corpus_chrf(rows.withColumn("_ref", F.get("refs", 0)), order, "hyp", "_ref", by).select(*by, F.col("chrf").alias("value"), none)
 
 
 def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task", "prompt_mode"), order: str = "doc_id",
@@ -265,10 +284,18 @@ def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task",
     skipped (inner join), like metrics without an aggregator in the reference.
 
     Kinds: mean, sum, perplexity, weighted_perplexity, bits_per_byte; f1 and mcc of binary
-    (gold, pred); median, the element at position n//2 of ``order``.  ``iters`` > 0 adds the
-    bootstrap error of the kinds whose rule is bootstrap; means have the analytic error."""
+    (gold, pred); f1_macro and f1_weighted of their labels; median, the element at position
+    n//2 of ``order``; acc_all of ``value`` by (paragraph, question); bleu and chrf of (hyp, refs).
+    A kind needs its columns only where ``kinds`` names it.  ``iters`` > 0 adds the bootstrap error
+    of the kinds that have one (text metrics at most 1,000 replicates); means and acc_all have
+    the analytic error."""
     ks = _keys(keys)
     kinds_side, _ = checked_broadcast(kinds.select("metric", "kind"))
+    named = {r[0] for r in kinds.select("kind").filter(F.col("kind").isin(*AGG_KINDS)).distinct().collect()}    # at most AGG_KINDS
+    own = [k for k in OWN_JOBS if k in named]
+    for k in own:
+        if not set(OWN_JOBS[k]) <= set(scores.columns):
+            raise ValueError(f"{k} needs the columns {OWN_JOBS[k]}")
     j = scores.join(kinds_side, "metric")
     v = F.col("value").cast("double")
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
@@ -286,17 +313,22 @@ def aggregate_scores(scores: DataFrame, kinds: DataFrame, keys=("model", "task",
                       .when(k == "mcc", F.coalesce(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0))))
     stderr = F.when(k == "mean", F.try_divide(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.sqrt(F.count(v))))
     n = F.when(k.isin("f1", "mcc"), F.count(F.lit(1))).otherwise(F.count(v))
-    rest = F.col("kind") != "median"
-    out = j.filter(rest).groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), n.alias("n"))
-    middle = j.filter(~rest)
+    out = j.filter(~F.col("kind").isin(*OWN_JOBS)).groupBy(*ks, "metric").agg(value.alias("value"), stderr.alias("stderr"), n.alias("n"))
     by = [*ks, "metric"]
-    med = equi_join(positional_median(middle, by, "value", order), middle.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
-    out = out.unionByName(med.select(*by, F.col("median").cast("double").alias("value"), F.lit(None).cast("double").alias("stderr"), "n"))
-    if iters > 0:
-        from .bootstrap import bootstrap_stderr
-        parts = [bootstrap_stderr(j.filter(F.col("kind") == "perplexity"), by, "perplexity", iters, seed, order, value="value")]
-        if pairs:
-            parts += [bootstrap_stderr(j.filter(F.col("kind") == x), by, x, iters, seed, order, gold="gold", pred="pred") for x in ("f1", "mcc")]
+    for k in own:
+        rows = j.filter(F.col("kind") == k)
+        sized = equi_join(_own_job(rows, by, k, order), rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+        out = out.unionByName(sized.select(*by, "value", "stderr", "n"))
+    if iters > 0 and named & {k for k, rule in AGG_KINDS.items() if rule.startswith("bootstrap")}:
+        from .bootstrap import TEXT_METRIC_ITERS, bootstrap_stderr, text_bootstrap
+        of = lambda k: j.filter(F.col("kind") == k)
+        parts = [bootstrap_stderr(of(k), by, k, iters, seed, order, value="value") for k in ("perplexity", "median") if k in named]
+        parts += [bootstrap_stderr(of(k), by, k, iters, seed, order, gold="gold", pred="pred") for k in ("f1", "mcc") if k in named and pairs]
+        text = min(iters, TEXT_METRIC_ITERS)
+        if "bleu" in named:
+            parts.append(text_bootstrap(of("bleu"), by, "bleu", "hyp", "refs", order, text, seed))
+        if "chrf" in named:
+            parts.append(text_bootstrap(of("chrf").withColumn("_ref", F.get("refs", 0)), by, "chrf", "hyp", "_ref", order, text, seed))
         errors = parts[0]
         for p in parts[1:]:
             errors = errors.unionByName(p)

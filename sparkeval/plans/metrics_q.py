@@ -397,3 +397,23 @@ def q_run_metrics(spark, sf_dir):
     out = (merged.unionByName(M.exam_macro(merged, "model"))
                  .unionByName(M.bias_score(merged, "model")))
     return out.select("model", "metric", r(F.col("value")).alias("value"))
+
+
+# Kinds with a job of their own: macro and weighted F1 of three labels, all answers of a question.
+_OWN_SCORES = f"""SELECT task, doc_id, m.metric, CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END AS value, 1.0 AS weight, gold3 AS gold, pred3 AS pred, doc_id % 9 AS paragraph, doc_id % 5 AS question
+FROM ({FX_CLS}) c, (SELECT * FROM (VALUES ('macro'), ('weighted'), ('all'), ('acc')) AS v(metric)) m"""
+_OWN_KINDS = "SELECT * FROM (VALUES ('macro', 'f1_macro'), ('weighted', 'f1_weighted'), ('all', 'acc_all'), ('acc', 'mean')) AS k(metric, kind)"
+
+
+@query("aggregate_own_kinds", f"""WITH {_CELLS},
+n AS (SELECT task, count(*) AS n, avg(CAST(pred = gold AS DOUBLE)) AS acc, coalesce(stddev_samp(CAST(pred = gold AS DOUBLE)), 0) / sqrt(count(*)) AS se FROM fx GROUP BY task),
+f AS (SELECT task, avg(2 * tp / (predicted + support)) AS macro, sum(2 * tp / (predicted + support) * support) / sum(support) AS weighted FROM lab GROUP BY task),
+pq AS (SELECT task, avg(ok) AS a FROM (SELECT task, CAST(bool_and(pred = gold) AS DOUBLE) AS ok FROM fx GROUP BY task, doc_id % 9, doc_id % 5) GROUP BY task),
+q AS (SELECT task, coalesce(stddev_samp(ok), 0) / sqrt(count(*)) AS se FROM (SELECT task, CAST(bool_and(pred = gold) AS DOUBLE) AS ok FROM fx GROUP BY task, doc_id % 5) GROUP BY task)
+SELECT task, 'macro' AS metric, {rd('macro')} AS value, CAST(NULL AS DOUBLE) AS stderr, n FROM f JOIN n USING (task)
+UNION ALL SELECT task, 'weighted', {rd('weighted')}, NULL, n FROM f JOIN n USING (task)
+UNION ALL SELECT task, 'all', {rd('a')}, {rd('q.se')}, n FROM pq JOIN q USING (task) JOIN n USING (task)
+UNION ALL SELECT task, 'acc', {rd('acc')}, {rd('se')}, n FROM n""")
+def q_aggregate_own_kinds(spark, sf_dir):
+    out = M.aggregate_scores(sql(spark, sf_dir, _OWN_SCORES), spark.sql(_OWN_KINDS), ("task",))
+    return rcols(out, {"task", "metric", "n"})

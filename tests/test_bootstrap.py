@@ -103,3 +103,21 @@ def test_text_errors_equal_plain_resampling(spark, metric):
         frame = spark.createDataFrame(sums, ", ".join(f"{n} double" for n in names))
         want = frame.select((TM.bleu_score(frame) if metric == "bleu" else TM.chrf_score(frame)).alias("m")).agg(F.stddev_samp("m")).first()[0]
         assert got[task].replicates == 1000 and abs(got[task].stderr - want) < 0.15 * want
+
+
+def test_dispatch_of_all_kinds(spark):
+    """aggregate_scores names every kind; text metrics and the median carry their bootstrap errors."""
+    from sparkeval.operators import metrics as M
+    rng = random.Random(12)
+    rows = [("t", i, m, float(i % 4), 1.0, i % 2, int(rng.random() < 0.5), i % 7, i % 3, "the red house is on the hill" if i % 3 else "a tree", ["the red house stood on a hill"])
+            for i in range(40) for m in ("bleu", "chrf", "median", "f1_macro", "acc_all")]
+    scores = spark.createDataFrame(rows, "task string, doc_id long, metric string, value double, weight double, gold int, pred int, paragraph int, question int, hyp string, refs array<string>")
+    kinds = spark.createDataFrame([(m, m) for m in ("bleu", "chrf", "median", "f1_macro", "acc_all")] + [("unused", "unknown kind")], "metric string, kind string")
+    got = {r.metric: r for r in M.aggregate_scores(scores, kinds, ("task",), iters=200).collect()}
+    one = scores.filter("metric = 'bleu'")
+    assert got["bleu"].value == pytest.approx(TM.corpus_bleu(one, "doc_id", "hyp", "refs").first()["bleu"]) and got["bleu"].stderr > 0
+    assert got["chrf"].value == pytest.approx(TM.corpus_chrf(one.withColumn("r", F.get("refs", 0)), "doc_id", "hyp", "r").first()["chrf"]) and got["chrf"].stderr > 0
+    assert got["median"].value == 0.0 and 0.9 < got["median"].stderr < 1.4 and got["median"].n == 40
+    assert got["f1_macro"].stderr is None and 0 < got["f1_macro"].value < 1 and got["acc_all"].stderr is not None
+    with pytest.raises(ValueError, match="needs the columns"):
+        M.aggregate_scores(scores.drop("hyp"), kinds, ("task",))
