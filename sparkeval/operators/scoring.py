@@ -93,15 +93,17 @@ def token_f1(pred, ref, variant: str = "set") -> Column:
     return let(norm_tokens(pred), lambda a: let(norm_tokens(ref), lambda b: _token_f1(a, b, variant)))
 
 
+def _set_f1(common: Column, na: Column, nb: Column) -> Column:
+    prec = F.when(na > 0, common / na).otherwise(F.lit(0.0))
+    rec = common / nb
+    return (F.when(nb == 0, F.when(na == 0, 1.0).otherwise(0.0))
+             .when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec)))
+
+
 def _token_f1(a: Column, b: Column, variant: str) -> Column:
     if variant == "set":
         da, db = F.array_distinct(a), F.array_distinct(b)
-        common = F.size(F.array_intersect(da, db)).cast("double")
-        na, nb = F.size(da).cast("double"), F.size(db).cast("double")
-        prec = F.when(na > 0, common / na).otherwise(F.lit(0.0))
-        rec = common / nb
-        return (F.when(nb == 0, F.when(na == 0, 1.0).otherwise(0.0))
-                 .when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec)))
+        return _set_f1(F.size(F.array_intersect(da, db)).cast("double"), F.size(da).cast("double"), F.size(db).cast("double"))
     return let(_multiset_common(a, b).cast("double"), lambda common: _bag_f1(a, b, common, variant))
 
 
@@ -120,6 +122,30 @@ def score_token_f1(pred, refs, variant: str = "set") -> Column:
         col(refs), lambda r: let(norm_tokens(r), lambda b: _token_f1(a, b, variant)))))
 
 
+def score_qa(pred, refs) -> Column:
+    """SCR08 + SCR09 at once: struct<em, f1_set, f1_multiset, f1_mixed>, the best over the
+    references.  Every text is normalised and its bag of words built once."""
+    def tokens(c) -> Column:
+        s = F.regexp_replace(F.translate(F.lower(col(c)), ASCII_PUNCTUATION, ""), _ART_RX, " ")
+        return F.filter(F.split(s, WS_RUN), lambda t: t != "")
+
+    def parts(c) -> Column:
+        return let(tokens(c), lambda t: F.struct(t.alias("all"), F.array_distinct(t).alias("once"), bag(t).alias("bag")))
+
+    def bag_f1(p: Column, q: Column, both: Column, variant: str) -> Column:
+        return let(both, lambda c: _bag_f1(p["all"], q["all"], c, variant)).alias(f"f1_{variant}")
+
+    def against(p: Column, q: Column) -> Column:
+        common = F.size(F.array_intersect(p["once"], q["once"])).cast("double")
+        both = F.size(F.array_intersect(p["bag"], q["bag"])).cast("double")
+        return F.struct((p["all"] == q["all"]).alias("em"), _set_f1(common, F.size(p["once"]).cast("double"), F.size(q["once"]).cast("double")).alias("f1_set"),
+                        bag_f1(p, q, both, "multiset"), bag_f1(p, q, both, "mixed"))
+
+    each = let(parts(pred), lambda p: F.transform(col(refs), lambda r: let(parts(r), lambda q: against(p, q))))
+    best = lambda xs, name: F.array_max(F.transform(xs, lambda x: x[name])).alias(name)
+    return let(each, lambda xs: F.struct(F.exists(xs, lambda x: x["em"]).alias("em"), *[best(xs, f"f1_{v}") for v in ("set", "multiset", "mixed")]))
+
+
 def score_sts(gold, pred) -> Column:
     """SCR11: squared error of a similarity score."""
     return F.pow(col(gold) - col(pred), 2)

@@ -234,18 +234,15 @@ SELECT id, em,
   {rd(f"greatest({_f1_bag(1, True)}, {_f1_bag(2, True)})")} AS f1_mixed FROM j""")
 def q_score_token_f1(spark, sf_dir):
     fx = sql(spark, sf_dir, FX_QA).withColumn("refs", F.array("ref1", "ref2"))
-    return fx.select("id", S.score_exact_match("pred", "refs").alias("em"),
-                     r(S.score_token_f1("pred", "refs", "set")).alias("f1_set"),
-                     r(S.score_token_f1("pred", "refs", "multiset")).alias("f1_multiset"),
-                     r(S.score_token_f1("pred", "refs", "mixed")).alias("f1_mixed"))
+    s = fx.select("id", S.score_qa("pred", "refs").alias("s"))
+    return s.select("id", "s.em", *[r(F.col(f"s.{n}")).alias(n) for n in ("f1_set", "f1_multiset", "f1_mixed")])
 
 
 @query("squad_metrics", f"""WITH {_QA_TOK}
 SELECT lang, {rd('avg(CAST(em AS DOUBLE))')} AS exact_match, {rd(f"avg(greatest({_f1_set(1)}, {_f1_set(2)}))")} AS f1 FROM j GROUP BY lang""")
 def q_squad_metrics(spark, sf_dir):
     fx = sql(spark, sf_dir, FX_QA).withColumn("refs", F.array("ref1", "ref2"))
-    s = fx.select("lang", S.score_exact_match("pred", "refs").cast("double").alias("em"),
-                  S.score_token_f1("pred", "refs", "set").alias("f1"))
+    s = fx.select("lang", S.score_qa("pred", "refs").alias("s")).select("lang", F.col("s.em").cast("double").alias("em"), F.col("s.f1_set").alias("f1"))
     return rcols(s.groupBy("lang").agg(F.avg("em").alias("exact_match"), F.avg("f1").alias("f1")), {"lang"})
 
 

@@ -66,3 +66,19 @@ def test_bag_overlap(spark):
     df = spark.createDataFrame([(["b", "a", "b", ""],), ([],)], "t array<string>")
     got = [sorted(r[0]) for r in df.select(bag("t")).collect()]
     assert got == [["\u00011", "a\u00011", "b\u00011", "b\u00012"], []]
+
+
+def test_all_qa_scores_at_once_equal_the_single_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkeval.operators import scoring as S
+    rng = random.Random(3)
+    words = ["o", "gato", "Gato", "preto,", "a", "casa", "", "...", "é", "uma"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7)))
+    rows = [(text(), [text() for _ in range(rng.randrange(0, 3))] + [None] * (i % 5 == 0)) for i in range(150)] + [(None, ["x"]), ("x", None), ("", [""])]
+    df = spark.createDataFrame(rows, "p string, r array<string>")
+    for x in df.select(S.score_qa("p", "r").alias("s"), S.score_exact_match("p", "r").alias("em"), *[S.score_token_f1("p", "r", v).alias(v) for v in ("set", "multiset", "mixed")]).collect():
+        got = x.s if x.s is not None else [None] * 4
+        assert tuple(got) == (x.em, x["set"], x.multiset, x.mixed)
