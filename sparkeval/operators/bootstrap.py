@@ -102,8 +102,9 @@ def cell_draws(df: DataFrame, ks: list[str], cell: list[str], iters: int, seed:
     counts = df.groupBy(*ks, *cell).agg(F.count(F.lit(1)).alias("n"))
     cells = materialize(dense_index(counts, ks, [F.col(c) for c in cell], "_cell").withColumn("cell_id", F.monotonically_increasing_id()))
     u = uniform_from_hash(seed, F.col("replicate"), F.col("_cell"))
-    drawn = replicates(cells.drop("n"), iters).withColumn("u", u).withColumn("slice", F.floor(F.col("u") * SLICES))
-    met = drawn.join(poisson_intervals(cells.select("cell_id", "n")), ["cell_id", "slice"]).filter("u >= low and u < high and k > 0")
+    drawn = replicates(cells.drop("n"), iters).withColumn("u", u).withColumn("slice", F.floor(F.col("u") * SLICES)).drop("_cell")
+    # The planner takes exploded rows for as few as their blocks: never to be broadcast.
+    met = drawn.join(poisson_intervals(cells.select("cell_id", "n")).hint("shuffle_hash"), ["cell_id", "slice"]).filter("u >= low and u < high and k > 0")
     return met.select(*ks, *cell, "replicate", F.col("k").alias("w"))
 
 
@@ -126,7 +127,7 @@ def bootstrap_stderr(df: DataFrame, keys, kind, iters: int = DEFAULT_ITERS, seed
         items = dense_index(df.select(*ks, col(id_col).alias("_id"), col(value).cast("double").alias("_v")).filter("_v is not null"), ks, [F.col("_id"), F.col("_v")], "_at")
         sizes = items.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
         at = F.floor(uniform_from_hash(seed, F.col("replicate")) * F.col("_n")).cast("bigint")
-        rep = equi_join(replicates(sizes, iters).withColumn("_at", at), items, [*ks, "_at"])
+        rep = equi_join(replicates(sizes, iters).withColumn("_at", at).hint("merge"), items, [*ks, "_at"])
         metrics = {"median": F.col("_v")}
     elif set(kinds) <= {"f1", "mcc"}:
         items = df.select(*ks, (col(gold) == 1).alias("_g"), (col(pred) == 1).alias("_p")).filter("_g is not null and _p is not null")

@@ -121,3 +121,9 @@ def test_dispatch_of_all_kinds(spark):
     assert got["f1_macro"].stderr is None and 0 < got["f1_macro"].value < 1 and got["acc_all"].stderr is not None
     with pytest.raises(ValueError, match="needs the columns"):
         M.aggregate_scores(scores.drop("hyp"), kinds, ("task",))
+
+
+def test_exploded_replicates_are_never_broadcast(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 2.0)], "t string, v double")
+    draws = BS.cell_draws(df, ["t"], ["v"], 3000, 3)
+    assert "ShuffledHashJoin" in draws._jdf.queryExecution().executedPlan().toString()
