@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bag, col, let
+from ..functions.grams import overlaps
+from ..functions.text import col
 from .metrics import _keys
 
 BLEU_ORDER = 4
@@ -17,51 +18,26 @@ CHRF_ORDER = 6
 CHRF_BETA = 2.0
 
 
-def _ws_tokens(c) -> Column:
-    return F.filter(F.split(col(c), r"(?U)\s+"), lambda t: t != "")
-
-
-def _char_tokens(c) -> Column:
-    return F.filter(F.split(F.regexp_replace(col(c), r"(?U)\s", ""), ""), lambda t: t != "")
-
-
-def _overlaps(hyp: Column, refs: Column, max_n: int, sep: str) -> Column:
-    """array<struct<total, correct, ref_total>> by order 1..max_n of one sentence.
-
-    n-grams labelled with their occurrence number are sets: the union over the references is
-    the bag of largest counts, and its intersection with the hypothesis the clipped matches.
-    ``hyp`` is a token array, ``refs`` an array of token arrays; nothing is shuffled."""
-    def order(n: int):
-        def grams(t):
-            return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), sep))
-                          ).otherwise(F.array().cast("array<string>"))
-        union = F.aggregate(refs, F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, bag(grams(r))))
-        return let(grams(hyp), lambda h: let(union, lambda u: F.struct(
-            F.size(h).cast("bigint").alias("total"), F.size(F.array_intersect(bag(h), u)).cast("bigint").alias("correct"), F.size(u).cast("bigint").alias("ref_total"))))
-    return F.array(*[order(n) for n in range(1, max_n + 1)])
-
-
-def _counted(df: DataFrame, names: list[str], hyp: Column, refs: Column, max_n: int, sep: str, extra=()) -> tuple[DataFrame, list[str]]:
+def _counted(df: DataFrame, names: list[str], hyp: str, refs: Column, max_n: int, chars: bool, extra=()) -> tuple[DataFrame, list[str]]:
     """(rows with total{n}, correct{n}, ref_total{n} of each sentence and the ``extra`` columns, the
     names of those columns)."""
-    rows = df.select(*names, *extra, let(hyp, lambda h: let(refs, lambda r: _overlaps(h, r, max_n, sep))).alias("_x"))
-    counts = [(f"{k}{n}", F.get("_x", n - 1)[k]) for n in range(1, max_n + 1) for k in ("total", "correct", "ref_total")]
-    kept = [c for c in rows.columns if c not in names and c != "_x"]
-    return rows.select(*names, *kept, *[c.alias(n) for n, c in counts]), kept + [n for n, _ in counts]
+    rows = df.select(*names, overlaps(hyp, refs, max_n, chars).alias("_x"))
+    counts = [F.get("_x.orders", n - 1)[k].alias(f"{k}{n}") for n in range(1, max_n + 1) for k in ("total", "correct", "ref_total")]
+    out = rows.select(*names, *extra, *counts)
+    return out, out.columns[len(names):]
 
 
 def bleu_counts(df: DataFrame, names: list[str], hyp: str, refs: str) -> tuple[DataFrame, list[str]]:
     """Per sentence the counts that corpus BLEU sums; c and r are the lengths of the hypothesis
     and of the closest reference (ties -> shorter)."""
-    hl = F.size(_ws_tokens(hyp))
-    rls = F.transform(col(refs), lambda r: F.size(_ws_tokens(r)))
-    closest = F.array_min(F.transform(rls, lambda x: F.struct(F.abs(x - hl).alias("d"), x.alias("l"))))["l"]
-    return _counted(df, names, _ws_tokens(hyp), F.transform(col(refs), _ws_tokens), BLEU_ORDER, " ", (hl.alias("c"), closest.alias("r")))
+    hl = F.col("_x.len")
+    closest = F.array_min(F.transform("_x.ref_lens", lambda x: F.struct(F.abs(x - hl).alias("d"), x.alias("l"))))["l"]
+    return _counted(df, names, hyp, col(refs), BLEU_ORDER, False, (hl.alias("c"), closest.alias("r")))
 
 
 def chrf_counts(df: DataFrame, names: list[str], hyp: str, ref: str) -> tuple[DataFrame, list[str]]:
     """Per sentence the counts that corpus chrF sums."""
-    return _counted(df, names, _char_tokens(hyp), F.array(_char_tokens(ref)), CHRF_ORDER, "")
+    return _counted(df, names, hyp, F.array(col(ref)), CHRF_ORDER, True)
 
 
 def _corpus_totals(rows: DataFrame, ks: list[str], names: list[str]) -> DataFrame:
