@@ -188,24 +188,3 @@ def window_hashes(text, n: int, distinct: bool = False) -> Column:
     """array<struct<pos, h>>: 64-bit hash of every window of ``n`` words (parted by one space; two
     spaces have an empty word between them), with ``distinct`` of each different window's first."""
     return _windows(n, distinct)(col(text))
-
-
-# ------------------------------------------------------------------ words of a text
-def _word_counts():
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, max(1, len(texts)), _STEP):
-            part = texts.slice(at, _STEP)
-            codes, lens, dictionary = word_codes(part)
-            width = len(dictionary) + 1
-            found, tf = np.unique(np.repeat(np.arange(len(part)), lens) * width + codes, return_counts=True)
-            row, word = np.divmod(found, width)
-            out.append(_lists({"term": dictionary.cast(pa.string()).take(pa.array(word)), "tf": tf}, np.bincount(row, minlength=len(part)), part.is_valid()))
-        return pa.concat_arrays(out)
-
-    return F.arrow_udf(run, "array<struct<term:string,tf:bigint>>")
-
-
-def word_counts(text) -> Column:
-    """array<struct<term, tf>>: the different words (parted by spaces) of a text and their counts."""
-    return _word_counts()(col(text))
