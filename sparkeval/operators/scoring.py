@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import ARITH_DATASET, parse_last_number, py_strip
+from ..functions.grams import bag_overlaps
 from ..functions.text import ASCII_PUNCTUATION, PT_ARTICLES, WS_RUN, bag, col, let
 
 # ----------------------------------------------------------------- row scorers
@@ -125,23 +126,17 @@ def score_token_f1(pred, refs, variant: str = "set") -> Column:
 def score_qa(pred, refs) -> Column:
     """SCR08 + SCR09 at once: struct<em, f1_set, f1_multiset, f1_mixed>, the best over the
     references.  Every text is normalised and its bag of words built once."""
-    def tokens(c) -> Column:
-        s = F.regexp_replace(F.translate(F.lower(col(c)), ASCII_PUNCTUATION, ""), _ART_RX, " ")
-        return F.filter(F.split(s, WS_RUN), lambda t: t != "")
+    def plain(c) -> Column:
+        s = F.regexp_replace(F.translate(F.lower(c), ASCII_PUNCTUATION, ""), _ART_RX, " ")
+        return F.trim(F.regexp_replace(s, WS_RUN, " "))
 
-    def parts(c) -> Column:
-        return let(tokens(c), lambda t: F.struct(t.alias("all"), F.array_distinct(t).alias("once"), bag(t).alias("bag")))
+    def against(x: Column) -> Column:
+        f = {k: x[k].cast("double") for k in ("n_pred", "n_ref", "once_pred", "once_ref", "once", "bag")}
+        both = _f1(f["bag"], f["n_pred"], f["n_ref"])
+        return F.struct(x["same"].alias("em"), _set_f1(f["once"], f["once_pred"], f["once_ref"]).alias("f1_set"), both.alias("f1_multiset"),
+                        F.when((f["n_pred"] == 0) | (f["n_ref"] == 0), x["same"].cast("double")).otherwise(both).alias("f1_mixed"))
 
-    def bag_f1(p: Column, q: Column, both: Column, variant: str) -> Column:
-        return let(both, lambda c: _bag_f1(p["all"], q["all"], c, variant)).alias(f"f1_{variant}")
-
-    def against(p: Column, q: Column) -> Column:
-        common = F.size(F.array_intersect(p["once"], q["once"])).cast("double")
-        both = F.size(F.array_intersect(p["bag"], q["bag"])).cast("double")
-        return F.struct((p["all"] == q["all"]).alias("em"), _set_f1(common, F.size(p["once"]).cast("double"), F.size(q["once"]).cast("double")).alias("f1_set"),
-                        bag_f1(p, q, both, "multiset"), bag_f1(p, q, both, "mixed"))
-
-    each = let(parts(pred), lambda p: F.transform(col(refs), lambda r: let(parts(r), lambda q: against(p, q))))
+    each = F.transform(bag_overlaps(plain(col(pred)), F.transform(col(refs), plain)), against)
     best = lambda xs, name: F.array_max(F.transform(xs, lambda x: x[name])).alias(name)
     return let(each, lambda xs: F.struct(F.exists(xs, lambda x: x["em"]).alias("em"), *[best(xs, f"f1_{v}") for v in ("set", "multiset", "mixed")]))
 
