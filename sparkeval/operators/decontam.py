@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, col, janitor_normalize, let, ngram_hashes, word_ngrams, words
+from ..functions.grams import window_hashes
+from ..functions.text import WS, col, janitor_normalize, let, pieces, spaced, word_ngrams, words
 from ..session import BROADCAST_MAX_BYTES, checked_broadcast, materialize, spread
 
 # The reference's defaults (n-gram size, window removed on each side,
@@ -41,19 +42,31 @@ def normalized_tokens(text) -> Column:
     return words(janitor_normalize(text))
 
 
-def raw_tokens_normalized(text) -> Column:
-    """Cleaning side: split the raw text, then normalise each token.  A punctuation-only
-    token becomes an empty word, so any window containing it can never match."""
-    return F.transform(words(text), janitor_normalize)
+def normalized_text(text) -> Column:
+    """The normalised tokens joined by spaces."""
+    return spaced(janitor_normalize(text))
+
+
+def raw_text_normalized(text) -> Column:
+    """Cleaning side: split the raw text, then normalise each token, joined by spaces.  A
+    punctuation-only token becomes an empty word, so any window containing it can never match."""
+    return janitor_normalize(spaced(text))
+
+
+def _windows_at(n: int, distinct: bool = False) -> Column:
+    """pos and h, one row per window of the column ``plain``."""
+    return F.inline(window_hashes("plain", n, distinct))
+
+
+def _window_text(n: int) -> Column:
+    return F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ")
 
 
 def benchmark_ngrams(bench: DataFrame, n: int = NGRAM_N, id_col: str = "item_id",
                      text_col: str = "text") -> DataFrame:
     """DEC02 on the contaminant side: (item_id, pos, h, ngram), one row per window."""
-    t = bench.select(F.col(id_col).alias("item_id"), normalized_tokens(text_col).alias("ntoks"))
-    return (t.select("item_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
-             .select("item_id", "pos", "h",
-                     F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ").alias("ngram")))
+    t = bench.select(F.col(id_col).alias("item_id"), normalized_text(text_col).alias("plain")).withColumn("ntoks", pieces("plain"))
+    return t.select("item_id", "ntoks", _windows_at(n)).select("item_id", "pos", "h", _window_text(n).alias("ngram"))
 
 
 def register_contaminants(bench: DataFrame, n: int = NGRAM_N, id_col: str = "item_id",
@@ -83,16 +96,16 @@ def frequent_ngrams(docs: DataFrame, n: int = NGRAM_N, min_docs: int = 10,
     map-side) and keeps hashes seen in > min_docs documents — a superset of the answer.
     Phase 2 re-counts exactly by n-gram text for those hashes only."""
     t = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select(
-        "doc_id", normalized_tokens("_text").alias("ntoks"))
-    cand = (t.select(F.explode(F.array_distinct(ngram_hashes("ntoks", n))).alias("h"))
+        "doc_id", normalized_text("_text").alias("plain")).withColumn("ntoks", pieces("plain"))
+    cand = (t.select(_windows_at(n, distinct=True))
              .groupBy("h").agg(F.count(F.lit(1)).alias("c"))
              .filter(F.col("c") > min_docs).select("h"))
     cand_side, small = checked_broadcast(cand, max_broadcast_bytes)
     if small:
-        pos = t.select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
-        hits = pos.join(cand_side, "h", "left_semi").select("doc_id", F.array_join(F.slice("ntoks", F.col("pos") + 1, n), " ").alias("ngram"))
+        pos = t.select("doc_id", "ntoks", _windows_at(n, distinct=True))
+        hits = pos.join(cand_side, "h", "left_semi").select("doc_id", _window_text(n).alias("ngram"))
     else:
-        pos = t.select("doc_id", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
+        pos = t.select("doc_id", _windows_at(n, distinct=True))
         hits = _ngram_texts(t, pos.join(cand_side, "h", "left_semi"), n).select("doc_id", "ngram")
     return (hits.groupBy("ngram").agg(F.countDistinct("doc_id").alias("n_docs"))
                .filter(F.col("n_docs") > min_docs))
@@ -111,14 +124,14 @@ def find_matches(docs: DataFrame, dirt: DataFrame, n: int = NGRAM_N, id_col: str
     """DEC07 / JN07: every window (doc_id, pos) of the raw text whose normalised form is a
     registered contaminant.  ``pos`` is the 0-based index of the window's first word."""
     tokens = (spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
-              .select("doc_id", raw_tokens_normalized("_text").alias("ntoks")))
+              .select("doc_id", raw_text_normalized("_text").alias("plain")).withColumn("ntoks", pieces("plain")))
     side, small = checked_broadcast(dirt.select("h", "ngram"), max_broadcast_bytes)
     if not small:
         # Shuffle (doc_id, pos, h) only; the text of the few hits is built and compared after.
-        pos = tokens.select("doc_id", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h"))
+        pos = tokens.select("doc_id", _windows_at(n))
         hits = pos.join(side.select("h").distinct(), "h", "left_semi")
         return _ngram_texts(tokens, hits, n).join(side, ["h", "ngram"], "left_semi").select("doc_id", "pos", "h", "ngram")
-    d = tokens.select("doc_id", "ntoks", F.posexplode(ngram_hashes("ntoks", n)).alias("pos", "h")).alias("d")
+    d = tokens.select("doc_id", "ntoks", _windows_at(n)).alias("d")
     side = side.alias("c")
     # The text check is wrapped so the optimizer keeps it as a residual condition: it
     # runs only for rows whose 8-byte hash found a partner, not as a second join key
@@ -229,7 +242,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = NGRAM_N,
 def clean_documents(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
     """DEC08: one row per kept chunk (doc_id, chunk_idx, chunk)."""
     d = decontaminate(docs, bench, **kw)
-    return d.select("doc_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
+    # posexplode alone gets a filter on the size of its array, which is pushed below all the stages
+    # of decontaminate and there holds their expressions once more for each use.
+    return d.select("doc_id", F.posexplode_outer("chunks").alias("chunk_idx", "chunk")).filter("chunk_idx is not null")
 
 
 def contamination_report(docs: DataFrame, bench: DataFrame, cutoff: int = TOO_DIRTY_CUTOFF,
