@@ -324,6 +324,38 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(n)}
 
 
+def test_near_links_of_large_buckets(spark, monkeypatch):
+    """Texts of large buckets with other leaders: 10 and 4 are near and share bucket 102 only,
+    which 4 leads, and 10's least leader is 1; 30 is near to 1 and to 5, 5 leads bucket 105 and
+    isn't near to 1; 41 and 42 share bucket 107 only, and their least leaders are 1 and 2."""
+    monkeypatch.setattr(near_dedup, "CAP", 1)
+    rng = random.Random(12)
+    one, near_to, pair, two = (prose(rng, 100, 50000) for _ in range(4))
+
+    def edited(words, start, n):
+        return words[:start] + [f"e{start}x{i}" for i in range(n)] + words[start + n:]
+    third = edited(one, 0, 15)
+    rows = [(1, one, [101]), (2, two, [106, 108]), (4, near_to, [102]), (10, edited(near_to, 10, 5), [101, 102]),
+            (5, edited(third, 50, 15), [105]), (30, third, [101, 105]),
+            (40, prose(rng, 100, 50000), [107]), (41, pair, [101, 107]), (42, edited(pair, 30, 4), [106, 107]), (43, prose(rng, 100, 50000), [108])]
+    reps = spark.createDataFrame([(i, len(w), s) for i, w, s in rows], "rep bigint, n_words bigint, sketch array<bigint>")
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w, _ in rows], "rep bigint, text string")
+    found = near_dedup.near_links(reps, lambda wanted: near_dedup.write_shared(texts.join(wanted, "rep"), "texts"), 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == {(10, 4), (30, 1), (30, 5), (42, 41)}
+
+
+def test_bags_rule_no_near_pair_out():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    full = np.zeros((1, near_dedup.BAG), dtype=np.uint16)
+    full[0, 3] = near_dedup.FULL
+    assert near_dedup.bags_near(full, full // 2, 0.8).all()
+    x = rng.integers(0, 9, (50, near_dedup.BAG)).astype(np.uint16)
+    y = x.copy()
+    y[:, 0] += (x.sum(axis=1) // 5).astype(np.uint16)     # a fifth of the longer one's words are others at most
+    assert near_dedup.bags_near(x, y, 0.8).all() and not near_dedup.bags_near(x, np.roll(x, 1, axis=1), 0.8).any()
+
+
 def classes_of(spark, rows):
     return {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
 
