@@ -344,16 +344,22 @@ def test_near_links_of_large_buckets(spark, monkeypatch):
     assert {(r.a, r.b) for r in found.collect()} == {(10, 4), (30, 1), (30, 5), (42, 41)}
 
 
-def test_bags_rule_no_near_pair_out():
-    import numpy as np
-    rng = np.random.default_rng(2)
-    full = np.zeros((1, near_dedup.BAG), dtype=np.uint16)
-    full[0, 3] = near_dedup.FULL
-    assert near_dedup.bags_near(full, full // 2, 0.8).all()
-    x = rng.integers(0, 9, (50, near_dedup.BAG)).astype(np.uint16)
-    y = x.copy()
-    y[:, 0] += (x.sum(axis=1) // 5).astype(np.uint16)     # a fifth of the longer one's words are others at most
-    assert near_dedup.bags_near(x, y, 0.8).all() and not near_dedup.bags_near(x, np.roll(x, 1, axis=1), 0.8).any()
+def test_reach_rules_no_text_out():
+    """Whatever is near to a text that is near to the lead is within reach of the lead."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    for _ in range(60):
+        lead = prose(rng, rng.randrange(5, 60), 300)
+        chain = [lead]
+        for _ in range(2):
+            w = list(chain[-1])
+            for _ in range(len(w) // 5):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[f"e{rng.random()}"], [], [w[at], f"e{rng.random()}"]])
+            chain.append(w)
+        words = near_dedup.Words(pa.array([" ".join(w) for w in chain]))
+        if words.near(0, 1, 0.8) and words.near(1, 2, 0.8):
+            assert words.reach(2, 0, 0.8) and words.reach(0, 2, 0.8)
 
 
 def classes_of(spark, rows):
