@@ -344,6 +344,33 @@ def test_near_links_of_large_buckets(spark, monkeypatch):
     assert {(r.a, r.b) for r in found.collect()} == {(10, 4), (30, 1), (30, 5), (42, 41)}
 
 
+def test_members_that_fail_are_one_group_and_other_texts_go(spark, monkeypatch):
+    """Members that fail against one lead come once each, not once per sketch, and the texts that
+    are in no group are not read again."""
+    rng = random.Random(31)
+    passage, second = prose(rng, 60, 50000), prose(rng, 60, 50000)
+    rows = [(1, passage + prose(rng, 60, 50000), [101])]
+    for i in range(2, 14):                                  # near to each other, not to 1
+        own = list(second)
+        for at in rng.sample(range(60), 8):
+            own[at] = f"e{i}x{at}"
+        rows.append((i, passage + own, [101]))
+    for i in range(20, 60, 2):
+        copy = prose(rng, 100, 50000)
+        rows += [(i, copy, [200 + i]), (i + 1, copy[:50] + ["new"] + copy[51:], [200 + i])]
+    reps = spark.createDataFrame([(i, len(w), s) for i, w, s in rows], "rep bigint, n_words bigint, sketch array<bigint>")
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w, _ in rows], "rep bigint, text string")
+    seen, settled = [], near_dedup.settled
+
+    def spy(groups, texts, threshold):
+        seen.append((groups.count(), sorted(r.rep for r in texts.select("rep").collect())))
+        return settled(groups, texts, threshold)
+    monkeypatch.setattr(near_dedup, "settled", spy)
+    found = near_dedup.near_links(reps, lambda wanted: near_dedup.write_shared(texts.join(wanted, "rep"), "texts"), 0.8)
+    assert {r.rep: r.root for r in near_dedup.classes(found).collect()} == {**{i: 2 for i in range(3, 14)}, **{i + 1: i for i in range(20, 60, 2)}}
+    assert seen == [(12, list(range(2, 14)))]
+
+
 def test_reach_rules_no_text_out():
     """Whatever is near to a text that is near to the lead is within reach of the lead."""
     import pyarrow as pa
