@@ -371,6 +371,31 @@ def test_members_that_fail_are_one_group_and_other_texts_go(spark, monkeypatch):
     assert seen == [(12, list(range(2, 14)))]
 
 
+def test_keys_of_members_that_fail_are_listed_once(spark, monkeypatch):
+    """The rows of the keys that members of a large failing group have are made by one step, and
+    sizes and members are read from them; pairs of these members still meet."""
+    monkeypatch.setattr(near_dedup, "SETTLED", 4)
+    rng = random.Random(41)
+    passage = prose(rng, 60, 50000)
+    rows = [(1, passage + prose(rng, 60, 50000))]
+    for i in range(2, 22, 2):                               # near to the next one, not to 1 or others; 12 to 20 too long to be near to 1
+        own = prose(rng, 60 if i < 12 else 140, 50000)
+        rows += [(i, passage + own), (i + 1, passage + own[:30] + ["new"] + own[31:])]
+    reps = spark.createDataFrame([(i, len(w), [101]) for i, w in rows], "rep bigint, n_words bigint, sketch array<bigint>")
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "rep bigint, text string")
+    made, write = [], near_dedup.write_shared
+
+    def spy(df, tag):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        made.append((tag, plan.count("Generate explode(")))
+        return write(df, tag)
+    monkeypatch.setattr(near_dedup, "write_shared", spy)
+    found = near_dedup.near_links(reps, lambda wanted: write(texts.join(wanted, "rep"), "texts"), 0.8)
+    assert {r.rep: r.root for r in near_dedup.classes(found).collect()} == {i + 1: i for i in range(2, 22, 2)}
+    listed = [(tag, n) for tag, n in made if n and tag != "buckets"]
+    assert listed and all(n == 1 for _, n in listed)
+
+
 def test_reach_rules_no_text_out():
     """Whatever is near to a text that is near to the lead is within reach of the lead."""
     import pyarrow as pa
