@@ -396,6 +396,56 @@ def test_keys_of_members_that_fail_are_listed_once(spark, monkeypatch):
     assert listed and all(n == 1 for _, n in listed)
 
 
+def test_near_members_of_a_bucket_end_in_one_class(spark, monkeypatch):
+    """Near members meet whether or not they are near to the lead of their bucket and whatever lengths
+    it rules out, in a set settled in a task and in larger ones: 10 and 11 are near, 10 to the lead too;
+    of 20 and 21 only 21's length is too far from the lead's; 30 to 39 share the passage that
+    makes them alike, and nothing beyond it."""
+    rng = random.Random(77)
+    passage = prose(rng, 90, 50000)
+
+    def edited(words, start, n, i):
+        return words[:start] + [f"e{i}x{j}" for j in range(n)] + words[start + n:]
+    lead = passage + prose(rng, 30, 50000)
+    near_to, short = edited(lead, 0, 15, 10), passage[:50] + prose(rng, 47, 50000)
+    rows = [(1, lead), (10, near_to), (11, edited(near_to, 90, 20, 11)), (20, short), (21, short[:90])]
+    rows += [(i, passage + prose(rng, 15, 50000)) for i in range(30, 40)]
+    rows += [(i, passage[:60] + prose(rng, 60, 50000)) for i in range(40, 50)]    # like no other
+    reps = spark.createDataFrame([(i, len(w), [101]) for i, w in rows], "rep bigint, n_words bigint, sketch array<bigint>")
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "rep bigint, text string")
+    expected = {**{i: i for i, _ in rows}}
+    for i, (x, w) in enumerate(rows):                       # brute force
+        for y, v in rows[:i]:
+            if near_dedup.near(" ".join(w), " ".join(v), 0.8):
+                old, new = sorted((expected[x], expected[y]))[::-1]
+                expected = {k: new if r == old else r for k, r in expected.items()}
+    assert expected[10] == expected[11] == 1 and expected[21] == 20 and {expected[i] for i in range(30, 40)} == {30} and all(expected[i] == i for i in range(40, 50))
+    for size, turns in ((256, 3), (4, 3), (4, 0)):
+        monkeypatch.setattr(near_dedup, "SETTLED", size)
+        monkeypatch.setattr(near_dedup, "ROUNDS", turns, raising=False)
+        found = near_dedup.near_links(reps, lambda wanted: near_dedup.write_shared(texts.join(wanted, "rep"), "texts"), 0.8)
+        root = {i: i for i, _ in rows} | {r.rep: r.root for r in near_dedup.classes(found).collect()}
+        assert root == expected, (size, turns)
+
+
+def test_near_texts_have_a_rare_word_in_common(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(78)
+    counts = np.random.default_rng(5).integers(2, 9, near_dedup.SLOTS).astype(np.uint32)
+    for _ in range(200):
+        a = prose(rng, rng.randrange(1, 60), 40)
+        b = list(a)
+        for _ in range(len(a) // 5):
+            at = rng.randrange(max(1, len(b)))
+            b[at:at + 1] = rng.choice([[f"e{rng.random()}"], [], b[at:at + 1] + [f"e{rng.random()}"]])
+        words = near_dedup.Words(pa.array([" ".join(x) for x in (a, b, prose(rng, 30, 40) + a[:20])]))
+        if words.near(0, 1, 0.8):
+            assert set(words.rare(0, 2, 0.8, counts)) & set(words.rare(1, 2, 0.8, counts))
+            for sparse in (1, 64):
+                monkeypatch.setattr(near_dedup, "SPARSE", sparse)
+                assert (0, 1) in list(words.alike(0.8, np.arange(3)))
+
+
 def test_reach_rules_no_text_out():
     """Whatever is near to a text that is near to the lead is within reach of the lead."""
     import pyarrow as pa
